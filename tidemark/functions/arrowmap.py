@@ -23,11 +23,11 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <
             start = end
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000, low_bits: int = 0) -> Iterator[pa.Table]:
     """Tables of whole groups from a partition that is sorted by ``key``.
 
     A table holds many groups, never a part of one; a group is only as large as
-    the rows that share its key.
+    the rows that share its key, but for its ``low_bits`` lowest bits.
     """
     held: list[pa.RecordBatch] = []
     count = 0
@@ -39,8 +39,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_00
         if count < rows:
             continue
         whole = pa.Table.from_batches(held)
-        keys = whole.column(key)
-        changes = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
+        keys = whole.column(key).to_numpy() >> low_bits
+        changes = np.flatnonzero(keys[1:] != keys[:-1])
         if len(changes):
             cut = int(changes[-1]) + 1
             yield whole.slice(0, cut)

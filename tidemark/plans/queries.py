@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import delivery, nested, treeagg
+from tidemark.plans import analysis
 from tidemark.tables import table
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "agg_object_scenario"
 
 # The fields of the payloads that hold arrays.
 POST_ARRAYS = "media sizes variants reactions recent entities comments replies poll_options voters edits".split()
@@ -68,10 +69,10 @@ def p7_kept(spark, sf_dir):
     return delivery.exactly_once(_posts(spark, sf_dir), KEY, "id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)} | analysis.QUERIES
 
 _CHANNEL = "regexp_replace(lower(channel_username), '^@+', '')"
-SQL = {
+SQL = analysis.SQL | {
     "p4_found": f"select {_CHANNEL} as channel_username from posts_raw where channel_username is not null group by 1 having count(*) * 100 >= 4 * (select count(*) from posts_raw)",
     "p4_channels": f"select {_CHANNEL} as channel_username, count(*) as n_rows, min(id) as first_id, max(id) as last_id from posts_raw group by 1",
     "p7_found": "select id from (select id, min(id) over (partition by channel_id, post_id) as winner from posts_raw where channel_id is not null and post_id is not null) where id > winner",
