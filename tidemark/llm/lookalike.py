@@ -41,8 +41,12 @@ ALIKE = """
 _UNUSUAL = re.compile("[^\t\n -~А-яЁё«»–—…•№]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASIC_LATIN = re.compile("[A-Za-z]+")
-#: Letters that are neither basic Cyrillic nor basic Latin.
-_FOREIGN = re.compile("[ªµºÀ-ʯͰ-ϿЀЂ-ЏѐѢ-ԯᲀ-῿]")
+#: Marks that combine with the letter before them.
+_MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+#: Letters that are neither basic Cyrillic nor basic Latin, and marks that made no letter.
+_FOREIGN = re.compile(f"[ªµºÀ-ʯͰ-ϿЀЂ-ЏѐѢ-ԯᲀ-῿{_MARKS}]")
+#: A token with its letters decomposed.
+_DECOMPOSED = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
 
 
 def _draws_nothing(ch: str) -> bool:
@@ -84,17 +88,6 @@ def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
         for script, ch in present.items():
             of.setdefault(ch, name)
             spell.setdefault(name, {}).setdefault(script, ch)
-    # Composed letters follow their base letter: Latin e-diaeresis and Cyrillic io.
-    for cp in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
-        ch = chr(cp)
-        parts = unicodedata.normalize("NFD", ch)
-        if len(parts) > 1 and parts[0] in of and ch not in of:
-            base = of[parts[0]]
-            options = {s: unicodedata.normalize("NFC", c + parts[1:]) for s, c in spell[base].items()}
-            name = next(iter(options.values()))
-            for script, c in options.items():
-                of[c] = name
-                spell.setdefault(name, {})[script] = c
     return of, spell
 
 
@@ -117,7 +110,7 @@ def script_set(ch: str) -> set[str]:
 def resolve(token: str) -> str:
     """The one spelling of all tokens that look like ``token``."""
     scripts: set[str] | None = None
-    for ch in token:
+    for ch in filter(str.isalpha, token):
         scripts = script_set(ch) if scripts is None else scripts & script_set(ch)
     for script in SCRIPTS:
         if scripts and script in scripts:
@@ -144,6 +137,11 @@ def _resolved(m: re.Match) -> str:
     return resolve(m[0])
 
 
+def _respelt(text: str) -> str:
+    """Every token resolved; accents are kept apart from their letters meanwhile."""
+    return unicodedata.normalize("NFC", _DECOMPOSED.sub(_resolved, unicodedata.normalize("NFD", text)))
+
+
 def look(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null, empty stays empty."""
     if text is None:
@@ -151,12 +149,12 @@ def look(text: str | None) -> str | None:
     if _UNUSUAL.search(text):
         text = unicodedata.normalize("NFC", _UNUSUAL.sub(lambda m: _clean(m[0]), text))
     if _FOREIGN.search(text):
-        return _LETTERS.sub(_resolved, text)
+        return _respelt(text)
     out, at, end = [], 0, len(text)
     for m in _BASIC_LATIN.finditer(text):
         i, j = m.span()
         if i and text[i - 1].isalpha() or j < end and text[j].isalpha():
-            return _LETTERS.sub(_resolved, text)
+            return _respelt(text)
         out += text[at:i], resolve(m[0])
         at = j
     return "".join(out) + text[at:] if out else text
