@@ -25,6 +25,11 @@ from tidemark.tables import materialize, small
 
 #: MinHash values of a class; a tree uses DEPTH of them as its prefix and two more below.
 VALUES, TREES, DEPTH, DEEPER = 128, 48, 4, 2
+#: A key is a signature in sort order: 52 bits for tree and prefix, DEEP_BITS for each value below.
+DEEP_BITS = 6
+LOW_BITS = DEEP_BITS * DEEPER
+#: Classes a task remembers, so that copies send their keys once.
+REMEMBERED = 2_000_000
 #: A region of more classes is cut deeper; blocks of the comparison of what a cut separates.
 REGION, BLOCK = 64, 256
 #: Sketch: SKETCH_BITS bits of each of the first 64 values, in two words.
@@ -85,37 +90,46 @@ def _index(batch: pa.RecordBatch, words: int) -> tuple:
     for v in range(SKETCH_VALUES):
         sketch[v // 32, have] |= bits[:, v] << np.uint64(2 * (v % 32))
     keys = np.zeros((n, TREES), np.uint64)
-    deep = np.zeros((n, TREES), np.uint32)
     for t in range(TREES):
         acc = np.full(len(have), np.uint64(t + 1))
         for v in _CHOICE[t, :DEPTH]:
             acc = mix(acc + sig[:, v])
+        acc >>= np.uint64(LOW_BITS)
+        for v in _CHOICE[t, DEPTH:]:
+            acc = (acc << np.uint64(DEEP_BITS)) | (mix(sig[:, v]) >> np.uint64(64 - DEEP_BITS))
         keys[have, t] = acc
-        low = [(mix(sig[:, v]) >> np.uint64(48)).astype(np.uint32) for v in _CHOICE[t, DEPTH:]]
-        deep[have, t] = (low[0] << np.uint32(16)) | low[1]
     has = np.zeros(n, bool)
     has[have] = True
-    return cls, has, sketch, keys, deep
+    return cls, has, sketch, keys
 
 
 def index(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id, class, lo, hi, keys, deep`` of every row; rows without a shingle have no keys (null).
+    """``id, class, lo, hi, keys`` of every row.
 
     ``class`` is a 64-bit key of the set of shingles (of the word sequence where
-    there is no shingle): rows of one class are copies of each other here.
+    there is no shingle): rows of one class are copies of each other here.  Keys
+    come with the first row of a class in a task; the others, and rows without a
+    shingle, have null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in bounded(batches, "text", 2 << 20):
-            cls, has, sketch, keys, deep = _index(batch, words)
-            per = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * TREES)
-            mask = pa.array(~has)
-            lists = [pa.ListArray.from_arrays(per, pa.array(x), mask=mask) for x in (keys.reshape(-1).view(np.int64), deep.reshape(-1).view(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls.view(np.int64)), pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64)), *lists], ["id", "class", "lo", "hi", "keys", "deep"])
+            cls, has, sketch, keys = _index(batch, words)
+            send = has.copy()
+            for i in np.flatnonzero(has):
+                c = int(cls[i])
+                send[i] = c not in seen
+                seen.add(c)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            cuts = np.concatenate([[0], np.cumsum(send)]).astype(np.int32) * TREES
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[send].reshape(-1).view(np.int64)), mask=pa.array(~send))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls.view(np.int64)), pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64)), lists], ["id", "class", "lo", "hi", "keys"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInArrow(run, f"id {kind}, class long, lo long, hi long, keys array<long>, deep array<int>")
+    return rows.mapInArrow(run, f"id {kind}, class long, lo long, hi long, keys array<long>")
 
 
 def _pairs_in(order: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +155,22 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours in the forest's sorted orders: pairs, and members of regions that had to be cut."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64())])
-    for group in sorted_groups(batches, "key"):
-        key, deep, cls = (group.column(c).to_numpy() for c in ("key", "deep", "class"))
+    for group in sorted_groups(batches, "key", low_bits=LOW_BITS):
+        key, cls = (group.column(c).to_numpy() for c in ("key", "class"))
+        # A class comes once from every task that has it.
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls = key[once], cls[once]
         order = np.arange(len(key))
-        start, size = _runs(key)
+        start, size = _runs(key >> LOW_BITS)
         a, b = _pairs_in(order, start[size <= REGION], size[size <= REGION])
         out_a, out_b, region = [cls[a]], [cls[b]], [np.zeros(len(a), np.int64)]
         for s, n in zip(start[size > REGION], size[size > REGION]):
-            # Cut deeper: first by one more value, then by two; what stays together and small is paired.
+            # Cut deeper: first by one more value, then by two; what stays together and is small is paired.
             part = slice(s, s + n)
             done = np.zeros(n, bool)
-            for level in (deep[part].view(np.uint32) >> np.uint32(16), deep[part].view(np.uint32)):
-                cut, count = _runs(level)
+            for bits in range(DEEP_BITS * (DEEPER - 1), -1, -DEEP_BITS):
+                cut, count = _runs(key[part] >> bits)
                 ok = (count <= REGION) & ~done[cut]
                 i, j = _pairs_in(order[part], cut[ok], count[ok])
                 out_a.append(cls[i])
@@ -163,7 +181,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Every member goes on to the comparison of what the cuts separated, in numbered blocks.
             out_a.append(cls[part])
             out_b.append(np.arange(n) // BLOCK)
-            region.append(np.full(n, key[s] or 1))
+            region.append(np.full(n, (key[s] >> LOW_BITS) or 1))
         a, b, r = map(np.concatenate, (out_a, out_b, region))
         swap = (r == 0) & (a > b)
         a[swap], b[swap] = b[swap], a[swap]
@@ -185,10 +203,10 @@ def min_agreement(similarity: float) -> int:
 def _block_pairs(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """Pairs of members of one region whose sketches agree enough, found block against block."""
     rows = members.select("region", F.col("a").alias("class"), F.col("b").alias("block")).join(sketches, "class")
-    last = rows.groupBy("region").agg(F.max("block").alias("last"))
-    grid = last.select("region", "last", F.explode(F.expr("sequence(0L, last)")).alias("i")).select("region", "i", F.explode(F.expr("sequence(i, last)")).alias("j"))
-    left = rows.join(grid, (rows["region"] == grid["region"]) & (rows["block"] == grid["i"])).select(grid["region"], "i", "j", "class", "lo", "hi", F.lit(0).alias("side"))
-    right = rows.join(grid, (rows["region"] == grid["region"]) & (rows["block"] == grid["j"])).select(grid["region"], "i", "j", "class", "lo", "hi", F.lit(1).alias("side"))
+    last = members.groupBy("region").agg(F.max("b").alias("last"))
+    rows = rows.join(last, "region")
+    left = rows.select("region", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), "class", "lo", "hi", F.lit(0).alias("side"))
+    right = rows.select("region", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), "class", "lo", "hi", F.lit(1).alias("side"))
 
     def compare(pdf):
         import pandas as pd
@@ -219,8 +237,8 @@ def similar_classes(df: DataFrame, id_col: str = "src_id", text_col: str = "text
     membership = indexed.select("id", "class")
     # Copies: one partial row per class and task, so a class holding a third of all rows is no hot spot.
     classes = indexed.filter("keys is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    trees = indexed.select("class", F.explode(F.arrays_zip("keys", "deep")).alias("t")).select(F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"), "class").distinct()
-    walked = trees.repartition("key").sortWithinPartitions("key", "deep", "class").mapInArrow(_walk, "a long, b long, region long")
+    trees = indexed.select(F.explode("keys").alias("key"), "class")
+    walked = trees.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "class").mapInArrow(_walk, "a long, b long, region long")
     walked = materialize(walked, "neighbours")
     sketches = classes.select("class", "lo", "hi")
     candidates = walked.filter("region = 0").select("a", "b").distinct()
