@@ -24,7 +24,7 @@ from tidemark.llm.textarrays import TextBatch, mix, successive
 from tidemark.tables import materialize, small
 
 #: MinHash values of a class; a tree uses DEPTH of them as its prefix and two more below.
-VALUES, TREES, DEPTH, DEEPER = 128, 48, 4, 2
+VALUES, TREES, DEPTH, DEEPER = 192, 64, 4, 2
 #: A key is a signature in sort order: 52 bits for tree and prefix, DEEP_BITS for each value below.
 DEEP_BITS = 6
 LOW_BITS = DEEP_BITS * DEEPER
