@@ -6,6 +6,7 @@ Positions count from 0.  A window of radius ``r`` around ``i`` holds the tokens
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -18,10 +19,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def starts_with_any(token: Column, prefixes: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | token.startswith(p)
-    return out
+    prefixes = list(prefixes)
+    return token.startswith(prefixes[0]) if len(prefixes) == 1 else token.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def window(tokens: Column, i: Column, r: int) -> Column:

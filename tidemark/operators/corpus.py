@@ -44,29 +44,33 @@ PLATFORM_WORDS = ("vpn", "впн", "тг")
 
 
 def _any(c: Column, parts: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | c.contains(p)
-    return out
+    return c.rlike("|".join(parts))
 
 
 def prescreen(norm: Column) -> Column:
-    """Whether a normalised text can hold a term at all."""
-    return (
-        _any(norm, PRESCREEN)
-        | norm.rlike(PRESCREEN_WORD)
-        | (norm.contains("совет") & norm.contains("безопасност"))
-        | (norm.contains("министерств") & norm.contains("цифров"))
-        | (norm.contains("генеральн") & norm.contains("прокуратур"))
-        | (_any(norm, RESTRICT) & _any(norm, PLATFORM))
+    """Whether a normalised text can hold a term at all.
+
+    The text is normalised once for all tests, which stop at the first that holds.
+    """
+    return W.let(
+        norm,
+        lambda t: _any(t, PRESCREEN)
+        | t.rlike(PRESCREEN_WORD)
+        | (t.contains("совет") & t.contains("безопасност"))
+        | (t.contains("министерств") & t.contains("цифров"))
+        | (t.contains("генеральн") & t.contains("прокуратур"))
+        | (_any(t, RESTRICT) & _any(t, PLATFORM)),
     )
 
 
 def rating_list(norm: Column) -> Column:
     """Whether the text is a list of channels: a top-N of channels, or eight handles under such a heading."""
-    channels = norm.contains("канал")
-    handles = F.length(norm) - F.length(F.replace(norm, F.lit("@"), F.lit("")))
-    return channels & (norm.rlike(r"(?U)топ\s*[-–—]?\s*\d{2,3}") | ((handles >= 8) & norm.rlike("подборк|топ|рейтинг")))
+
+    def test(t: Column) -> Column:
+        handles = F.length(t) - F.length(F.replace(t, F.lit("@"), F.lit("")))
+        return t.contains("канал") & (t.rlike(r"(?U)топ\s*[-–—]?\s*\d{2,3}") | ((handles >= 8) & t.rlike("подборк|топ|рейтинг")))
+
+    return W.let(norm, test)
 
 
 # What a blocking must not be near to be about networks, and how near the platform must be.

@@ -94,13 +94,22 @@ class Rule:
             guard = F.when(~accepted, F.get(judged, F.size(judged) - 1))
             return F.struct(F.lit(self.name).alias("term"), F.lit(self.group).alias("grp"), status.alias("status"), guard.alias("guard"))
 
-        return W.let(F.transform(self.positions(tokens), judge), settle)
+        def settled() -> Column:
+            return W.let(F.transform(self.positions(tokens), judge), settle)
+
+        def triggers(t: Column) -> Column:
+            stems = (*self.prefixes, *(first for first, _ in self.pairs))
+            out = W.starts_with_any(t, stems) if stems else F.lit(False)
+            return out | t.isin(*self.words) if self.words else out
+
+        # Most rules have nothing to judge in most texts; one pass over the tokens tells.
+        return F.when(F.exists(tokens, triggers), W.let(F.transform(self.positions(tokens), judge), settle))
 
 
 def apply_rules(df: DataFrame, rules: Iterable[Rule], tokens_col: str = "tokens") -> DataFrame:
     """``df`` with ``verdicts``: an array of the rules' structs ``term, grp, status, guard`` that aren't silent."""
     all_verdicts = F.array(*(r.verdict(F.col(tokens_col)) for r in rules))
-    return df.withColumn("verdicts", F.filter(all_verdicts, lambda v: v["status"].isNotNull()))
+    return df.withColumn("verdicts", F.filter(all_verdicts, lambda v: v.isNotNull() & v["status"].isNotNull()))
 
 
 def terms(verdicts: Column) -> Column:

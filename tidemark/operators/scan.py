@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import month, norm_text
+from tidemark.functions.windows import let
 
 # Patterns over the normalised text, by flag.
 ACTORS = {
@@ -52,6 +55,42 @@ CROSS = "ctx_platform_x_restrict"
 FLAGS = [*ACTORS, *LEADERS, *CONTEXT, CROSS]
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the ``|`` that stand in no group."""
+    out, depth = [""], 0
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+def _needed(part: str) -> str:
+    """The longest run of plain letters that every match of ``part`` holds."""
+    plain = re.sub(r"\\.", " ", part)
+    while (bare := re.sub(r"\([^()]*\)\??", " ", plain)) != plain:
+        plain = bare
+    return max(re.findall(r"[^\W\d_]+(?![?*])", plain), key=len, default="")
+
+
+def has_pattern(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` matches somewhere.
+
+    Every alternative is tested for a piece of plain text it can't do without
+    before any regular expression runs; most texts have none.
+    """
+    out = None
+    for part in _alternatives(pattern):
+        need = _needed(part)
+        test = text.contains(need) if need else F.lit(True)
+        if part != need:
+            test = test & text.rlike("(?U)" + part)
+        out = test if out is None else out | test
+    return out
+
+
 def _either(names: list[str]) -> Column:
     out = F.lit(False)
     for n in names:
@@ -70,15 +109,26 @@ def flag_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     drop = [c for c in df.columns if c in {*FLAGS, "matched_actors", "matched_leaders", "_norm"}]
     rows = df.drop(*drop).withColumn("_norm", F.coalesce(norm_text(F.col(text_col)), F.lit("")))
-    flags = {n: F.col("_norm").rlike("(?U)" + p).cast("int") for n, p in {**ACTORS, **LEADERS, **CONTEXT}.items()}
+    flags = {n: has_pattern(F.col("_norm"), p).cast("int") for n, p in {**ACTORS, **LEADERS, **CONTEXT}.items()}
     rows = rows.withColumns(flags).drop("_norm")
     rows = rows.withColumn(CROSS, _either(PLATFORMS) * _either(RESTRICTIONS))
     return rows.withColumns({"matched_actors": _names(ACTORS), "matched_leaders": _names(LEADERS)})
 
 
-def relevant(flagged: DataFrame) -> DataFrame:
-    """Rows with an actor, a leader, or a platform together with a restriction."""
-    return flagged.filter((F.col("matched_actors") != "") | (F.col("matched_leaders") != "") | (F.col(CROSS) == 1))
+def relevant_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows with an actor, a leader, or a platform together with a restriction.
+
+    Tested on the text before any flag is made: it is normalised once, and the
+    tests stop at the first that holds.
+    """
+
+    def some(t: Column, names) -> Column:
+        out = F.lit(False)
+        for n in names:
+            out = out | has_pattern(t, {**ACTORS, **LEADERS, **CONTEXT}[n])
+        return out
+
+    return df.filter(let(norm_text(F.col(text_col)), lambda t: some(t, ACTORS) | some(t, LEADERS) | (some(t, PLATFORMS) & some(t, RESTRICTIONS))))
 
 
 def term_months(flagged: DataFrame, date_col: str = "post_date") -> DataFrame:

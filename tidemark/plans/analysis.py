@@ -12,7 +12,7 @@ from tidemark.functions import windows as W
 from tidemark.operators import audit, authors, corpus, impact, rules, scan, series, topics
 from tidemark.sources import ingest
 from tidemark.streaming import incremental
-from tidemark.tables import materialize, table
+from tidemark.tables import materialize, spread, table
 
 CUTOFF, START = date(2025, 8, 15), date(2025, 1, 1)
 # Groups of flags that stand for the objects of the impact analysis.
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "candidates")
+    return spread(table(spark, sf_dir, "candidates"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +213,8 @@ def agg_term_totals(spark, sf_dir):
 
 @query()
 def scan_relevant(spark, sf_dir):
-    posts = table(spark, sf_dir, "posts_raw").select("id", "post_date", F.get_json_object("payload_json", "$.text").alias("text"))
-    return scan.relevant(scan.flag_texts(posts)).select("id", "matched_actors", "matched_leaders")
+    posts = spread(table(spark, sf_dir, "posts_raw")).select("id", "post_date", F.get_json_object("payload_json", "$.text").alias("text"))
+    return scan.flag_texts(scan.relevant_texts(posts)).select("id", "matched_actors", "matched_leaders")
 
 
 # --- aggregates of dated, labelled texts ---------------------------------------------------------------------

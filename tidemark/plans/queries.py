@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import delivery, nested, treeagg
 from tidemark.plans import analysis
-from tidemark.tables import table
+from tidemark.tables import spread, table
 
 FLAGSHIP = "agg_object_scenario"
 
@@ -23,7 +23,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark, sf_dir):
     out = None
     for name, arrays in (("posts_raw", POST_ARRAYS), ("channels_enriched", CHANNEL_ARRAYS)):
-        stripes = nested.shred(table(spark, sf_dir, name), "id", "payload_json", arrays, values=False)
+        stripes = nested.shred(spread(table(spark, sf_dir, name)), "id", "payload_json", arrays, values=False)
         rows = nested.objects(stripes, arrays).select(F.lit(name).alias("source_table"), "record_id", "parent_path", "path")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -32,7 +32,7 @@ def p2_found(spark, sf_dir):
 def p2_tables(spark, sf_dir):
     out = None
     for name, arrays in (("posts_raw", POST_ARRAYS), ("channels_enriched", CHANNEL_ARRAYS)):
-        rows = nested.flat_tables(table(spark, sf_dir, name), "id", "payload_json", arrays)
+        rows = nested.flat_tables(spread(table(spark, sf_dir, name)), "id", "payload_json", arrays)
         rows = rows.select(F.lit(name).alias("source_table"), "record_id", "table", "parent_path", "path", F.to_json("fields").alias("fields"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -40,7 +40,7 @@ def p2_tables(spark, sf_dir):
 
 def p2_reactions(spark, sf_dir):
     """The flat table of reactions, with the number of recent users hanging from each."""
-    rows = nested.flat_tables(_posts(spark, sf_dir), "id", "payload_json", POST_ARRAYS)
+    rows = nested.flat_tables(spread(_posts(spark, sf_dir)), "id", "payload_json", POST_ARRAYS)
     reactions = rows.filter("table = 'reactions[]'").select("record_id", "path", F.col("fields.emoji").alias("emoji"), F.expr("try_cast(fields.count as bigint)").alias("count"))
     recent = rows.filter("table = 'reactions[].recent[]'").groupBy("record_id", F.col("parent_path").alias("path")).agg(F.count("*").alias("n_recent"))
     return reactions.join(recent, ["record_id", "path"], "left").na.fill(0, ["n_recent"])
