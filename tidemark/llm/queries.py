@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, leaks, neardup, quality, sourcelines, spans, unify
-from tidemark.tables import table
+from tidemark.tables import spread, table
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "candidates")
+    return spread(table(spark, sf_dir, "candidates"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def p1_found(spark, sf_dir):
@@ -60,11 +64,11 @@ def p6_passages(spark, sf_dir):
 
 
 def p8_ids(spark, sf_dir):
-    return bpe.encode(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return bpe.encode(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def _leaks(spark, sf_dir):
-    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark, sf_dir):
@@ -76,11 +80,11 @@ def p9_leaks(spark, sf_dir):
 
 
 def p10_found(spark, sf_dir):
-    return quality.not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "stop_words"))
+    return quality.not_prose(_documents(spark, sf_dir), table(spark, sf_dir, "stop_words"))
 
 
 def p10_stats(spark, sf_dir):
-    stats = quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "stop_words"))
+    stats = quality.text_statistics(_documents(spark, sf_dir), table(spark, sf_dir, "stop_words"))
     return stats.withColumn("reasons", F.array_join("reasons", ","))
 
 
