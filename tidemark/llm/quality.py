@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import let
+
 #: More stop words than this are joined instead of being put into the plan.
 MAX_LITERALS = 10_000
 
@@ -20,6 +22,23 @@ _WORD = r"[\p{L}\p{N}]+"
 _SPACE = r"\p{IsWhite_Space}"
 
 
+def _statistics(docs: DataFrame, stop_words: DataFrame, id_col: str, text_col: str, word_col: str) -> DataFrame:
+    """``doc_id`` and the struct ``s`` of all statistics, one expression that the optimiser can't take apart and repeat."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    stops = stop_words.select(F.lower(F.col(word_col)).alias("word")).filter("word is not null").distinct()
+    known = [r["word"] for r in stops.limit(MAX_LITERALS + 1).collect()]
+    if len(known) <= MAX_LITERALS:
+        common = None
+    else:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        exploded = rows.select("row", F.explode(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)).alias("word"))
+        counts = exploded.join(stops, "word", "left_semi").groupBy("row").agg(F.count("*").cast("int").alias("n_common"))
+        rows = rows.join(counts, "row", "left")
+        common = F.coalesce("n_common", F.lit(0))
+    judged = F.when(~F.col("text").rlike(f"^{_SPACE}*$"), let(_counts(F.col("text"), known, common), _judged))
+    return rows.select("doc_id", judged.alias("s"))
+
+
 def text_statistics(docs: DataFrame, stop_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word") -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and its counts, ratios and failed rules.
 
@@ -31,63 +50,64 @@ def text_statistics(docs: DataFrame, stop_words: DataFrame, id_col: str = "doc_i
     text lacks common words.  No shuffle, unless there are more than
     ``MAX_LITERALS`` stop words.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    text = F.when(~F.col("text").rlike(f"^{_SPACE}*$"), F.col("text"))
-    rows = rows.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("words"))
-    stops = stop_words.select(F.lower(F.col(word_col)).alias("word")).filter("word is not null").distinct()
-    known = [r["word"] for r in stops.limit(MAX_LITERALS + 1).collect()]
-    if len(known) <= MAX_LITERALS:
-        common = F.size(F.filter("words", lambda w: F.lower(w).isin(known))) if known else F.lit(0)
-    else:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        exploded = rows.select("row", F.explode(F.transform("words", F.lower)).alias("word"))
-        counts = exploded.join(stops, "word", "left_semi").groupBy("row").agg(F.count("*").cast("int").alias("n_common"))
-        rows = rows.join(counts, "row", "left")
-        common = F.coalesce("n_common", F.lit(0))
+    return _statistics(docs, stop_words, id_col, text_col, word_col).select("doc_id", "s.*")
+
+
+def _counts(text: Column, known: list[str], common: Column | None) -> Column:
+    """Struct of the counts of one text; every pattern runs over it once."""
     ended = rf"[.!?…](?=[{_SPACE}&&[^\n]]*(?:\n|\z))"
     bullet = rf"(?:^|\n)[{_SPACE}]*(?:[•▪‣·*►–—-]|\d+[.)])[{_SPACE}]"
-    judged = F.col("words").isNotNull()
-    counted = rows.select(
-        "doc_id",
-        F.length("text").alias("n_chars"),
-        F.size("words").alias("n_words"),
-        F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")).alias("n_alnum"),
-        F.length(F.regexp_replace("text", f"{_SPACE}+", "")).alias("n_visible"),
-        F.regexp_count("text", F.lit(rf"[^\n]*\P{{IsWhite_Space}}[^\n]*")).alias("n_lines"),
-        F.regexp_count("text", F.lit(ended)).alias("n_ended"),
-        F.regexp_count("text", F.lit(bullet)).alias("n_bullets"),
-        F.when(judged, common).alias("n_common"),
-    ).withColumn("n_words", F.when(F.col("n_chars").isNotNull(), F.col("n_words")))
-    return counted.select("*", *_ratios()).withColumn("reasons", _reasons()).withColumn("is_prose", F.size("reasons") == 0)
-
-
-def _ratios() -> list[Column]:
-    def ratio(a: str | Column, b: str) -> Column:
-        return F.round(F.try_divide(F.expr(a).cast("double") if isinstance(a, str) else a, F.col(b)), 6)
-
-    return [
-        ratio("n_alnum", "n_words").alias("mean_word"),
-        ratio("n_visible - n_alnum", "n_visible").alias("symbol_ratio"),
-        ratio("n_ended", "n_lines").alias("ended_share"),
-        ratio("n_bullets", "n_lines").alias("bullet_share"),
-        ratio("n_common", "n_words").alias("common_share"),
-    ]
-
-
-def _reasons() -> Column:
+
+    def of_words(words: Column) -> Column:
+        if common is not None:
+            found = common
+        else:
+            found = F.size(F.filter(words, lambda w: F.lower(w).isin(known))) if known else F.lit(0)
+        return F.struct(F.size(words).alias("n_words"), F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).alias("n_alnum"), found.alias("n_common"))
+
+    def of_all(w: Column) -> Column:
+        return F.struct(
+            F.length(text).alias("n_chars"),
+            w["n_words"].alias("n_words"),
+            w["n_alnum"].alias("n_alnum"),
+            F.length(F.regexp_replace(text, f"{_SPACE}+", "")).alias("n_visible"),
+            F.regexp_count(text, F.lit(r"[^\n]*\P{IsWhite_Space}[^\n]*")).alias("n_lines"),
+            F.regexp_count(text, F.lit(ended)).alias("n_ended"),
+            F.regexp_count(text, F.lit(bullet)).alias("n_bullets"),
+            w["n_common"].alias("n_common"),
+        )
+
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    return let(let(words, of_words), of_all)
+
+
+def _judged(s: Column) -> Column:
+    """The counts with their ratios, the failed rules and the verdict."""
+
+    def ratio(a: Column, b: str) -> Column:
+        return F.round(F.try_divide(a.cast("double"), s[b]), 6)
+
     # Compared as whole numbers, so a ratio exactly at a threshold is no failure.
     rules = {
-        "few_words": f"n_words < {MIN_WORDS}",
-        "short_words": f"n_words > 0 and n_alnum < {MIN_MEAN} * n_words",
-        "long_words": f"n_words > 0 and n_alnum > {MAX_MEAN} * n_words",
-        "symbols": f"10 * (n_visible - n_alnum) > {round(10 * MAX_SYMBOLS)} * n_visible",
-        "line_ends": "2 * n_ended < n_lines",
-        "few_common": f"10 * n_common < {round(10 * MIN_COMMON)} * n_words",
+        "few_words": s["n_words"] < MIN_WORDS,
+        "short_words": (s["n_words"] > 0) & (s["n_alnum"] < MIN_MEAN * s["n_words"]),
+        "long_words": (s["n_words"] > 0) & (s["n_alnum"] > MAX_MEAN * s["n_words"]),
+        "symbols": 10 * (s["n_visible"] - s["n_alnum"]) > round(10 * MAX_SYMBOLS) * s["n_visible"],
+        "line_ends": 10 * s["n_ended"] < round(10 * MIN_ENDED) * s["n_lines"],
+        "few_common": 10 * s["n_common"] < round(10 * MIN_COMMON) * s["n_words"],
+    }
+    failed = F.array_compact(F.array(*(F.when(test, name) for name, test in rules.items())))
+    ratios = {
+        "mean_word": ratio(s["n_alnum"], "n_words"),
+        "symbol_ratio": ratio(s["n_visible"] - s["n_alnum"], "n_visible"),
+        "ended_share": ratio(s["n_ended"], "n_lines"),
+        "bullet_share": ratio(s["n_bullets"], "n_lines"),
+        "common_share": ratio(s["n_common"], "n_words"),
     }
-    failed = F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()))
-    return F.when(F.col("n_chars").isNotNull(), F.array_compact(failed))
+    counts = [s[c].alias(c) for c in ("n_chars", "n_words", "n_alnum", "n_visible", "n_lines", "n_ended", "n_bullets", "n_common")]
+    return let(failed, lambda f: F.struct(*counts, *(v.alias(k) for k, v in ratios.items()), f.alias("reasons"), (F.size(f) == 0).alias("is_prose")))
 
 
-def not_prose(docs: DataFrame, stop_words: DataFrame, **columns: str) -> DataFrame:
+def not_prose(docs: DataFrame, stop_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word") -> DataFrame:
     """``doc_id`` of the texts, neither null nor blank, that fail a rule."""
-    return text_statistics(docs, stop_words, **columns).filter(~F.col("is_prose")).select("doc_id")
+    return _statistics(docs, stop_words, id_col, text_col, word_col).filter(~F.col("s.is_prose")).select("doc_id")
