@@ -252,3 +252,12 @@ def test_empty_tables(none):
     assert unify.same_look_pairs(none).count() == 0 and unify.unify(none).count() == 0
     assert neardup.similar_pairs(none).count() == 0 and neardup.groups(none).count() == 0
     assert spans.shared_spans(none).count() == 0
+
+
+@pytest.mark.parametrize("partition_runs", [10_000, 1])
+def test_shared_spans_of_one_id_with_several_texts(spark, partition_runs):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, "a", a), (1, "a", b), (2, "a", "начало " + a), (3, "a", c + " конец"), (4, "a", c[:250])]
+    got = tuples(spans.shared_spans(spark.createDataFrame(rows, SCHEMA), partition_runs=partition_runs))
+    assert got == sorted([(1, 1, len(a)), (2, 8, len(a)), (3, 1, 250), (4, 1, 250)])

@@ -65,14 +65,28 @@ def suffix_runs(df: DataFrame, id_col: str, text_col: str, length: int, k: int)
     return rows.mapInArrow(run, "id long, at int, n int, part long, run long")
 
 
+def _meant(rows):
+    """The rows whose text is the one the run was made of, and their texts as a batch.
+
+    An id may stand for several texts; the run's fingerprint tells which is meant.
+    Parts of a split partition come from texts that were already told apart.
+    """
+    batch = TextBatch(rows.column("text").to_pylist())
+    right = (rows.column("gram").to_numpy() >= 0) | (batch.span_hash(batch.offsets[:-1], batch.offsets[1:]).view(np.int64) == rows.column("run").to_numpy())
+    if right.all():
+        return rows, batch
+    rows = rows.filter(pa.array(right))
+    return rows, TextBatch(rows.column("text").to_pylist())
+
+
 def _nodes(length: int):
     """Shared suffixes of each run, for partitions sorted by ``part``: ``run, lo, hi`` (half-open, from the run's first suffix)."""
     schema = pa.schema([("run", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "part", 4_000):
+            group, batch = _meant(group)
             shift = group.column("shift").to_numpy()
-            batch = TextBatch(group.column("text").to_pylist())
             # A run whose class stands in several records counts as a record of its own that shares with any.
             record = np.where(group.column("several").to_numpy(zero_copy_only=False), -1 - np.arange(batch.n), group.column("id").to_numpy())
             number = np.maximum(batch.lengths - length + 1, 0)
@@ -113,7 +127,9 @@ def _split(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in _ROW.names}
-            for row in batch.to_pylist():
+            if not batch.num_rows:
+                continue
+            for row in _meant(batch)[0].to_pylist():
                 text, n = row["text"], len(row["text"]) - length + 1
                 here = TextBatch([text])
                 if row["gram"] < 0:
@@ -169,8 +185,8 @@ def shared_spans(df: DataFrame, id_col: str = "src_id", text_col: str = "text",
     """``id, start_pos, n_chars``: each maximal run of shared characters of each record.
 
     Positions count code points from 1.  Null, empty and short texts have none.
-    Repeated rows with one id are one record: a span that only they share is not
-    shared with *another* record.
+    Rows with one id are one record, be they copies or different texts: a span that
+    only they share is not shared with *another* record, and their spans are merged.
     """
     runs = materialize(suffix_runs(df, id_col, text_col, length, k), "runs")
     classes = runs.groupBy("part", "run").agg(F.min(F.struct("id", "at", "n")).alias("first"), F.max("id").alias("last_id"))
@@ -179,7 +195,6 @@ def shared_spans(df: DataFrame, id_col: str = "src_id", text_col: str = "text",
     # Partitions whose runs are all settled, or all of one record, have no node left to find.
     open_parts = parts.filter("not settled and runs > 1 and (a <> b or s)").select("part", "runs")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Where an id stands for several texts, the fingerprint of the run tells which one is meant.
     cut = F.substring("text", F.col("at") + 1, F.col("n") + length - 1)
     wanted = materialize(classes.join(open_parts, "part"), "wanted")
     rows = wanted.join(texts, "id").select("part", "run", "id", "several", cut.alias("text"), F.lit(0).alias("shift"), F.lit(-1).alias("gram"), F.lit(0).alias("from"), F.lit(length - k + 1).alias("to"), "runs")
