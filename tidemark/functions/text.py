@@ -34,6 +34,23 @@ def tokens(c: Column, compounds: bool = False) -> Column:
     return F.regexp_extract_all(norm_text(c), F.lit(COMPOUNDS if compounds else WORDS), F.lit(0))
 
 
+def ngrams(words: Column, n: int = 2) -> Column:
+    """The words, and after them every ``n`` successive ones joined by a space."""
+    def pairs(w: Column) -> Column:
+        last = F.size(w) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.concat(w, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+
+    return let(words, pairs)
+
+
+def hashtag_only(norm: Column, stem: str) -> Column:
+    """Whether the stem occurs, and every time as a hashtag."""
+    count = F.length(norm) - F.length(F.replace(norm, F.lit(stem), F.lit("")))
+    tagged = F.length(norm) - F.length(F.replace(norm, F.lit("#" + stem), F.lit("")))
+    return (count > 0) & (count * (len(stem) + 1) == tagged * len(stem))
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -65,6 +65,26 @@ def close(a: Column, b: Column, most: int) -> Column:
     return F.exists(a, lambda i: F.exists(b, lambda j: F.abs(i - j) <= most))
 
 
+def labels_near(tokens: Column, positions: Column, r: int, labels: dict[str, str], skip: Iterable[str] = ()) -> Column:
+    """Sorted distinct labels of all tokens within ``r`` of any of the positions; tokens that begin with one of ``skip`` have none."""
+    skip = tuple(skip)
+
+    def label(t: Column) -> Column:
+        name = label_of(t, labels)
+        return F.when(~starts_with_any(t, skip), name) if skip else name
+
+    found = F.flatten(F.transform(positions, lambda i: F.transform(window(tokens, i, r), label)))
+    return F.array_sort(F.array_distinct(F.array_compact(found)))
+
+
+def label_of(token: Column, labels: dict[str, str]) -> Column:
+    """The label of the first key the token begins with, in the dictionary's order; null if there is none."""
+    out = None
+    for prefix, name in labels.items():
+        out = F.when(token.startswith(prefix), name) if out is None else out.when(token.startswith(prefix), name)
+    return out
+
+
 def first_label(tokens: Column, i: Column, r: int, labels: dict[str, str]) -> Column:
     """The label of the first token in the window that begins with a key of ``labels``; null if none does.
 
@@ -72,9 +92,6 @@ def first_label(tokens: Column, i: Column, r: int, labels: dict[str, str]) -> Co
     """
 
     def label(t: Column) -> Column:
-        out = None
-        for prefix, name in labels.items():
-            out = F.when(t.startswith(prefix), name) if out is None else out.when(t.startswith(prefix), name)
-        return out
+        return label_of(t, labels)
 
     return F.get(F.array_compact(F.transform(window(tokens, i, r), label)), F.lit(0))

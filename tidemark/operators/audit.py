@@ -44,3 +44,22 @@ def cutoff_segments(df: DataFrame, day: str, cutoffs: list[str]) -> DataFrame:
     rows = daily.select(day, "n", marks.alias("cutoff"))
     part = [F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name) for name, test in (("before_n", F.col(day) < F.col("cutoff")), ("on_n", F.col(day) == F.col("cutoff")), ("after_n", F.col(day) > F.col("cutoff")))]
     return rows.groupBy("cutoff").agg(*part)
+
+
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row ``n, raw_agreement, kappa``: how far two codings agree, and beyond chance (Cohen).
+
+    Rows with a null in either coding are left out; kappa is null where chance alone
+    explains everything.  Works on the table of counts of both codes.
+    """
+    cells = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy()).cast("double")
+    share_a = F.sum("n").over(Window.partitionBy("a")) / total
+    share_b = F.sum("n").over(Window.partitionBy("b")) / total
+    # Chance agreement is the sum of products over the codes both use: take it once for each code.
+    rows = cells.select("a", "b", "n", total.alias("total"), share_a.alias("pa"), share_b.alias("pb"))
+    left = rows.groupBy("a").agg(F.first("pa").alias("pa"))
+    right = rows.groupBy("b").agg(F.first("pb").alias("pb"))
+    chance = left.join(right, left["a"] == right["b"]).agg(F.coalesce(F.sum(F.col("pa") * F.col("pb")), F.lit(0.0)).alias("chance"))
+    raw = rows.agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).cast("double"), F.sum("n")).alias("raw_agreement"))
+    return raw.crossJoin(F.broadcast(chance)).select("n", "raw_agreement", F.try_divide(F.col("raw_agreement") - F.col("chance"), 1 - F.col("chance")).alias("kappa"))

@@ -122,6 +122,13 @@ def groups(verdicts: Column) -> Column:
     return joined(F.transform(F.filter(verdicts, lambda v: v["status"] == "match"), lambda v: v["grp"]))
 
 
+def mixed(verdicts: Column, tokens: Column, markers: dict[str, str]) -> Column:
+    """Whether a text that matches also has a guarded mention or a marker anywhere."""
+    matched = F.exists(verdicts, lambda v: v["status"] == "match")
+    guarded = F.exists(verdicts, lambda v: v["status"] == "excluded")
+    return matched & (guarded | F.exists(tokens, lambda t: W.starts_with_any(t, markers)))
+
+
 def exclusion_report(df: DataFrame, id_col: str, examples: int = 8) -> DataFrame:
     """``term, guard, n, first_ids`` of what the guards rejected: counts and the first ids in order.
 

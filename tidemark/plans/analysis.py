@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
-from tidemark.operators import audit, authors, corpus, impact, rules, scan, series, topics
+from tidemark.operators import audit, authors, corpus, impact, inference, rules, scan, series, topics
 from tidemark.sources import ingest
 from tidemark.streaming import incremental
 from tidemark.tables import materialize, spread, table
@@ -168,6 +168,41 @@ def jn_proximity(spark, sf_dir):
     return _candidates(spark, sf_dir).select("src_id", X.tokens(F.col("text")).alias("t")).filter(W.close(a, W.prefix_places(t, ["замедл", "блокир"]), 12)).select("src_id")
 
 
+# Stems of platforms, as labels of what is near a mention.
+PLATFORM_LABELS = {"telegram": "Telegram", "телеграм": "Telegram", "youtube": "YouTube", "ютуб": "YouTube", "whatsapp": "WhatsApp", "вотсап": "WhatsApp", "vpn": "VPN", "впн": "VPN"}
+_LABEL = "case " + " ".join(f"when starts_with(x, '{k}') then '{v}'" for k, v in PLATFORM_LABELS.items()) + " end"
+
+
+@query(f"""with p as (select src_id, unnest(list_filter({_AT}, lambda i: starts_with(w[i], 'роскомнадзор'))) as i, w from (select src_id, {_TOKENS} as w from candidates)),
+x as (select src_id, unnest({_win(8)}) as x from p) select src_id, string_agg(distinct {_LABEL}, ',' order by {_LABEL}) as labels from x where {_LABEL} is not null group by src_id""")
+def flt_labels_near(spark, sf_dir):
+    t = F.col("t")
+    found = W.labels_near(t, W.prefix_places(t, ["роскомнадзор"]), 8, PLATFORM_LABELS)
+    rows = _candidates(spark, sf_dir).select("src_id", X.tokens(F.col("text")).alias("t")).select("src_id", F.array_join(found, ",").alias("labels"))
+    return rows.filter("labels <> ''")
+
+
+@query(f"select src_id from (select src_id, {_NORM} as t from candidates) where contains(t, 'связь') and length(replace(t, '#связь', '')) + 6 * ((length(t) - length(replace(t, 'связь', ''))) / 5) = length(t)")
+def flt_hashtag_only(spark, sf_dir):
+    return _candidates(spark, sf_dir).filter(W.let(X.norm_text(F.col("text")), lambda t: X.hashtag_only(t, "связь"))).select("src_id")
+
+
+@query()
+def flt_mixed(spark, sf_dir):
+    carved = corpus.carve(_candidates(spark, sf_dir), "src_id", "text")
+    return carved.select(F.col("id").alias("src_id"), rules.mixed(F.col("verdicts"), F.col("tokens"), corpus.FOREIGN).alias("mixed"))
+
+
+@query("""with c as (select ensemble_label as a, case when ensemble_negative_prob > 0.4 then 'negative' when ensemble_positive_prob > 0.4 then 'positive' else 'neutral' end as b from docs_topics),
+c2 as (select * from c where a is not null), n as (select count(*) as n, count(*) filter (where a = b) as k from c2),
+e as (select sum(pa * pb) as e from (select a as code, count(*) / (select n from n) as pa from c2 group by a) x join (select b as code, count(*) / (select n from n) as pb from c2 group by b) y using (code))
+select n, round(k / n, 6) as raw_agreement, round((k / n - e) / (1 - e), 6) as kappa from n, e""")
+def agg_agreement(spark, sf_dir):
+    guess = F.when(F.col("ensemble_negative_prob").cast("double") > 0.4, "negative").when(F.col("ensemble_positive_prob").cast("double") > 0.4, "positive").otherwise("neutral")
+    out = audit.agreement(_docs(spark, sf_dir).withColumn("guess", guess), "ensemble_label", "guess")
+    return out.select("n", _r("raw_agreement"), _r("kappa"))
+
+
 @query()
 def flt_corpus(spark, sf_dir):
     return corpus.carve(_candidates(spark, sf_dir), "src_id", "text").select(F.col("id").alias("src_id"), "dropped", "footer_lines", "terms", "grps", "residual", "residual_guard")
@@ -487,6 +522,25 @@ def topic_words(spark, sf_dir):
     return out.select("topic", "word", _r("tf"), _r("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query()
+def topic_bigrams(spark, sf_dir):
+    """Words and pairs of words that mark a topic, without stop words, rare and ubiquitous ones."""
+    stops = [r["word"] for r in table(spark, sf_dir, "stop_words").select("word").distinct().limit(10_000).collect()]
+    rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
+    kept = F.filter(X.tokens(F.col("text")), lambda t: ~t.isin(stops))
+    return topics.class_tf_idf(rows, "topic_id", X.ngrams(kept), min_docs=10, max_share=0.9)
+
+
+# Stems of a demonstration scorer.
+STEMS = {"negative": ["жалоб", "сбо", "терпени", "упал", "отключ", "заблок"], "positive": ["открыли", "вырос", "доволь", "спасиб"], "neutral": ["сообщ", "ответил"]}
+
+
+@query()
+def ml_stem_scores(spark, sf_dir):
+    scores = inference.score(_candidates(spark, sf_dir), "src_id", "text", {"stems": inference.stem_scorer(STEMS), "flat": inference.stem_scorer({})})
+    return inference.ensemble_scores(scores).withColumnRenamed("id", "src_id")
+
+
 @query()
 def topic_words_over_time(spark, sf_dir):
     rows = _docs(spark, sf_dir).filter("day is not null").join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
