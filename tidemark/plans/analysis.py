@@ -323,10 +323,21 @@ _LABELS_SQL = ", ".join(f"count(*) filter (where p = '{p}'{c}) as {n}" for p in
 _SCEN = f"""{_OBJ}, e as (select max(date_day) as hi from docs_topics),
 w as (select 'full' as scenario, timestamp '{START}' as lo, hi from e union all select 'symmetric', timestamp '{CUTOFF}' - (hi - timestamp '{CUTOFF}') - interval 1 day, hi from e),
 n as (select scenario, object, {_LABELS_SQL} from (select w.scenario, o.*, case when date_day < date '{CUTOFF}' then 'before' else 'after' end as p from o join w on date_day between w.lo and w.hi) group by all)"""
-_CHI = " + ".join(f"case when (before_n * ({x})::double / (before_n + after_n)) > 0 then power({p}_{n}_n - {p}_n * ({x})::double / (before_n + after_n), 2) / ({p}_n * ({x})::double / (before_n + after_n)) else 0 end" for n in impact.LABELS for p in ("before", "after") for x in [f"(before_{n}_n + after_{n}_n)"])
-
-
-@query(f"{_SCEN} select scenario, object, before_n, after_n, " + ", ".join(f"round({p}_{x}_n / nullif({p}_n, 0), 6) as {p}_{x}" for p in ("before", "after") for x in impact.LABELS) + f", round(after_negative_n / nullif(after_n, 0) - before_negative_n / nullif(before_n, 0), 6) as delta_negative, round({_CHI}, 6) as chi2, round(exp(-({_CHI}) / 2), 6) as chi2_pvalue from n")
+# Every cell as (seen, expected); expected 0 only in a label that never occurs.
+_CELLS = [(f"{p}_{x}_n", f"({p}_n * (before_{x}_n + after_{x}_n)::double / (before_n + after_n))") for x in impact.LABELS for p in ("before", "after")]
+_PLAIN = " + ".join(f"coalesce(power({o} - {e}, 2) / nullif({e}, 0), 0)" for o, e in _CELLS)
+_YATES = " + ".join(f"coalesce(power(greatest(abs({o} - {e}) - 0.5, 0), 2) / nullif({e}, 0), 0)" for o, e in _CELLS)
+_USED = " + ".join(f"(before_{x}_n + after_{x}_n > 0)::int" for x in impact.LABELS)
+_HORNER = "0.0"
+for _c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+    _HORNER = f"({_HORNER} * t + {_c}::double)"
+
+
+@query(f"""{_SCEN}, c as (select *, {_USED} as used, case when before_n > 0 and after_n > 0 then case {_USED} when 3 then {_PLAIN} when 2 then {_YATES} else 0 end end as x from n),
+v as (select *, 1 / (1 + sqrt(x / 2) / 2) as t from c)
+select scenario, object, before_n, after_n, {", ".join(f"round({p}_{x}_n / nullif({p}_n, 0), 6) as {p}_{x}" for p in ("before", "after") for x in impact.LABELS)},
+round(after_negative_n / nullif(after_n, 0) - before_negative_n / nullif(before_n, 0), 6) as delta_negative, round(x, 6) as chi2,
+round(case when x is null then null when used = 3 then exp(-x / 2) when used = 2 then t * exp({_HORNER} - x / 2) else 1 end, 6) as chi2_pvalue from v""")
 def agg_object_scenario(spark, sf_dir):
     report = impact.with_chi_square(impact.with_shares(_scenario_counts(spark, sf_dir)))
     shares = [_r(f"{p}_{x}") for p in ("before", "after") for x in impact.LABELS]
