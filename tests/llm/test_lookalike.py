@@ -47,6 +47,7 @@ def test_kinds():
 
 
 def test_script_spelling_is_consistent():
+    assert look("The") == "The" and look("Тһе") == "The" and look("TEСT") == "ТЕСТ" and words("The THE the") == ["the", "тне", "the"]
     assert look("Bот") == "Вот" and look("VРN") == "VPN"
     assert look("VPNщик") == look("VPNщик")
 

@@ -44,7 +44,9 @@ _BASIC_LATIN = re.compile("[A-Za-z]+")
 #: Marks that combine with the letter before them.
 _MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: Letters that are neither basic Cyrillic nor basic Latin, and marks that made no letter.
-_FOREIGN = re.compile(f"[ªµºÀ-ʯͰ-ϿЀЂ-ЏѐѢ-ԯᲀ-῿{_MARKS}]")
+_FOREIGN = re.compile(f"[ªµºÀ-ʯͰ-ϿЀЂ-Џѐђ-ԯᲀ-῿{_MARKS}]")
+#: Tokens without rare letters, decomposed.
+_COMMON = re.compile(f"[А-Яа-я{_MARKS}]+|[A-Za-z{_MARKS}]+|[Α-Ωα-ω{_MARKS}]+")
 #: A token with its letters decomposed.
 _DECOMPOSED = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
 
@@ -106,17 +108,19 @@ def script_set(ch: str) -> set[str]:
     return set(SPELLINGS[cls]) if cls else {script_of(ch)}
 
 
+def _spelt(token: str, script: str) -> str:
+    return "".join(SPELLINGS[CLASS_OF[c]][script] if c in CLASS_OF else c for c in token)
+
+
 @lru_cache(maxsize=1 << 16)
 def resolve(token: str) -> str:
     """The one spelling of all tokens that look like ``token``."""
     scripts: set[str] | None = None
     for ch in filter(str.isalpha, token):
         scripts = script_set(ch) if scripts is None else scripts & script_set(ch)
-    for script in SCRIPTS:
-        if scripts and script in scripts:
-            return "".join(SPELLINGS[CLASS_OF[c]][script] if c in CLASS_OF else c for c in token)
     if scripts:
-        return token
+        spelt = [_spelt(token, s) for s in SCRIPTS if s in scripts]
+        return next((t for t in spelt if _COMMON.fullmatch(t)), spelt[0] if spelt else token)
     return "".join(CLASS_OF.get(c, c) for c in token)
 
 
