@@ -153,3 +153,13 @@ def test_checks():
     assert verify(checks, {"a": 3, "b": 1.0, "c": 31, "e": 1}) == {"a": "PASS", "b": "PASS", "c": "PASS", "d": "FAIL", "e": "FAIL", "f": "MISSING"}
     assert verify(checks[2:3], {"c": 20}) == {"c": "WARN"}
     assert snapshot(checks[:2]) == {"a": 3, "b": 1.005}
+
+
+def test_vectors_by_key(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "row long")
+    full = spark.createDataFrame([(2, [0.0, 1.0]), (1, [1.0, 0.0])], "id long, v array<double>")
+    assert {(r.row, tuple(r.vector)) for r in topics.attach_vectors(docs, full, "row", "id", "v", 2).collect()} == {(1, (1.0, 0.0)), (2, (0.0, 1.0))}
+    for wrong in (full.limit(1), full.union(full), spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>")):
+        with pytest.raises(ValueError):
+            topics.attach_vectors(docs, wrong, "row", "id", "v", 2)
+    assert topics.attach_vectors(docs, full.limit(1), "row", "id", "v", 2, strict=False).filter("vector is null").count() == 1

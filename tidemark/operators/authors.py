@@ -38,3 +38,12 @@ def latest_examples(df: DataFrame, author: str, order: list[Column], example: Co
     rows = df.select("*", F.row_number().over(w).alias("_k")).filter(F.col("_k") <= k).select(author, "_k", example.alias("_text"))
     cells = [F.coalesce(F.max(F.when(F.col("_k") == i, F.col("_text"))), F.lit("")).alias(f"example_{i}") for i in range(1, k + 1)]
     return rows.groupBy(author).agg(*cells)
+
+
+def author_report(totals: DataFrame, *details: DataFrame, key: str) -> DataFrame:
+    """``totals`` with the columns of every detail table, left-joined on ``key``; a null key meets a null key."""
+    out = totals
+    for n, detail in enumerate(details):
+        side = detail.withColumnRenamed(key, f"_key{n}")
+        out = out.join(side, F.equal_null(F.col(key), F.col(f"_key{n}")), "left").drop(f"_key{n}")
+    return out

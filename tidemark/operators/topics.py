@@ -53,6 +53,23 @@ def normalised_crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(column)))
 
 
+def attach_vectors(docs: DataFrame, vectors: DataFrame, doc_key: str, vector_key: str, vector: str, width: int, strict: bool = True) -> DataFrame:
+    """``docs`` with the vector of the same key -- never by position.
+
+    ``strict`` first makes sure, in one pass over keys and lengths, that every text
+    has exactly one vector of ``width`` numbers, and raises ``ValueError`` if not;
+    otherwise texts without a vector have null.
+    """
+    side = vectors.select(F.col(vector_key).alias("_key"), F.col(vector).alias("vector"))
+    if strict:
+        sizes = side.select("_key", F.size("vector").alias("_w")).groupBy("_key").agg(F.count("*").alias("_n"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"))
+        found = docs.select(F.col(doc_key).alias("_doc")).join(sizes, F.col("_doc") == F.col("_key"), "left")
+        row = found.agg(F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated"), F.count_if((F.col("_lo") != width) | (F.col("_hi") != width)).alias("wrong")).first()
+        if any(row):
+            raise ValueError(f"texts without a vector: {row.missing}, with several: {row.repeated}, with one of another width: {row.wrong}")
+    return docs.join(side, F.col(doc_key) == F.col("_key"), "left").drop("_key")
+
+
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     """``df`` with its vectors scaled to length 1; zero vectors stay as they are."""
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -571,6 +571,34 @@ def join_url_repair(spark, sf_dir):
     return impact.repaired_terms(rows, urls, "roskomnadzor", ["roskomnadzor", "rkn_abbr", "tspu"]).select("src_id", "terms", "in_group")
 
 
+@query("select row_id, label, round(embedding[1]::double, 5) as first from docs_topics left join embeddings on vec_id = row_id")
+def join_vectors(spark, sf_dir):
+    rows = topics.attach_vectors(_docs(spark, sf_dir).select("row_id"), table(spark, sf_dir, "embeddings"), "row_id", "vec_id", "embedding", 64, strict=False)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
+    return rows.join(labels, "row_id", "left").select("row_id", "label", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query(f"""with t as (select channel_username, count(*) as posts_total, count(*) filter (where topic_id in (6, 9)) as posts_on_topic from docs_topics group by channel_username),
+c as (select channel_username, trim(coalesce(topic_name, '')) as topic_name, count(*) as n from docs_topics group by all),
+m as (select channel_username, topic_name from c qualify row_number() over (partition by channel_username order by (topic_name <> '') desc, n desc, topic_name) = 1),
+e as (select channel_username, {_EX} as example_1 from docs_topics qualify row_number() over (partition by channel_username order by date_day desc nulls last, row_id desc, src_id desc) = 1)
+select t.*, m.topic_name, e.example_1 from t left join m on m.channel_username is not distinct from t.channel_username left join e on e.channel_username is not distinct from t.channel_username""")
+def join_author_report(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    totals = authors.author_totals(docs, "channel_username", F.col("topic_id").isin(6, 9), []).drop("popularity")
+    text = F.concat_ws(" | ", F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("")), F.col("src_id"))
+    examples = authors.latest_examples(docs, "channel_username", [F.desc_nulls_last("day"), F.desc("row_id"), F.desc("src_id")], text, 1)
+    return authors.author_report(totals, authors.typical_value(docs, "channel_username", "topic_name"), examples, key="channel_username")
+
+
+@query("""select 'posts only' as side, channel_username from (select channel_username from posts_raw except select channel_username from candidates)
+union all select 'both', channel_username from (select channel_username from posts_raw intersect select channel_username from candidates)""")
+def set_channels(spark, sf_dir):
+    posts, found = (table(spark, sf_dir, t).select("channel_username") for t in ("posts_raw", "candidates"))
+    only = posts.distinct().subtract(found.distinct()).select(F.lit("posts only").alias("side"), "channel_username")
+    return only.unionByName(posts.intersect(found).select(F.lit("both").alias("side"), "channel_username"))
+
+
 @query("select n_name, count(*) as orders_n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def join_dimensions(spark, sf_dir):
     t = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
