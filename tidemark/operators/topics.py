@@ -84,9 +84,12 @@ def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int = 10, min_d
     than ``min_docs`` texts or in more than ``max_share`` of them are left out.
     """
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(topic).alias("topic"), tokens.alias("_t"))
-    words = rows.select("_row", "topic", F.explode("_t").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"), F.count_distinct("_row").alias("docs"))
+    filtered = min_docs > 1 or max_share < 1
+    # Texts are only counted where a bound asks for it.
+    docs = F.count_distinct("_row") if filtered else F.lit(0)
+    words = rows.select("_row", "topic", F.explode("_t").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"), docs.alias("docs"))
     spread = words.groupBy("word").agg(F.sum("n").alias("f"), F.sum("docs").alias("docs"))
-    if min_docs > 1 or max_share < 1:
+    if filtered:
         total = rows.agg(F.count("*").alias("_all"))
         spread = spread.crossJoin(F.broadcast(total)).filter((F.col("docs") >= min_docs) & (F.col("docs") <= F.col("_all") * max_share)).drop("_all")
     kept = words.drop("docs").join(spread.drop("docs"), "word")
