@@ -87,6 +87,14 @@ def test_profiles_estimate_distincts(spark):
     assert got[None].n_rows == 1 and got[None].n_messages == 0
 
 
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_profiles_count_exactly(spark, fan_in):
+    hot = spark.range(60_000, numPartitions=8).select("id", F.lit("@Hot").alias("channel_username"), (F.col("id") % 30_001).alias("post_id"), F.concat(F.lit("f"), F.col("id") % 7003).alias("source_file"), F.lit("я").alias("payload_json"))
+    rest = spark.createDataFrame([(90_000, "HOT", None, None, None), (90_001, None, 1, "f", ""), (90_002, None, None, "f", None), (90_003, "b", None, None, None)], "id long, channel_username string, post_id long, source_file string, payload_json string")
+    got = {r.channel_username: tuple(r)[1:] for r in treeagg.per_channel(hot.unionByName(rest), fan_in=fan_in).collect()}
+    assert got == {"hot": (60_001, 30_001, 7003, 0, 90_000, 120_000), None: (2, 1, 1, 90_001, 90_002, 0), "b": (1, 0, 0, 90_003, 90_003, None)}
+
+
 def test_bad_arguments(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):

@@ -20,7 +20,7 @@ def channel_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "^@+", "")
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], first: dict[str, Column], merge: dict[str, Column], fan_in: int = 16) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], first: dict[str, Column], merge: dict[str, Column], fan_in: int = 16, chunks: int | None = None) -> DataFrame:
     """Per-key results of a mergeable aggregate: ``keys`` and the columns of ``first``.
 
     ``first`` builds the state of a chunk from rows, ``merge`` merges states (over
@@ -28,12 +28,14 @@ def tree_aggregate(df: DataFrame, keys: list[str], first: dict[str, Column], mer
     by the scan (``spark.sql.files.maxPartitionBytes``) and its states are formed
     by the map-side combine of the first round.  Nodes are numbered by the chunks'
     order.  Null keys are a key of their own.  An empty table gives no rows.
+    ``chunks`` is given where ``df`` is no scan: the most partitions it can have.
     """
     if set(first) != set(merge):
         raise ValueError("first and merge must name the same columns")
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    chunks = max(1, df.rdd.getNumPartitions()) if not df.isStreaming else 1
+    if chunks is None:
+        chunks = max(1, df.rdd.getNumPartitions()) if not df.isStreaming else 1
     rounds = max(1, math.ceil(math.log(chunks, fan_in))) if chunks > 1 else 1
     node = "_node"
     while node in df.columns:
@@ -51,30 +53,24 @@ def per_channel(posts: DataFrame, channel_col: str = "channel_username", fan_in:
     """Complete results per channel: ``channel_username, n_rows, n_messages, n_files, first_id, last_id, text_bytes``.
 
     ``n_messages`` is the number of different ``post_id`` and ``n_files`` that of
-    source files, both from mergeable HyperLogLog sketches (about 1.6 % standard
-    error); the others are exact.
+    source files; all are exact.  Rows are first combined to one for each channel
+    and ``post_id``, and for each channel and file, which spreads a channel over all
+    tasks; the tree then adds up these groups.
     Rows without a channel make up the null channel.  Nulls in the other columns
     don't count; a channel without any ``post_id`` has 0 messages.
     """
-    rows = posts.withColumn("_channel", channel_name(F.col(channel_col).cast("string")))
-    first = {
-        "n_rows": F.count("*"),
-        "messages": F.hll_sketch_agg("post_id"),
-        "files": F.hll_sketch_agg("source_file"),
-        "first_id": F.min("id"),
-        "last_id": F.max("id"),
-        "text_bytes": F.sum(F.octet_length("payload_json").cast("long")),
-    }
-    merge = {
-        "n_rows": F.sum("n_rows"),
-        "messages": F.hll_union_agg("messages"),
-        "files": F.hll_union_agg("files"),
-        "first_id": F.min("first_id"),
-        "last_id": F.max("last_id"),
-        "text_bytes": F.sum("text_bytes"),
-    }
-    done = tree_aggregate(rows, ["_channel"], first, merge, fan_in)
-    return done.select(F.col("_channel").alias("channel_username"), "n_rows", F.hll_sketch_estimate("messages").alias("n_messages"), F.hll_sketch_estimate("files").alias("n_files"), "first_id", "last_id", "text_bytes")
+    channel = channel_name(F.col(channel_col).cast("string")).alias("_channel")
+    messages = (
+        posts.select(channel, "post_id", "id", F.octet_length("payload_json").cast("long").alias("_bytes"))
+        .groupBy("_channel", "post_id")
+        .agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("_bytes").alias("text_bytes"))
+        .select("_channel", "n_rows", F.col("post_id").isNotNull().cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_files"), "first_id", "last_id", "text_bytes")
+    )
+    files = posts.select(channel, "source_file").filter("source_file is not null").distinct()
+    files = files.select("_channel", *(F.lit(0).cast("long").alias(c) for c in ("n_rows", "n_messages")), F.lit(1).cast("long").alias("n_files"), *(F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in ("first_id", "last_id", "text_bytes")))
+    adds = {c: F.sum(c) for c in ("n_rows", "n_messages", "n_files")} | {"first_id": F.min("first_id"), "last_id": F.max("last_id"), "text_bytes": F.sum("text_bytes")}
+    chunks = 2 * int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tree_aggregate(messages.unionByName(files), ["_channel"], adds, adds, fan_in, chunks).withColumnRenamed("_channel", "channel_username")
 
 
 def channel_counts(posts: DataFrame, channel_col: str = "channel_username", fan_in: int = 16) -> DataFrame:

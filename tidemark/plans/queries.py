@@ -75,6 +75,7 @@ _CHANNEL = "regexp_replace(lower(channel_username), '^@+', '')"
 SQL = analysis.SQL | {
     "p4_found": f"select {_CHANNEL} as channel_username from posts_raw where channel_username is not null group by 1 having count(*) * 100 >= 4 * (select count(*) from posts_raw)",
     "p4_channels": f"select {_CHANNEL} as channel_username, count(*) as n_rows, min(id) as first_id, max(id) as last_id from posts_raw group by 1",
+    "p4_profiles": f"select {_CHANNEL} as channel_username, count(*) as n_rows, count(distinct post_id) as n_messages, count(distinct source_file) as n_files, min(id) as first_id, max(id) as last_id, cast(sum(strlen(payload_json)) as bigint) as text_bytes from posts_raw group by 1",
     "p7_found": "select id from (select id, min(id) over (partition by channel_id, post_id) as winner from posts_raw where channel_id is not null and post_id is not null) where id > winner",
     "p7_kept": "select * from posts_raw where channel_id is null or post_id is null union all select * from posts_raw where channel_id is not null and post_id is not null qualify row_number() over (partition by channel_id, post_id order by id) = 1",
 }
