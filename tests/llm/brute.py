@@ -101,6 +101,25 @@ def leaked(docs, items, n):
     return out
 
 
+def aligned(a, b, edits):
+    """The most equal words in an alignment of successive words of a and b with up to so many edits of words."""
+    none = [-1] * (edits + 1)
+    above, best = [none] * (len(b) + 1), 0
+    for x in [None, *a]:
+        row = []
+        for j in range(len(b) + 1):
+            cell = [0] * (edits + 1)
+            for e in range(edits + 1):
+                if x is not None and j and x == b[j - 1]:
+                    cell[e] = max(cell[e], above[j - 1][e] + 1)
+                if e:
+                    cell[e] = max(cell[e], above[j][e - 1], *((row[j - 1][e - 1], above[j - 1][e - 1]) if j else ()))
+            row.append(cell)
+            best = max(best, *cell)
+        above = row
+    return best
+
+
 def not_prose(docs, stops):
     space = re.compile("[\t-\r \x85\xa0  -     　]")
     strip = re.compile(f"^{space.pattern}+|{space.pattern}+$")

@@ -216,6 +216,42 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     assert set(got) == brute.leaked(docs, [x for x in items if x[1]], 15)
 
 
+def edited(rng):
+    """Documents with passages of items, a word of which is replaced, missing or extra, of about the same or of quite another length."""
+    items = [(i, " ".join("".join(rng.choice("абвгдежзик") for _ in range(rng.choice([2, 6, 6, 9]))) for _ in range(rng.randrange(14, 45)))) for i in range(10)]
+    items += [(20, "сеть " * 20), (21, "да нет " * 9)]
+    docs = []
+    for d in range(240):
+        w = rng.choice(items)[1].split()
+        n = min(len(w), rng.choice([14, 15, 16, 17, 24, 30]))
+        at = rng.randrange(len(w) - n + 1)
+        part = w[at : at + n]
+        for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+            k = rng.choice([len(part) // 2, rng.randrange(len(part))])
+            new = rng.choice([["ы" * rng.choice([1, 6, 13, 40])], [], [part[k], "щ" * rng.choice([1, 7, 25])], [part[k], part[k]]])
+            part[k : k + 1] = new
+        docs.append((d, " ".join(["начало", *part, "и", "конец"])))
+    return docs, items
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_leaks_with_words_edited(spark, edits):
+    docs, items = edited(random.Random(3))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.aligned_words for r in leaks.leaks(d, i, edits=edits).filter("aligned_words >= 15").collect()}
+    best = {(a, b): brute.aligned(brute.words(t), brute.words(u), edits) for a, t in docs for b, u in items}
+    want = {k: n for k, n in best.items() if n >= 15}
+    assert len(want) > 50 and got == want
+
+
+def test_leaks_past_a_longer_word(spark):
+    words = [f"слово{chr(0x430 + k)}" for k in range(24)]
+    docs = [(1, " ".join(words[:7] + ["в" * 13] + words[8:16])), (2, " ".join(words[:12] + ["ещёоднодлинное"] + words[12:])), (3, " ".join(words[:7] + words[8:16])), (4, " ".join(words[:7] + ["в" * 13] + words[8:15]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.aligned_words) for r in leaks.leaks(d, i).filter("aligned_words >= 15").collect()}
+    assert got == {(1, 15), (2, 24), (3, 15)}
+
+
 STOPS = ["и", "в", "на", "Сеть", None, "и"]
 
 

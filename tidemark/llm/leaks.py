@@ -1,10 +1,13 @@
 """Problem 9: evaluation texts leaking into training text.
 
-Method: q-gram lemma filtering.  A passage of ``n`` characters that a document has
-with at most ``e`` edits shares at least ``n + 1 - q - e * q`` character q-grams
-with the item, all within a band of ``e`` diagonals.  Shared q-grams are counted in
-overlapping diagonal bands, regions that meet the bound are kept, and every kept
-region is verified by an alignment within its band.
+Method: q-gram lemma filtering, for characters and for words.  A passage of ``n``
+characters that a document has with at most ``e`` edits shares at least
+``n + 1 - q - e * q`` character q-grams with the item, all within a band of ``e``
+diagonals.  Shared q-grams are counted in overlapping diagonal bands, and pairs
+with a region that meets the bound are kept.  An edit of a whole word can move what
+follows by any number of characters; ``m`` equal words with at most ``e`` such edits
+have ``ceil(m / (e + 1))`` successive words unchanged, and pairs that share so many
+are kept too.  Every kept pair is verified by an alignment of its words.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrowmap import bounded
 from tidemark.llm.lookalike import folded
-from tidemark.llm.textarrays import TextBatch
+from tidemark.llm.textarrays import TextBatch, successive
 
 #: Items held in memory by every task; larger sets are worked off in blocks of so many.
 ITEM_BLOCK = 20_000
@@ -32,18 +35,30 @@ def _spaced(texts: list[str | None]) -> list[str]:
     return [" ".join(WORD.findall(folded(t))) if t else "" for t in texts]
 
 
-def _grams(texts: list[str], q: int) -> tuple[TextBatch, np.ndarray, np.ndarray, np.ndarray]:
-    """The batch; fingerprint, text and offset of every q-gram inside a text."""
-    batch = TextBatch(texts)
+def _grams(batch: TextBatch, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, text and offset of every q-gram inside a text."""
     h = batch.gram_hash(q)
     owner = np.repeat(np.arange(batch.n), batch.lengths)[: len(h)]
     at = np.flatnonzero(np.arange(len(h)) + q <= batch.offsets[1:][owner]) if len(h) else np.zeros(0, np.int64)
-    return batch, h[at], owner[at], at - batch.offsets[owner[at]]
+    return h[at], owner[at], at - batch.offsets[owner[at]]
+
+
+def _word_grams(batch: TextBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and text of every k successive words of texts from ``_spaced``."""
+    space, filled = batch.cp == 32, batch.lengths > 0
+    first, last = np.zeros(len(space), bool), np.zeros(len(space), bool)
+    first[1:], last[:-1] = space[:-1], space[1:]
+    first[batch.offsets[:-1][filled]] = True
+    last[batch.offsets[1:][filled] - 1] = True
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    owner = np.searchsorted(batch.offsets, start, side="right") - 1
+    gram, at = successive(batch.span_hash(start, end), owner, k)
+    return gram, owner[at]
 
 
 @dataclass
 class Items:
-    """Index of the items' q-grams, and the shortest passage of ``words`` words of each."""
+    """Index of the items' q-grams and runs of words, and the shortest passage of ``words`` words of each."""
 
     ids: list
     texts: list[str]
@@ -52,7 +67,8 @@ class Items:
     words: int
 
     def __post_init__(self) -> None:
-        _, gram, owner, at = _grams(self.texts, self.q)
+        batch = TextBatch(self.texts)
+        gram, owner, at = _grams(batch, self.q)
         order = np.argsort(gram, kind="stable")
         gram, self.owner, self.at = gram[order], owner[order], at[order]
         self.gram, self.first, self.count = np.unique(gram, return_index=True, return_counts=True)
@@ -61,15 +77,33 @@ class Items:
         shortest = [self._shortest(t.split(" ")) for t in self.texts]
         # Below one shared q-gram the lemma filters nothing; items without a passage can't be found.
         self.least = np.array([max(1, n + 1 - self.q * (1 + self.edits)) if n else np.iinfo(np.int64).max for n in shortest], np.int64)
+        # Of edits + 1 unchanged pieces of so many words in all, the longest has this many.
+        self.seed_words = -(-self.words // (self.edits + 1))
+        seed, owner = _word_grams(batch, self.seed_words)
+        long = np.array(shortest, np.int64)[owner] > 0
+        seed, owner = seed[long], owner[long]
+        order = np.argsort(seed, kind="stable")
+        self.seed_owner = owner[order]
+        self.seed, self.seed_first, self.seed_count = np.unique(seed[order], return_index=True, return_counts=True)
 
     def _shortest(self, words: list[str]) -> int:
         size = [len(w) for w in words]
         return min((sum(size[i : i + self.words]) + self.words - 1 for i in range(len(words) - self.words + 1)), default=0)
 
-    def regions(self, docs: list[str]) -> tuple[np.ndarray, ...]:
-        """Regions meeting the bound: document, item, lowest diagonal of the band, shared q-grams."""
-        none = (np.zeros(0, np.int64),) * 4
-        _, gram, doc, at = _grams(docs, self.q)
+    def seeded(self, docs: TextBatch) -> np.ndarray:
+        """Pairs, as document * items + item, that share a run of ``seed_words`` words."""
+        if not len(self.seed):
+            return np.zeros(0, np.int64)
+        gram, doc = _word_grams(docs, self.seed_words)
+        j = np.minimum(np.searchsorted(self.seed, gram), len(self.seed) - 1)
+        hit = self.seed[j] == gram
+        doc, j = doc[hit], j[hit]
+        return np.unique(np.repeat(doc, self.seed_count[j]) * np.int64(len(self.texts)) + self.seed_owner[_ranges(self.seed_first[j], self.seed_count[j])])
+
+    def regions(self, docs: TextBatch, seeded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and shared q-grams of every region that meets the bound or is of a seeded pair."""
+        none = (np.zeros(0, np.int64),) * 3
+        gram, doc, at = _grams(docs, self.q)
         if not len(gram) or not len(self.gram):
             return none
         maybe = np.flatnonzero(self.bitmap[(gram >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -77,13 +111,14 @@ class Items:
         hit = self.gram[j] == gram[maybe]
         maybe, j = maybe[hit], j[hit]
         # A document with fewer hits in all than the lowest bound has no region.
-        enough = np.bincount(doc[maybe], minlength=len(docs)) >= self.least.min()
+        enough = np.bincount(doc[maybe], minlength=docs.n) >= self.least.min()
+        enough[seeded // len(self.texts)] = True
         keep = enough[doc[maybe]]
         maybe, j = maybe[keep], j[keep]
         if not len(maybe):
             return none
         count = self.count[j]
-        which = np.repeat(self.first[j], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        which = _ranges(self.first[j], count)
         d, item = np.repeat(doc[maybe], count), self.owner[which]
         shift = np.int64(1) << np.int64(31)
         diagonal = np.repeat(at[maybe], count) - self.at[which] + shift
@@ -103,70 +138,65 @@ class Items:
         up[:-1][beside] = cell[1:][beside]
         down[1:][beside] = cell[:-1][beside]
         total += np.maximum(up, down)
-        low = np.where(up >= down, band, band - 1) * step - shift
-        ok = total >= self.least[pair % len(self.texts)]
-        return pair[ok] // len(self.texts), pair[ok] % len(self.texts), low[ok], total[ok]
+        ok = (total >= self.least[pair % len(self.texts)]) | np.isin(pair, seeded)
+        return pair[ok] // len(self.texts), pair[ok] % len(self.texts), total[ok]
 
 
-def banded_run(a: list[str], b: list[str], starts_a: list[int], starts_b: list[int], low: int, high: int, edits: int) -> tuple[int, int]:
-    """Longest exactly matching and longest aligned run of words of two texts within diagonals low..high (characters).
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every entry, ``count`` numbers each."""
+    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
-    The aligned run may hold up to ``edits`` words that differ, are missing or are extra.
-    """
+
+def _places(words: list[str]) -> dict[str, list[int]]:
     place: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
+    for j, w in enumerate(words):
         place.setdefault(w, []).append(j)
-    exact: dict[tuple[int, int], int] = {}
-    best = 0
-    for i, w in enumerate(a):
+    return place
+
+
+def longest_runs(a: list[str], place: dict[str, list[int]], edits: int) -> tuple[int, int]:
+    """Longest exactly matching and longest aligned run of words of two texts; ``place`` has the positions of the second's words.
+
+    The aligned run may hold up to ``edits`` words that differ, are missing or are extra; only equal words count.
+    """
+    exact = aligned = 0
+    # For the last words of a: the most equal words in a run ending at each equal word of b, with at most 0, 1, ... edits.
+    rows: list[dict[int, list[int]]] = [{} for _ in range(edits + 1)]
+    for w in a:
+        row = {}
         for j in place.get(w, ()):
-            if low <= starts_a[i] - starts_b[j] <= high:
-                n = exact.get((i - 1, j - 1), 0) + 1
-                exact[i, j] = n
-                best = max(best, n)
-    ends = [(i, j, n) for (i, j), n in exact.items() if (i + 1, j + 1) not in exact]
-    # Chain exact runs over small gaps: each differing, missing or extra word is one edit.
-    ends.sort()
-    chain: list[tuple[int, int, int, int]] = []
-    longest = best
-    for i, j, n in ends:
-        top = [(n, 0)]
-        for pi, pj, length, spent in chain:
-            gi, gj = i - n - pi, j - n - pj
-            if gi >= 0 and gj >= 0 and spent + max(gi, gj) <= edits:
-                top.append((length + n, spent + max(gi, gj)))
-        for length, spent in top:
-            chain.append((i, j, length, spent))
-            longest = max(longest, length)
-        chain = [c for c in chain if i - c[0] <= 64]
-    return best, longest
-
-
-def _word_starts(words: list[str]) -> list[int]:
-    out, at = [], 0
-    for w in words:
-        out.append(at)
-        at += len(w) + 1
-    return out
+            best = [1] * (edits + 1)
+            for gi, before in enumerate(rows):
+                for gj in range(edits + 1) if before else ():
+                    if held := before.get(j - 1 - gj):
+                        cost = max(gi, gj)
+                        for e in range(cost, edits + 1):
+                            best[e] = max(best[e], held[e - cost] + 1)
+            row[j] = best
+            exact, aligned = max(exact, best[0]), max(aligned, best[edits])
+        rows = [row, *rows[:-1]]
+    return exact, aligned
 
 
 def _search(items: Items):
-    split = [t.split(" ") if t else [] for t in items.texts]
-    starts = [_word_starts(w) for w in split]
+    places: dict[int, dict[str, list[int]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 2 << 20):
             docs = _spaced(batch.column("text").to_pylist())
-            doc, item, low, shared = items.regions(docs)
-            found: dict[tuple[int, int], list[int]] = {}
-            parts: dict[int, tuple[list[str], list[int]]] = {}
-            for d, i, lo, n in zip(doc.tolist(), item.tolist(), low.tolist(), shared.tolist()):
+            flat = TextBatch(docs)
+            seeded = items.seeded(flat)
+            most = {divmod(p, len(items.texts)): 0 for p in seeded.tolist()}
+            for d, i, n in zip(*(x.tolist() for x in items.regions(flat, seeded))):
+                most[d, i] = max(most.get((d, i), 0), n)
+            parts: dict[int, list[str]] = {}
+            found: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for (d, i), n in most.items():
                 if d not in parts:
-                    w = docs[d].split(" ")
-                    parts[d] = w, _word_starts(w)
-                exact, aligned = banded_run(parts[d][0], split[i], parts[d][1], starts[i], lo - items.edits, lo + 3 * items.edits + 1, items.edits)
-                best = found.setdefault((d, i), [0, 0, 0])
-                best[:] = max(best[0], exact), max(best[1], aligned), max(best[2], n)
+                    parts[d] = docs[d].split(" ")
+                if i not in places:
+                    places[i] = _places(items.texts[i].split(" "))
+                found[d, i] = *longest_runs(parts[d], places[i], items.edits), n
             rows = pa.array([d for d, _ in found], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array([items.ids[i] for _, i in found], pa.int64()), *(pa.array([v[c] for v in found.values()], pa.int32()) for c in range(3))], ["doc_id", "item_id", "exact_words", "aligned_words", "shared_qgrams"])
 
@@ -174,12 +204,14 @@ def _search(items: Items):
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", words: int = 15, q: int = 20, edits: int = 1) -> DataFrame:
-    """``doc_id, item_id, exact_words, aligned_words, shared_qgrams`` of each document and item with a region.
+    """``doc_id, item_id, exact_words, aligned_words, shared_qgrams`` of each document and item that may be a leak.
 
     Every document that holds at least ``words`` successive words of an item with at
-    most ``edits`` character edits is in it; ``exact_words`` is the longest run of
-    words they have in common, ``aligned_words`` the longest with up to ``edits``
-    words that differ.  Texts are compared folded.  Null and empty texts leak
+    most ``edits`` character edits is in it, and every one with ``aligned_words`` of at
+    least ``words``.  ``exact_words`` is the longest run of words they have in common,
+    ``aligned_words`` the most equal words in a run with up to ``edits`` words, of any
+    length, that differ, are missing or are extra; ``shared_qgrams`` the most that a band
+    of diagonals holds.  Texts are compared folded.  Null and empty texts leak
     nothing; items of fewer than ``words`` words can't be leaked.  Repeated ids
     give a row for each of them.
 
