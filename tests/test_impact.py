@@ -145,6 +145,16 @@ def test_clusters(spark):
     assert len(topic) == 90 and all(len({topic[i] for i in range(s, 90, 3)} - {-1}) == 1 for s in range(3))
 
 
+def test_clusters_are_fitted_on_all_rows(spark):
+    rows = spark.range(200_000, numPartitions=4)
+    # Rows that a sample of half of them by this hash would leave out.
+    rare = [r.id for r in rows.filter(F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1_000_000)) >= 500_000).limit(3).collect()]
+    place = F.when(F.col("id").isin(rare), 2).otherwise(F.col("id") % 2)
+    df = rows.select("id", F.array(*(F.when(place == i, 1.0).otherwise(0.0) + 0.001 * F.sin(F.col("id") + i) for i in range(3))).alias("v"))
+    got = topics.cluster_vectors(df, "v", "id", k=3, dims=3)
+    assert [r.id for r in got.filter("topic = 2").orderBy("id").collect()] == sorted(rare)
+
+
 def test_checks():
     def broken():
         raise OSError

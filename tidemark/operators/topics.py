@@ -114,25 +114,22 @@ def topic_words_over_time(df: DataFrame, topic: str, bin_col: str, tokens: Colum
     return merged.select("topic", "bin", "word", smooth.alias("weight"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
 
 
-def cluster_vectors(df: DataFrame, vector: str, id_col: str, k: int = 10, dims: int = 5, min_size: int = 3, seed: int = 42, fit_rows: int = 100_000) -> DataFrame:
+def cluster_vectors(df: DataFrame, vector: str, id_col: str, k: int = 10, dims: int = 5, min_size: int = 3, seed: int = 42) -> DataFrame:
     """``id, topic``: clusters of vectors, numbered by size; -1 for those far from every centre or in a small cluster.
 
     Stands in for manifold reduction and density clustering, which have no Spark
-    counterpart: unit vectors, principal components, k-means.  The models are
-    fitted on a seeded sample of about ``fit_rows`` rows, every row is assigned.  A
-    row is an outlier if it is farther from its centre than 3 times the mean.
+    counterpart: unit vectors, principal components, k-means, all fitted on all
+    rows.  A row is an outlier if it is farther from its centre than 3 times the mean.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = unit_vectors(df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v is not null"), "v").withColumn("features", array_to_vector("v"))
-    n = rows.count()
-    if not n:
+    if rows.isEmpty():
         return rows.select("id", F.lit(-1).alias("topic"))
-    fit = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < F.lit(max(1, min(1_000_000, int(1e6 * fit_rows / n)))))
-    pca = PCA(k=dims, inputCol="features", outputCol="low").fit(fit)
-    model = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(pca.transform(fit))
+    pca = PCA(k=dims, inputCol="features", outputCol="low").fit(rows)
+    model = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(pca.transform(rows))
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
     placed = model.transform(pca.transform(rows)).select("id", "cluster", vector_to_array("low").alias("low"))
     gap = F.aggregate(F.zip_with("low", F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
