@@ -102,6 +102,22 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(target).count() == 60
 
 
+def test_first_deliveries_in_reverse_order_of_time(spark, tmp_path):
+    import os
+    import shutil
+
+    from tidemark.plans import analysis
+
+    for k, day in enumerate(("20", "10", "01")):
+        rows = spark.createDataFrame([(i, f"2025-01-{day} 10:00:00") for i in range(10 * k, 10 * k + 15)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        name = tmp_path / ("events.parquet" if not k else f"events{k}.parquet")
+        shutil.copy(next((tmp_path / f"part{k}").glob("*.parquet")), name)
+        os.utime(name, (1_000_000 + k, 1_000_000 + k))
+    got = [r.event_id for r in analysis.QUERIES["stream_first_deliveries"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(35))
+
+
 def test_inference(spark):
     def broken():
         raise OSError

@@ -644,4 +644,4 @@ def stream_daily_events(spark, sf_dir):
 def stream_first_deliveries(spark, sf_dir):
     path = f"{sf_dir}/events*.parquet"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return incremental.streamed(spark, path, schema, lambda s: incremental.first_deliveries(s.withColumn("at", F.col("ts").cast("timestamp")), ["event_id"], "at").select("event_id"))
+    return incremental.streamed(spark, path, schema, lambda s: incremental.first_deliveries(s.select("event_id"), ["event_id"], "ts", None))

@@ -14,8 +14,16 @@ def windowed_counts(stream: DataFrame, time_col: str, keys: list[str], window: s
     return rows.groupBy(F.window(time_col, window).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def first_deliveries(stream: DataFrame, keys: list[str], time_col: str, lateness: str = "2 days") -> DataFrame:
-    """Each identifier once; its state is forgotten when the watermark has passed it."""
+def first_deliveries(stream: DataFrame, keys: list[str], time_col: str, lateness: str | None = "2 days") -> DataFrame:
+    """Each identifier once.
+
+    With ``lateness`` the state of an identifier is forgotten when the watermark has
+    passed it: rows later than that are dropped, and an identifier may come again.
+    With None every identifier is kept in the state, and none is lost or repeated
+    however late its rows are.
+    """
+    if lateness is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(keys)
 
 
