@@ -4,6 +4,7 @@ from pathlib import Path
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import queries as core
 
@@ -27,6 +28,16 @@ def test_runs(spark, name):
     assert len(df.columns) == len(set(df.columns)) and df.count() >= 0
 
 
+def test_bigrams_with_many_stop_words(spark, tmp_path):
+    for name in ("docs_topics", "candidates"):
+        (tmp_path / f"{name}.parquet").symlink_to(oracle.DATA / f"{name}.parquet")
+    stops = spark.read.parquet(str(oracle.DATA / "stop_words.parquet")).select("word")
+    stops.union(spark.range(60_000).selectExpr("concat('zz', id)")).write.parquet(str(tmp_path / "stop_words.parquet"))
+    rows = lambda d: sorted(map(str, core.QUERIES["topic_bigrams"](spark, str(d)).withColumns({c: F.round(c, 9) for c in ("tf", "weight")}).collect()))
+    want = rows(oracle.DATA)
+    assert want and rows(tmp_path) == want
+
+
 def test_contract(spark):
     import __spark_entry__ as entry
 

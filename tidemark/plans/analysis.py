@@ -533,12 +533,24 @@ def topic_words(spark, sf_dir):
     return out.select("topic", "word", _r("tf"), _r("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
+#: Up to so many stop words are literals of a filter; more are joined.
+MAX_STOPS = 10_000
+
+
 @query()
 def topic_bigrams(spark, sf_dir):
     """Words and pairs of words that mark a topic, without stop words, rare and ubiquitous ones."""
-    stops = [r["word"] for r in table(spark, sf_dir, "stop_words").select("word").distinct().limit(10_000).collect()]
-    rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
-    kept = F.filter(X.tokens(F.col("text")), lambda t: ~t.isin(stops))
+    stops = table(spark, sf_dir, "stop_words").filter("word is not null").select("word").distinct()
+    few = [r["word"] for r in stops.limit(MAX_STOPS + 1).collect()]
+    if len(few) <= MAX_STOPS:
+        rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
+        kept = F.filter(X.tokens(F.col("text")), lambda t: ~t.isin(few))
+    else:
+        texts = _candidates(spark, sf_dir).select("src_id", X.tokens(F.col("text")).alias("tokens"))
+        words = texts.select("src_id", F.posexplode("tokens").alias("pos", "word")).join(stops, "word", "left_anti")
+        texts = words.groupBy("src_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("tokens"))
+        kept = F.coalesce(F.col("tokens.word"), F.array().cast("array<string>"))
+        rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id"), "src_id").join(texts, "src_id", "left")
     return topics.class_tf_idf(rows, "topic_id", X.ngrams(kept), min_docs=10, max_share=0.9)
 
 
