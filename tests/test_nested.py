@@ -85,6 +85,27 @@ def test_flat_tables_keep_fields(spark):
     assert rows["$.media[1].sizes[0]"].table == "media[].sizes[]"
 
 
+def test_flat_tables_lose_no_value(spark):
+    record = {"text": "т", "views": None, "meta": {"lang": "ru"}, "media": ["a", 7, None, {"w": 1, "tags": ["x", {"y": 2}]}], "list": [True, [3]]}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, "{}"), (3, "[1]")], "id long, payload string")
+    rows = sorted((r.record_id, r.table, r.parent_path, r.path, r.fields) for r in nested.flat_tables(df, "id", "payload", ["media"]).collect())
+    value = lambda table, path, x, parent="$": (1, f"{table}.value", parent, path, {"value": x})
+    assert rows == sorted(
+        [
+            (1, "$", None, "$", {"text": "т", "views": None, "meta.lang": "ru"}),
+            (2, "$", None, "$", {}),
+            (1, "media[]", "$", "$.media[3]", {"w": "1"}),
+            (1, "media[].tags[]", "$.media[3]", "$.media[3].tags[1]", {"y": "2"}),
+            value("media[]", "$.media[0]", "a"),
+            value("media[]", "$.media[1]", "7"),
+            value("media[]", "$.media[2]", None),
+            value("media[].tags[]", "$.media[3].tags[0]", "x", "$.media[3]"),
+            value("list[]", "$.list[0]", "true"),
+            value("list[][]", "$.list[1][0]", "3"),
+        ]
+    )
+
+
 def test_empty_table_and_deep_records(spark):
     none = spark.createDataFrame([], "id long, payload string")
     assert nested.flat_tables(none, "id", "payload", ARRAYS).count() == 0

@@ -44,6 +44,8 @@ class Shredder:
 
     def __init__(self, arrays: Iterable[str], values: bool = True):
         self.arrays, self.values = frozenset(arrays), values
+        #: Of the last record, by list column: the text of every scalar element.
+        self.scalars: dict[str, list[str]] = {}
 
     def _as_held(self, name: str, value):
         if name not in self.arrays:
@@ -87,6 +89,7 @@ class Shredder:
         if not isinstance(record, dict):
             return {}
         shape: dict = {}
+        self.scalars = {}
         record = self._shape(record, shape)
         columns: dict[str, tuple[list, list, list]] = {}
         self._write(columns, shape, record, "", 0, 0, 0)
@@ -128,6 +131,8 @@ class Shredder:
             return
         for i, item in enumerate(items):
             r = depth if i else rep
+            if self.values and _kind(item) == "s":
+                self.scalars.setdefault(path, []).append(_text(item))
             self._put(columns, path, r, level + 1, _kind(item) if not self.values or isinstance(item, (dict, list)) or item is None else "s")
             self._write(columns, shape, item, path + ".", r, level + 1, depth)
             if inner is not None:
@@ -184,6 +189,9 @@ class _Path:
         self.cases = [i for i, p in enumerate(self.pieces) if p.rsplit(".", 1)[-1] in arrays and p]
         self.is_case = bool(self.cases) and self.cases[-1] == self.depth - 1
         self.parent = self.cases[-2] if len(self.cases) > 1 else None
+        if not self.is_case:
+            # An element that goes on with a list is an array, and no row.
+            self.parent = max((i for i in self.cases if i < self.depth - 1 and self.pieces[i + 1]), default=None)
         self.full = len(column.replace("[]", ".[]").split("."))
 
     def names(self, at: list[int]) -> tuple[str, str]:
@@ -222,11 +230,15 @@ def objects(stripes: DataFrame, arrays: Iterable[str]) -> DataFrame:
 
 
 def flat_tables(df: DataFrame, id_col: str, json_col: str, arrays: Iterable[str]) -> DataFrame:
-    """``record_id, table, parent_path, path, fields``: one row per object, of the table its list column names.
+    """``record_id, table, parent_path, path, fields``: one row per record, per object in a list, and per other element of one.
 
+    A record is a row of table ``$`` with path ``$`` and no parent.  An object in any
+    list is a row of the table its list column names.  A scalar or null element is a
+    row of the table named like the column and ``.value``, with the field ``value``.
     ``fields`` maps the single values of the object (of plain objects in it too, by
     dotted name) to their text; what is absent is no key, what is null has a null.
-    ``parent_path`` is the path of the enclosing row, ``$`` at the top.
+    ``parent_path`` is the path of the nearest enclosing object in one of ``arrays``,
+    ``$`` at the top.
     """
     wanted, names = frozenset(arrays), tuple(arrays)
 
@@ -240,9 +252,13 @@ def flat_tables(df: DataFrame, id_col: str, json_col: str, arrays: Iterable[str]
                 out: list[list] = [[], [], [], [], []]
                 for record_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     try:
-                        columns = shredder.stripes(json.loads(text))
+                        record = json.loads(text)
+                        columns = shredder.stripes(record)
                     except (ValueError, RecursionError):
                         continue
+                    if not isinstance(record, dict):
+                        continue
+                    top: list[tuple[str, str | None]] = []
                     # Columns of single values by the list column they hang from.
                     leaves: dict[str, list[tuple[str, list, list, int]]] = {}
                     for column, (_, level, value) in columns.items():
@@ -250,19 +266,26 @@ def flat_tables(df: DataFrame, id_col: str, json_col: str, arrays: Iterable[str]
                             table, field = column.rsplit("[].", 1)
                             full = len(column.replace("[]", ".[]").split("."))
                             leaves.setdefault(table + "[]", []).append((field, level, value, full))
+                        elif "[]" not in column and level[0] == len(column.split(".")):
+                            top.append((column, value[0]))
+                    for held, x in zip(out, (record_id, "$", None, "$", top)):
+                        held.append(x)
                     for column, (rep, _, kinds) in columns.items():
                         if not column.endswith("[]"):
                             continue
                         path = known.setdefault(column, None) or _Path(column, wanted)
                         known[column] = path
-                        if not path.is_case:
-                            continue
+                        scalars = iter(shredder.scalars.get(column, ()))
                         for n, (at, kind) in enumerate(zip(indexes(rep, path.depth), kinds)):
                             if kind == "o":
-                                parent, name = path.names(at)
-                                fields = [(f, v[n]) for f, lv, v, full in leaves.get(column, ()) if lv[n] == full]
-                                for held, x in zip(out, (record_id, column, parent, name, fields)):
-                                    held.append(x)
+                                table, fields = column, [(f, v[n]) for f, lv, v, full in leaves.get(column, ()) if lv[n] == full]
+                            elif kind in ("s", "n"):
+                                table, fields = column + ".value", [("value", next(scalars) if kind == "s" else None)]
+                            else:
+                                continue
+                            parent, name = path.names(at)
+                            for held, x in zip(out, (record_id, table, parent, name, fields)):
+                                held.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, out_schema)], schema=out_schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(json_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
