@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, leaks, neardup, quality, sourcelines, spans, unify
+from tidemark.tables import spread
 
 WORDS = "сеть связь город оператор канал проверка сбой жители ответ адрес сутки район посёлок письмо закон отчёт узел датчик неделя час".split()
 
@@ -265,23 +266,35 @@ def test_quality(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("clash"))
     s = spark.createDataFrame([(w,) for w in STOPS], "word string")
     want = brute.not_prose(docs, {w.lower() for w in STOPS if w})
-    assert {r.doc_id for r in quality.not_prose(d, s).collect()} == want
+    assert {r.doc_id for r in quality.not_prose(d, s, rules=quality.RULES[:-1]).collect()} == want
     stats = quality.text_statistics(d, s).collect()
     assert len(stats) == len(docs)
     assert all((r.reasons is None) == (r.n_chars is None) for r in stats)
 
 
-def test_quality_with_many_stop_words(spark, monkeypatch):
-    docs = quality_docs(random.Random(7))
-    d = spark.createDataFrame(docs, "doc_id long, text string")
+def test_quality_with_many_stop_words(spark, monkeypatch, tmp_path):
+    """The joined path gives the same, also over input that is read in fewer partitions than there are cores and spread."""
+    docs = quality_docs(random.Random(7)) * 3
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = spread(spark.read.parquet(str(tmp_path / "d")))
+    assert d.rdd.getNumPartitions() > 1
     s = spark.createDataFrame([(w,) for w in STOPS], "word string")
     few = sorted(map(str, quality.text_statistics(d, s).collect()))
+    assert len(few) == len(docs)
     monkeypatch.setattr(quality, "MAX_LITERALS", 2)
     assert sorted(map(str, quality.text_statistics(d, s).collect())) == few
+    assert {r.doc_id for r in quality.not_prose(d, s, rules=quality.RULES[:-1]).collect()} == brute.not_prose(docs, {w.lower() for w in STOPS if w})
     monkeypatch.undo()
     assert quality.not_prose(d, s.limit(0)).count() > 0
 
 
+def test_bullets_are_a_reason(spark):
+    text = "\n".join("- в районе сеть и в городе связь на неделе." for _ in range(20))
+    d = spark.createDataFrame([(1, text), (2, text.replace("- ", ""))], "doc_id long, text string")
+    s = spark.createDataFrame([(w,) for w in STOPS], "word string")
+    assert {r.doc_id: r.reasons for r in quality.text_statistics(d, s).collect()} == {1: ["bullets"], 2: []}
+
+
 def test_empty_tables(none):
     assert sourcelines.excess_occurrences(none).count() == 0
     assert sourcelines.without_repeated_lines(none).count() == 0

@@ -80,7 +80,8 @@ def p9_leaks(spark, sf_dir):
 
 
 def p10_found(spark, sf_dir):
-    return quality.not_prose(_documents(spark, sf_dir), table(spark, sf_dir, "stop_words"))
+    # The cases are defined by all rules but the one about bullets.
+    return quality.not_prose(_documents(spark, sf_dir), table(spark, sf_dir, "stop_words"), rules=quality.RULES[:-1])
 
 
 def p10_stats(spark, sf_dir):
@@ -107,9 +108,28 @@ common as (
 numbers as (
   select c.doc_id, n_chars, case when t is not null then len(words) end as n_words, n_alnum, n_visible, len(ls) as n_lines,
     len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…]$'))) as n_ended,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^{_SPACE}*([•▪‣·*►–—-]|[0-9]+[.)]){_SPACE}'))) as n_bullets,
     case when t is not null then coalesce(m.n, 0) end as n_common
   from counted c left join common m on m.doc_id = c.doc_id)
 """
 _FAILS = "n_words < 8 or (n_words > 0 and (n_alnum < 3 * n_words or n_alnum > 10 * n_words)) or 10 * (n_visible - n_alnum) > 3 * n_visible or 2 * n_ended < n_lines or 10 * n_common < n_words"
 
-SQL = {"p10_found": f"{_COUNTS} select doc_id from numbers where {_FAILS}"}
+_REASONS = {
+    "few_words": "n_words < 8",
+    "short_words": "n_words > 0 and n_alnum < 3 * n_words",
+    "long_words": "n_words > 0 and n_alnum > 10 * n_words",
+    "symbols": "10 * (n_visible - n_alnum) > 3 * n_visible",
+    "line_ends": "2 * n_ended < n_lines",
+    "few_common": "10 * n_common < n_words",
+    "bullets": "10 * n_bullets > 9 * n_lines",
+}
+_LISTED = "array_to_string([" + ", ".join(f"case when {test} then '{name}' end" for name, test in _REASONS.items()) + "], ',')"
+
+SQL = {
+    "p10_found": f"{_COUNTS} select doc_id from numbers where {_FAILS}",
+    "p10_stats": f"""{_COUNTS}
+select doc_id, n_chars::int as n_chars, n_words::int as n_words, n_alnum::int as n_alnum, n_visible::int as n_visible, n_lines::int as n_lines, n_ended::int as n_ended, n_bullets::int as n_bullets, n_common::int as n_common,
+  round(n_alnum / nullif(n_words, 0), 6) as mean_word, round((n_visible - n_alnum) / nullif(n_visible, 0), 6) as symbol_ratio, round(n_ended / nullif(n_lines, 0), 6) as ended_share,
+  round(n_bullets / nullif(n_lines, 0), 6) as bullet_share, round(n_common / nullif(n_words, 0), 6) as common_share,
+  case when n_chars is not null then {_LISTED} end as reasons, case when n_chars is not null then {_LISTED} = '' end as is_prose from numbers""",
+}
