@@ -123,7 +123,7 @@ _REASONS = {
     "few_common": "10 * n_common < n_words",
     "bullets": "10 * n_bullets > 9 * n_lines",
 }
-_LISTED = "array_to_string([" + ", ".join(f"case when {test} then '{name}' end" for name, test in _REASONS.items()) + "], ',')"
+_LISTED = "coalesce(array_to_string([" + ", ".join(f"case when {test} then '{name}' end" for name, test in _REASONS.items()) + "], ','), '')"
 
 SQL = {
     "p10_found": f"{_COUNTS} select doc_id from numbers where {_FAILS}",
