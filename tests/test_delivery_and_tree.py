@@ -53,6 +53,29 @@ def test_exactly_once_beyond_one_bitmap(spark, tmp_path):
     assert kept.count() == 60_000 and kept.agg(F.max("id")).first()[0] == 59_999
 
 
+def test_dropped_rows_are_the_rest(spark, stored):
+    got = delivery.dropped_rows(stored, KEY, "id", ["id", "_first"], batch_rows=9)
+    assert sorted(got.collect()) == sorted((i, "clash") for i in losers(deliveries()))
+
+
+def _partitions(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_files_and_row_groups_are_read_by_many_tasks(spark, tmp_path):
+    many, large = str(tmp_path / "many"), str(tmp_path / "large")
+    rows = spark.range(0, 80_000).select("id", (F.col("id") % 60_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    rows.repartition(16).write.parquet(many)
+    # Row groups are closed by size, looked at every hundred rows or more.
+    rows.coalesce(1).write.option("parquet.block.size", 200_000).option("parquet.page.size.row.check.min", 100).option("parquet.block.size.row.check.min", 100).parquet(large)
+    want = sorted(r.id for r in rows.collect() if r.id < 60_000)
+    for path in (many, large):
+        kept = delivery.exactly_once(spark.read.parquet(path), ["k"], "id")
+        assert sorted(r.id for r in kept.collect()) == want
+        assert _partitions(kept) >= 4
+        assert delivery.dropped_rows(spark.read.parquet(path), ["k"], "id", ["id"]).count() == 20_000
+
+
 def test_no_rows(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], SCHEMA).write.parquet(path)

@@ -62,7 +62,7 @@ KEY = ["channel_id", "post_id"]
 
 
 def p7_found(spark, sf_dir):
-    return delivery.repeated_deliveries(_posts(spark, sf_dir).select("id", *KEY), KEY, "id").select("id")
+    return delivery.dropped_rows(_posts(spark, sf_dir), KEY, "id", ["id"])
 
 
 def p7_kept(spark, sf_dir):
