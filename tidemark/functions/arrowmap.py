@@ -23,11 +23,13 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <
             start = end
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000, low_bits: int = 0) -> Iterator[pa.Table]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000, low_bits: int = 0, most: int | None = None) -> Iterator[pa.Table]:
     """Tables of whole groups from a partition that is sorted by ``key``.
 
-    A table holds many groups, never a part of one; a group is only as large as
-    the rows that share its key, but for its ``low_bits`` lowest bits.
+    A table holds many groups; a group is only as large as the rows that share its
+    key, but for its ``low_bits`` lowest bits.  Without ``most`` a table never holds a
+    part of a group; with it, a group of at least so many rows comes in parts, each a
+    table of its own but for the last, which is followed by other groups.
     """
     held: list[pa.RecordBatch] = []
     count = 0
@@ -46,6 +48,9 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_00
             yield whole.slice(0, cut)
             held = whole.slice(cut).to_batches()
             count = whole.num_rows - cut
+        elif most is not None and count >= most:
+            yield whole
+            held, count = [], 0
     if count:
         yield pa.Table.from_batches(held)
 
