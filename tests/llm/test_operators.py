@@ -3,9 +3,11 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrowmap
 from tidemark.llm import bpe, leaks, neardup, quality, sourcelines, spans, unify
 from tidemark.tables import spread
 
@@ -125,21 +127,66 @@ def test_similar_groups(df, rows):
     assert len({r["class"] for r in two}) == 1 and all(r.n_copies == 3 for r in two)
 
 
-def test_regions_that_must_be_cut(spark, monkeypatch):
-    """Hundreds of versions of one text, every pair similar: the blocks find what the cuts separate."""
+def versions(n):
+    """Versions of one text, every pair similar."""
     rng = random.Random(11)
     words = [f"слово{i}" for i in range(80)]
     rows = []
-    for i in range(150):
+    for i in range(n):
         w = list(words)
         w[rng.randrange(80)] = f"правка{i}"
         rows.append((i, "a", " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("name,value", [("REGION", 64), ("HOT", 1), ("HELD", 20), ("POSTING", 30)])
+def test_regions_that_must_be_cut(spark, monkeypatch, name, value):
+    """Hundreds of versions: the exact search finds what the cuts separate, however the region is worked on."""
+    monkeypatch.setattr(neardup, name, value)
+    if name == "HELD":
+        monkeypatch.setattr(arrowmap.sorted_groups, "__defaults__", (10, 0, None))
+    rows = versions(150)
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute.similar([(i, t) for i, _, t in rows], 3, 0.6)
     assert len(want) == 150 * 149 // 2
     assert set(tuples(neardup.similar_pairs(df, words=3, similarity=0.6))) == want
 
 
+def test_parts_of_a_region_are_all_searched_exactly():
+    """A region that is held in parts is a large one to its end, however small its last part."""
+    keys = [5 << neardup.LOW_BITS | i for i in range(150)] + [6 << neardup.LOW_BITS, 6 << neardup.LOW_BITS]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 10]), pa.array(range(i, min(i + 10, 152)))], ["key", "class"]) for i in range(0, 152, 10)]
+    defaults, arrowmap.sorted_groups.__defaults__ = arrowmap.sorted_groups.__defaults__, (10, 0, None)
+    try:
+        out = [r for b in neardup._walk(70)(iter(batches)) for r in b.to_pylist()]
+    finally:
+        arrowmap.sorted_groups.__defaults__ = defaults
+    assert {r["a"] for r in out if r["b"] is None} == set(range(150))
+    assert {(r["a"], r["b"]) for r in out if r["b"] is not None and r["b"] >= 150} == {(150, 151)}
+
+
+def test_keys_that_stand_for_several_sets(spark, df, rows):
+    got = tuples(neardup.similar_classes(df, words=3, similarity=0.6, class_bits=3)[0])
+    want = neardup.similar_classes(df, words=3, similarity=0.6)[0].collect()
+    for pairs in (got, want):
+        assert len(pairs) == sum(t is not None for _, _, t in rows)
+    assert len({c for _, c in got}) == len({c for _, c in want})
+    assert set(tuples(neardup.similar_pairs(df, words=3, similarity=0.6))) == brute.similar([(i, t) for i, _, t in rows], 3, 0.6)
+
+
+def test_a_boilerplate_of_many_is_not_squared(spark, monkeypatch):
+    """20,000 texts with half of their wording in common stand in the same regions; few of them become candidates."""
+    counted = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda *a: counted.append(a[-1].count()) or verified(*a))
+    notice = " ".join(f"слово{i}" for i in range(40))
+    text = F.concat_ws(" ", F.lit(notice), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.col("src_id"), i), F.lit(1_000_000)).cast("string"))), " "))
+    df = spark.range(20_000).select(F.col("id").alias("src_id"), text.alias("text"))
+    df = df.union(df.filter("src_id < 3").select(F.col("src_id") + 20_000, F.concat("text", F.lit(" ещё")))).repartition(8)
+    assert tuples(neardup.similar_pairs(df, words=3, similarity=0.6)) == [(0, 20_000), (1, 20_001), (2, 20_002)]
+    assert counted[0] < 20_000
+
+
 @pytest.mark.parametrize("length,k", [(200, 80), (60, 20)])
 def test_shared_spans(df, rows, length, k):
     want = brute.shared_spans([(i, t) for i, _, t in dict((r[0], r) for r in rows).values()], length)

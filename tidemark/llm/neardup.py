@@ -1,12 +1,19 @@
 """Problem 5: near-duplicate records with small edits.
 
 Method: an LSH forest.  Every class of equal shingle sets gets MinHash values;
-each of ``TREES`` trees orders the classes by a signature of its own choice of
-values.  Classes with a common prefix of ``DEPTH`` values are neighbours and
-become candidates; a region with more than ``REGION`` classes is cut deeper,
-down to where it is small, and the pairs such a cut separates are compared in
-blocks through their sketches, so no pair is given up.  Candidates pass a sketch
-comparison and are then verified exactly on their whole texts.
+each of ``TREES`` trees has a label for a class, some bits of each of its own
+choice of values one after the other, and keeps the classes in the order of their
+labels.  Classes whose labels have a prefix of ``DEPTH`` values in common stand in
+one region, and the neighbours by longest common prefix in it are candidates: the
+prefix grows, region by region, until at most ``REGION`` classes share it.
+
+What such a growing prefix separates is not given up.  The classes of all regions
+that were cut are searched exactly as well: two sets that are similar enough have
+one of the rarest shingles of each in common (prefix filter), so classes meet at
+rare shingles only, however many share a boilerplate.
+
+Candidates pass a comparison of sketches and are then verified exactly on their
+whole texts.
 """
 
 from __future__ import annotations
@@ -23,35 +30,46 @@ from tidemark.llm.lookalike import folded
 from tidemark.llm.textarrays import TextBatch, mix, successive
 from tidemark.tables import materialize, small
 
-#: MinHash values of a class; a tree uses DEPTH of them as its prefix and two more below.
+#: MinHash values of a class; a tree's label is made of DEPTH values and DEEPER further ones, so many bits of each.
 VALUES, TREES, DEPTH, DEEPER = 192, 64, 4, 2
-#: A key is a signature in sort order: 52 bits for tree and prefix, DEEP_BITS for each value below.
-DEEP_BITS = 6
-LOW_BITS = DEEP_BITS * DEEPER
+BITS = (12,) * DEPTH + (8,) * DEEPER
+LOW_BITS = sum(BITS[DEPTH:])
 #: Classes a task remembers, so that copies send their keys once.
-REMEMBERED = 2_000_000
-#: A region of more classes is cut deeper; blocks of the comparison of what a cut separates.
-REGION, BLOCK = 64, 256
-#: Sketch: SKETCH_BITS bits of each of the first 64 values, in two words.
+REMEMBERED = 250_000
+#: A region of more classes is cut deeper.
+REGION = 64
+#: A region with so many classes in a 64th of all is not even brought together: its classes are searched exactly.
+HOT = 2_000
+#: Classes of a region that one task holds at a time.
+HELD = 1_000_000
+#: Counters of how frequent a shingle is; only the order of the shingles depends on them.
+COUNTERS = 1 << 20
+#: Classes that one task compares with all others at one shingle; shingles of more are split.
+POSTING = 4096
+#: Sketch: two bits of each of the first 64 values, in two words.
 SKETCH_VALUES = 64
 
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _CHOICE = np.stack([_RNG.permutation(VALUES)[: DEPTH + DEEPER] for _ in range(TREES)])
+_SALT = _RNG.integers(0, 1 << 63, (TREES, DEPTH + DEEPER), dtype=np.uint64)
+_OTHER = np.uint64(0x6A09E667F3BCC909)
 
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word sequences of the folded texts: hash and owner, sorted and unique by (owner, hash); digest of each text's words."""
+    """Hashed word sequences of the folded texts: hash and owner, sorted and unique by (owner, hash); two digests of each text's words."""
     batch = TextBatch([folded(t) for t in texts])
     start, end, owner = batch.words()
     word = batch.span_hash(start, end)
     # Digest of the word sequence, for texts too short for any shingle.
-    whole = np.zeros(batch.n, np.uint64)
+    whole = np.zeros((2, batch.n), np.uint64)
     if len(word):
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         place = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
-        whole[owner[first]] = np.add.reduceat(mix(word + mix(place.astype(np.uint64))), first)
+        placed = mix(word + mix(place.astype(np.uint64)))
+        whole[0, owner[first]] = np.add.reduceat(placed, first)
+        whole[1, owner[first]] = np.add.reduceat(mix(placed ^ _OTHER), first)
     gram, at = successive(word, owner, words)
     own = owner[at]
     order = np.lexsort((gram, own))
@@ -77,59 +95,66 @@ def signatures(gram: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return out.T, owner[first]
 
 
+def set_keys(gram: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of every text's set of shingles, of its words where it has none."""
+    cls, check = whole.copy()
+    if len(gram):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        count = np.diff(np.append(first, len(gram))).astype(np.uint64)
+        cls[owner[first]] = mix(np.add.reduceat(mix(gram), first) + count)
+        check[owner[first]] = mix(np.add.reduceat(mix(gram ^ _OTHER), first) + count)
+    return cls, check
+
+
 def _index(batch: pa.RecordBatch, words: int) -> tuple:
     gram, owner, whole = shingles(batch.column(1).to_pylist(), words)
     sig, have = signatures(gram, owner, batch.num_rows)
     n = batch.num_rows
-    cls = whole.copy()
-    if len(gram):
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        cls[have] = mix(np.add.reduceat(mix(gram), first) + np.diff(np.append(first, len(gram))).astype(np.uint64))
+    cls, check = set_keys(gram, owner, whole)
     sketch = np.zeros((2, n), np.uint64)
     bits = (mix(sig[:, :SKETCH_VALUES]) >> np.uint64(62)).astype(np.uint64)
     for v in range(SKETCH_VALUES):
         sketch[v // 32, have] |= bits[:, v] << np.uint64(2 * (v % 32))
-    keys = np.zeros((n, TREES), np.uint64)
+    labels = np.zeros((n, TREES), np.uint64)
     for t in range(TREES):
-        acc = np.full(len(have), np.uint64(t + 1))
-        for v in _CHOICE[t, :DEPTH]:
-            acc = mix(acc + sig[:, v])
-        acc >>= np.uint64(LOW_BITS)
-        for v in _CHOICE[t, DEPTH:]:
-            acc = (acc << np.uint64(DEEP_BITS)) | (mix(sig[:, v]) >> np.uint64(64 - DEEP_BITS))
-        keys[have, t] = acc
+        label = np.zeros(len(have), np.uint64)
+        for v, salt, b in zip(_CHOICE[t], _SALT[t], BITS):
+            label = (label << np.uint64(b)) | (mix(sig[:, v] ^ salt) >> np.uint64(64 - b))
+        labels[have, t] = label
     has = np.zeros(n, bool)
     has[have] = True
-    return cls, has, sketch, keys
+    return cls, check, has, sketch, labels
 
 
-def index(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id, class, lo, hi, keys`` of every row.
+def index(df: DataFrame, id_col: str, text_col: str, words: int, class_bits: int = 64) -> DataFrame:
+    """``id, class, check, lo, hi, keys`` of every row.
 
-    ``class`` is a 64-bit key of the set of shingles (of the word sequence where
-    there is no shingle): rows of one class are copies of each other here.  Keys
-    come with the first row of a class in a task; the others, and rows without a
-    shingle, have null.
+    ``class`` and ``check`` are keys of the set of shingles (of the word sequence where
+    there is no shingle), 128 bits in all: rows that agree in both are copies of each
+    other here.  ``keys`` are the labels in all trees; they come with the first row of a
+    class in a task; the others, and rows without a shingle, have null.
     """
+    mask = np.uint64((1 << class_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in bounded(batches, "text", 2 << 20):
-            cls, has, sketch, keys = _index(batch, words)
+            cls, check, has, sketch, labels = _index(batch, words)
             send = has.copy()
             for i in np.flatnonzero(has):
-                c = int(cls[i])
+                c = int(check[i])
                 send[i] = c not in seen
                 seen.add(c)
             if len(seen) > REMEMBERED:
                 seen.clear()
             cuts = np.concatenate([[0], np.cumsum(send)]).astype(np.int32) * TREES
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[send].reshape(-1).view(np.int64)), mask=pa.array(~send))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls.view(np.int64)), pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64)), lists], ["id", "class", "lo", "hi", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(labels[send].reshape(-1).view(np.int64)), mask=pa.array(~send))
+            numbers = [pa.array(x.view(np.int64)) for x in (cls & mask, check, *sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists], ["id", "class", "check", "lo", "hi", "keys"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInArrow(run, f"id {kind}, class long, lo long, hi long, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, class long, check long, lo long, hi long, keys array<long>")
 
 
 def _pairs_in(order: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,40 +177,45 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(new)))
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in the forest's sorted orders: pairs, and members of regions that had to be cut."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.int64())])
-    for group in sorted_groups(batches, "key", low_bits=LOW_BITS):
-        key, cls = (group.column(c).to_numpy() for c in ("key", "class"))
-        # A class comes once from every task that has it.
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[once], cls[once]
-        order = np.arange(len(key))
-        start, size = _runs(key >> LOW_BITS)
-        a, b = _pairs_in(order, start[size <= REGION], size[size <= REGION])
-        out_a, out_b, region = [cls[a]], [cls[b]], [np.zeros(len(a), np.int64)]
-        for s, n in zip(start[size > REGION], size[size > REGION]):
-            # Cut deeper: first by one more value, then by two; what stays together and is small is paired.
-            part = slice(s, s + n)
-            done = np.zeros(n, bool)
-            for bits in range(DEEP_BITS * (DEEPER - 1), -1, -DEEP_BITS):
-                cut, count = _runs(key[part] >> bits)
-                ok = (count <= REGION) & ~done[cut]
-                i, j = _pairs_in(order[part], cut[ok], count[ok])
-                out_a.append(cls[i])
-                out_b.append(cls[j])
-                region.append(np.zeros(len(i), np.int64))
-                for x, c in zip(cut[ok], count[ok]):
-                    done[x : x + c] = True
-            # Every member goes on to the comparison of what the cuts separated, in numbered blocks.
-            out_a.append(cls[part])
-            out_b.append(np.arange(n) // BLOCK)
-            region.append(np.full(n, (key[s] >> LOW_BITS) or 1))
-        a, b, r = map(np.concatenate, (out_a, out_b, region))
-        swap = (r == 0) & (a > b)
-        a[swap], b[swap] = b[swap], a[swap]
-        yield from emit(schema, a=a, b=b, region=r)
+def _walk(held: int):
+    """Neighbours in the trees' orders: pairs ``a, b``, and with a null ``b`` the classes of regions that had to be cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        going_on = None
+        for group in sorted_groups(batches, "key", low_bits=LOW_BITS, most=held):
+            key, cls = (group.column(c).to_numpy() for c in ("key", "class"))
+            # A class comes once from every task that has it.
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            key, cls = key[once], cls[once]
+            order = np.arange(len(key))
+            start, size = _runs(key >> LOW_BITS)
+            large = size > REGION
+            # A region that comes in parts is a large one to its end.
+            large[0] |= going_on == key[0] >> LOW_BITS
+            going_on = key[-1] >> LOW_BITS
+            a, b = _pairs_in(order, start[~large], size[~large])
+            out_a, out_b, cut = [cls[a]], [cls[b]], []
+            for s, n in zip(start[large], size[large]):
+                part = slice(s, s + n)
+                # The common prefix grows value by value; what it leaves together and is small is paired and done.
+                done = np.zeros(n, bool)
+                for depth in range(DEPTH + 1, len(BITS) + 1):
+                    first, count = _runs(key[part] >> sum(BITS[depth:]))
+                    ok = (count <= REGION) & ~done[first]
+                    i, j = _pairs_in(order[part], first[ok], count[ok])
+                    out_a.append(cls[i])
+                    out_b.append(cls[j])
+                    done[np.repeat(first[ok], count[ok]) + np.arange(count[ok].sum()) - np.repeat(np.cumsum(count[ok]) - count[ok], count[ok])] = True
+                cut.append(cls[part])
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            yield from emit(schema, a=np.minimum(a, b), b=np.maximum(a, b))
+            if cut:
+                members = np.unique(np.concatenate(cut))
+                yield from emit(schema, a=members, b=pa.nulls(len(members), pa.int64()))
+
+    return run
 
 
 def _agreeing(x: Column) -> Column:
@@ -200,80 +230,115 @@ def min_agreement(similarity: float) -> int:
     return max(0, int(SKETCH_VALUES * p - 4.1 * (SKETCH_VALUES * p * (1 - p)) ** 0.5))
 
 
-def _block_pairs(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of one region whose sketches agree enough, found block against block."""
-    rows = members.select("region", F.col("a").alias("class"), F.col("b").alias("block")).join(sketches, "class")
-    last = members.groupBy("region").agg(F.max("b").alias("last"))
-    rows = rows.join(last, "region")
-    left = rows.select("region", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), "class", "lo", "hi", F.lit(0).alias("side"))
-    right = rows.select("region", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), "class", "lo", "hi", F.lit(1).alias("side"))
+def _agreement() -> Column:
+    return _agreeing(F.col("alo").bitwiseXOR(F.col("blo"))) + _agreeing(F.col("ahi").bitwiseXOR(F.col("bhi")))
+
 
-    def compare(pdf):
-        import pandas as pd
+def _grams(df: DataFrame, id_col: str, text_col: str, words: int, classes: DataFrame) -> DataFrame:
+    """``class, grams``: the shingles of ``classes`` (``class, id, own, check``), from the whole text of one member of each."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # An id that stands for several rows may stand for several texts; the keys pick the right one again.
+    rows = texts.join(small(classes, 200_000), "id").select("class", "check", "text")
 
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        agree = np.zeros((len(x), len(y)), np.int64)
-        for word in ("lo", "hi"):
-            e = x[word].to_numpy().view(np.uint64)[:, None] ^ y[word].to_numpy().view(np.uint64)[None, :]
-            agree += 32 - np.bitwise_count((e | (e >> np.uint64(1))) & np.uint64(0x5555555555555555))
-        i, j = np.nonzero(agree >= least)
-        p, q = x["class"].to_numpy()[i], y["class"].to_numpy()[j]
-        keep = p < q if pdf["i"].iloc[0] == pdf["j"].iloc[0] else p != q
-        return pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep]})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text", 2 << 20):
+            gram, owner, whole = shingles(batch.column("text").to_pylist(), words)
+            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            same = set_keys(gram, owner, whole)[1].view(np.int64) == batch.column("check").to_numpy()
+            out = pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram.view(np.int64)))], ["class", "grams"])
+            yield out.filter(pa.array(same))
+
+    return rows.mapInArrow(sets, "class long, grams array<long>").groupBy("class").agg(F.first("grams").alias("grams"))
 
-    return left.unionByName(right).groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
 
+def _rare(counts: np.ndarray, similarity: float):
+    """The rarest shingles of every set, as many as two similar enough sets can't do without."""
 
-def similar_classes(df: DataFrame, id_col: str = "src_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            size = np.diff(lists.offsets.to_numpy())
+            gram, owner = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), size)
+            order = np.lexsort((gram, counts[gram & (COUNTERS - 1)], owner))
+            gram, owner = gram[order], owner[order]
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+            kept = place < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]
+            row = pa.array(owner[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[kept]), batch.column("class").take(row), pa.array(size[owner[kept]].astype(np.int32)), batch.column("lo").take(row), batch.column("hi").take(row)], ["gram", "class", "size", "lo", "hi"])
+
+    return run
+
+
+def _exact_candidates(grams: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of the given classes that can be similar enough, met at one of their rarest shingles.
+
+    The order of the shingles is by a fixed number of counters; any order is right,
+    this one makes the lists short.  A list of more than ``POSTING`` classes is split.
+    """
+    grams = materialize(grams, "grams")
+    bucket = F.col("gram").bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    held = grams.select(F.explode("grams").alias("gram")).groupBy(bucket.alias("i")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[held.column("i").to_numpy()] = held.column("n").to_numpy()
+    rare = grams.join(sketches, "class").mapInArrow(_rare(counts, similarity), "gram long, class long, size int, lo long, hi long")
+    rare = materialize(rare, "rare")
+    lists = rare.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", F.ceil(F.col("n") / POSTING).cast("int").alias("parts"))
+    met = rare.join(lists, "gram")
+    a = met.select("gram", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias("a" if c == "class" else "a" + c) for c in ("class", "size", "lo", "hi")))
+    b = met.select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias("b" if c == "class" else "b" + c) for c in ("class", "size", "lo", "hi")))
+    alike = (F.col("a") < F.col("b")) & (F.least("asize", "bsize") >= similarity * F.greatest("asize", "bsize") - 1e-9) & (_agreement() >= min_agreement(similarity))
+    return a.join(b, ["gram", "part"]).filter(alike).select("a", "b").distinct()
+
+
+def _neighbours(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, cut)``: candidates ``a, b`` of the forest, and the classes of regions that were cut deeper."""
+    trees = indexed.select(F.explode("keys").alias("key"), "class").withColumn("region", F.shiftright("key", LOW_BITS))
+    # Which regions are hot is estimated from a 64th of the classes; it decides where a class is worked on, not what is found.
+    hot = trees.filter(F.xxhash64("class").bitwiseAND(F.lit(63)) == 0).groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT).select("region")
+    hot = materialize(hot, "hot")
+    some = not hot.isEmpty()
+    cold = trees.join(small(hot, 100_000), "region", "left_anti") if some else trees
+    walked = cold.repartition("region").sortWithinPartitions("key", "class").select("key", "class").mapInArrow(_walk(HELD), "a long, b long")
+    walked = materialize(walked, "neighbours")
+    cut = walked.filter("b is null").select(F.col("a").alias("class"))
+    if some:
+        cut = cut.union(trees.join(small(hot, 100_000), "region", "left_semi").select("class"))
+    return walked.filter("b is not null"), cut.distinct()
+
+
+def similar_classes(df: DataFrame, id_col: str = "src_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, class_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """``(membership, links)``.
 
     ``membership`` has one row ``id, class`` per row with a text; ``links`` one row
     ``a, b, similarity`` (a < b) for every two classes whose sets of ``words``-word
     sequences have at least ``similarity`` of their union in common.  Null texts are
     in neither; texts without any such sequence are a class only with texts of the
-    same words.
+    same words.  ``class_bits`` below 64 only serve tests of classes with equal keys.
     """
-    indexed = materialize(index(df, id_col, text_col, words), "forest")
+    indexed = materialize(index(df, id_col, text_col, words, class_bits), "forest").withColumn("own", F.col("class"))
+    # A key that stands for several sets gives way to one made of all 128 bits.
+    mistaken = indexed.groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("class", F.lit(True).alias("several"))
+    mistaken = materialize(mistaken, "mistaken")
+    if not mistaken.isEmpty():
+        indexed = indexed.join(small(mistaken, 200_000), "class", "left").withColumn("class", F.when(F.col("several"), F.xxhash64("own", "check")).otherwise(F.col("own")))
     membership = indexed.select("id", "class")
     # Copies: one partial row per class and task, so a class holding a third of all rows is no hot spot.
-    classes = indexed.filter("keys is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    trees = indexed.select(F.explode("keys").alias("key"), "class")
-    walked = trees.repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "class").mapInArrow(_walk, "a long, b long, region long")
-    walked = materialize(walked, "neighbours")
-    sketches = classes.select("class", "lo", "hi")
-    candidates = walked.filter("region = 0").select("a", "b").distinct()
+    classes = indexed.filter("keys is not null").groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("check", "lo", "hi")))
+    sketches, members = classes.select("class", "lo", "hi"), classes.select("class", "id", "check")
+    pairs, cut = _neighbours(indexed.filter("keys is not null").select("keys", "class"))
     x, y = sketches.toDF("a", "alo", "ahi"), sketches.toDF("b", "blo", "bhi")
-    least = min_agreement(similarity)
-    agree = _agreeing(F.col("alo").bitwiseXOR(F.col("blo"))) + _agreeing(F.col("ahi").bitwiseXOR(F.col("bhi")))
-    likely = candidates.join(x, "a").join(y, "b").filter(agree >= least).select("a", "b")
-    cut = walked.filter("region <> 0")
+    likely = pairs.distinct().join(x, "a").join(y, "b").filter(_agreement() >= min_agreement(similarity)).select("a", "b")
     if not cut.isEmpty():
-        likely = likely.union(_block_pairs(cut, sketches, least)).distinct()
+        searched = members.join(small(cut, 200_000), "class", "left_semi")
+        likely = likely.union(_exact_candidates(_grams(df, id_col, text_col, words, searched), sketches, similarity)).distinct()
     likely = materialize(likely, "likely")
-    return membership, _verified(df, id_col, text_col, words, similarity, classes.select("class", "id"), likely)
+    return membership, _verified(df, id_col, text_col, words, similarity, members, likely)
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, classes: DataFrame, likely: DataFrame) -> DataFrame:
+def _verified(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, members: DataFrame, likely: DataFrame) -> DataFrame:
     """Exact similarity of the likely pairs, from the whole text of one member of each class."""
     involved = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct()
-    representatives = classes.join(small(involved, 200_000), "class", "left_semi")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # An id that stands for several rows may stand for several texts; the class picks the right one again.
-    rows = texts.join(small(representatives, 200_000), "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 2 << 20):
-            gram, owner, _ = shingles(batch.column("text").to_pylist(), words)
-            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-            cls = np.zeros(batch.num_rows, np.uint64)
-            if len(first):
-                cls[owner[first]] = mix(np.add.reduceat(mix(gram), first) + np.diff(np.append(first, len(gram))).astype(np.uint64))
-            same = cls.view(np.int64) == batch.column("class").to_numpy()
-            out = pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram.view(np.int64)))], ["class", "grams"])
-            yield out.filter(pa.array(same))
-
-    grams = rows.select("class", "text").mapInArrow(sets, "class long, grams array<long>").groupBy("class").agg(F.first("grams").alias("grams"))
+    grams = _grams(df, id_col, text_col, words, members.join(small(involved, 200_000), "class", "left_semi"))
     both = likely.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
