@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrowmap
 from tidemark.llm import bpe, leaks, neardup, quality, sourcelines, spans, unify
+from tidemark.llm.textarrays import common_prefixes
 from tidemark.tables import spread
 
 WORDS = "сеть связь город оператор канал проверка сбой жители ответ адрес сутки район посёлок письмо закон отчёт узел датчик неделя час".split()
@@ -198,6 +199,47 @@ def test_shared_spans_split_partitions(df, rows):
     assert tuples(spans.shared_spans(df, length=60, k=20, partition_runs=1)) == sorted(want)
 
 
+@pytest.mark.parametrize("partition_runs", [10_000, 1])
+def test_passages_name_a_record_that_has_them(df, rows, partition_runs):
+    text = {i: t for i, _, t in rows}
+    got = spans.passages(df, length=60, k=20, partition_runs=partition_runs).collect()
+    covered = {}
+    for r in got:
+        assert r.id != r.other_id and r.n_chars >= 60
+        assert text[r.id][r.start_pos - 1 : r.start_pos - 1 + r.n_chars] == text[r.other_id][r.other_pos - 1 : r.other_pos - 1 + r.n_chars]
+        covered.setdefault(r.id, set()).update(range(r.start_pos, r.start_pos + r.n_chars))
+    want = {}
+    for i, start, n in brute.shared_spans([(i, t) for i, t in text.items()], 60):
+        want.setdefault(i, set()).update(range(start, start + n))
+    assert covered == want
+
+
+def test_repeats_of_a_tree_against_all_pairs():
+    rng = random.Random(21)
+    for trial in range(400):
+        length, m = 12, rng.randrange(2, 30)
+        after = ["ab" + "".join(rng.choice("ab") for _ in range(rng.randrange(4, 20))) for _ in range(m)]
+        behind = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 10))) for _ in range(m)]
+        record = [rng.randrange(1, 6) for _ in range(m)]
+        right, left = sorted(range(m), key=after.__getitem__), sorted(range(m), key=behind.__getitem__)
+        place = {x: i for i, x in enumerate(left)}
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert common_prefixes([after[x] for x in right]).tolist() == [common(after[x], after[y]) for x, y in zip(right, right[1:])]
+        depth = [common(after[x], after[y]) for x, y in zip(right, right[1:])]
+        before = [common(behind[x], behind[y]) for x, y in zip(left, left[1:])]
+        got = {x: set() for x in range(m)}
+        for x, lo, hi, y in spans.repeats(depth, [place[x] for x in right], before, [record[x] for x in right], length, 2):
+            x, y = right[x], right[y]
+            assert record[x] != record[y] and common(behind[x], behind[y]) >= hi and common(after[x], after[y]) >= length - lo
+            got[x].update(range(lo, hi + 1))
+        for x in range(m):
+            want = set()
+            for y in range(m):
+                if record[x] != record[y]:
+                    want.update(range(length - common(after[x], after[y]), common(behind[x], behind[y]) + 1))
+            assert {a for a in got[x] if a >= 0} == {a for a in want if a >= 0}
+
+
 def test_periodic_texts(spark):
     rows = [(1, "a", "аб" * 300), (2, "a", "х" * 10 + "аб" * 120 + "у" * 300), (3, "a", "ц" * 500), (4, "a", "ц" * 250 + "."), (5, "a", "ъ" * 199)]
     df = spark.createDataFrame(rows, SCHEMA)

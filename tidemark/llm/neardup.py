@@ -298,7 +298,7 @@ def _neighbours(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = materialize(hot, "hot")
     some = not hot.isEmpty()
     cold = trees.join(small(hot, 100_000), "region", "left_anti") if some else trees
-    walked = cold.repartition("region").sortWithinPartitions("key", "class").select("key", "class").mapInArrow(_walk(HELD), "a long, b long")
+    walked = cold.select("key", "class").repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "class").mapInArrow(_walk(HELD), "a long, b long")
     walked = materialize(walked, "neighbours")
     cut = walked.filter("b is null").select(F.col("a").alias("class"))
     if some:

@@ -58,9 +58,7 @@ def p6_share(spark, sf_dir):
 
 
 def p6_passages(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).select("src_id", "text")
-    found = p6_found(spark, sf_dir).join(rows, "src_id")
-    return found.select("src_id", "start_pos", "n_chars", F.substring("text", F.col("start_pos"), F.col("n_chars")).alias("passage"))
+    return spans.passages(_candidates(spark, sf_dir)).toDF("src_id", "start_pos", "n_chars", "other_id", "other_pos")
 
 
 def p8_ids(spark, sf_dir):

@@ -108,13 +108,36 @@ def successive(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarra
     return mix(acc[first]), first
 
 
-def window_min(values: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w successive values."""
-    have, out = 1, values
+def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest of every w successive hashes, the leftmost of equal ones.
+
+    The lowest bits of a hash give way to its place, so hashes that only differ in
+    them count as equal; which place is meant still depends on the values alone.
+    """
+    mask = np.uint64((1 << max(1, len(values)).bit_length()) - 1)
+    have, out = 1, (values & ~mask) | np.arange(len(values), dtype=np.uint64)
     while have < w:
         step = min(have, w - have)
         out = np.minimum(out[:-step], out[step:])
         have += step
+    return (out & mask).astype(np.int64)
+
+
+def common_prefixes(texts: list[str]) -> np.ndarray:
+    """Number of characters that every text and the next one begin with alike."""
+    batch, width = TextBatch(texts), 32
+    if batch.n < 2:
+        return np.zeros(0, np.int64)
+    cp = np.concatenate([batch.cp, np.zeros(width, np.uint32)])
+    one, two = batch.offsets[:-2], batch.offsets[1:-1]
+    most, out, going_on = np.minimum(batch.lengths[:-1], batch.lengths[1:]), np.zeros(batch.n - 1, np.int64), np.arange(batch.n - 1)
+    steps = np.arange(width)
+    while len(going_on):
+        have = out[going_on]
+        equal = cp[(one[going_on] + have)[:, None] + steps] == cp[(two[going_on] + have)[:, None] + steps]
+        more = np.minimum(np.where(equal.all(axis=1), width, equal.argmin(axis=1)), most[going_on] - have)
+        out[going_on] += more
+        going_on = going_on[(more == width) & (have + more < most[going_on])]
     return out
 
 
