@@ -6,7 +6,9 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
-from tidemark.llm.lookalike import folded, look
+from tidemark.llm.lookalike import load
+
+folded, look = load().folded, load().look
 
 
 def words(text):

@@ -104,6 +104,14 @@ def test_g2_and_tail(spark):
         assert y == pytest.approx(-math.log(math.erfc(math.sqrt(x / 2))), rel=1e-5)
 
 
+def test_same_look_of_a_hot_form(spark):
+    """A third of all rows are one text, and one more row looks like it."""
+    text = F.when(F.col("src_id") == 7, "Пoст").when(F.col("src_id") % 3 == 0, "Пост").otherwise(F.concat(F.lit("другое "), F.col("src_id")))
+    df = spark.range(30_000).select(F.col("id").alias("src_id"), text.alias("text"))
+    got = tuples(unify.same_look_pairs(df))
+    assert got == sorted((min(7, i), max(7, i)) for i in range(0, 30_000, 3))
+
+
 def test_same_look_pairs(df, rows):
     assert set(tuples(unify.same_look_pairs(df))) == brute.same_look([(i, t) for i, _, t in rows])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrowmap import bounded
-from tidemark.llm.lookalike import folded
+from tidemark.llm.lookalike import WORD, Alike, load
 from tidemark.llm.textarrays import TextBatch, successive
 
 #: Items held in memory by every task; larger sets are worked off in blocks of so many.
@@ -29,10 +29,8 @@ ITEM_BLOCK = 20_000
 _BITS = 22
 
 
-def _spaced(texts: list[str | None]) -> list[str]:
-    from tidemark.llm.lookalike import WORD
-
-    return [" ".join(WORD.findall(folded(t))) if t else "" for t in texts]
+def _spaced(texts: list[str | None], alike: Alike) -> list[str]:
+    return [" ".join(WORD.findall(alike.folded(t))) if t else "" for t in texts]
 
 
 def _grams(batch: TextBatch, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +177,12 @@ def longest_runs(a: list[str], place: dict[str, list[int]], edits: int) -> tuple
 
 
 def _search(items: Items):
+    alike = load()
     places: dict[int, dict[str, list[int]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 2 << 20):
-            docs = _spaced(batch.column("text").to_pylist())
+            docs = _spaced(batch.column("text").to_pylist(), alike)
             flat = TextBatch(docs)
             seeded = items.seeded(flat)
             most = {divmod(p, len(items.texts)): 0 for p in seeded.tolist()}
@@ -225,7 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     result, block = None, []
 
     def search(block: list) -> DataFrame:
-        index = Items([r["id"] for r in block], _spaced([r["text"] for r in block]), q, edits, words)
+        index = Items([r["id"] for r in block], _spaced([r["text"] for r in block], load()), q, edits, words)
         return rows.mapInArrow(_search(index), schema)
 
     for row in wanted.toLocalIterator():

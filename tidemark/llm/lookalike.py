@@ -3,39 +3,44 @@
 The form is a function of the *look* alone, so two texts get the same form
 exactly if they look the same:
 
-1. characters that draw nothing are dropped, width forms become their ordinary
-   characters, every kind of one-character space becomes U+0020, and letters
-   with their accents are composed (NFC);
-2. every letter belongs to a *look class*, the letters of different scripts
-   that are drawn alike.  The script sets of a token's letters are intersected;
-   if one script can spell the whole token, the token is spelt in it (Cyrillic
-   before Latin before Greek, so a token that several scripts can spell has one
-   spelling); if none can, the token is genuinely mixed and every letter is
-   replaced by the first spelling its class has.
+1. characters that draw nothing are dropped, width forms and the styled letters of
+   mathematics become their ordinary characters, every kind of one-character space
+   becomes U+0020, and letters with their accents are composed (NFC);
+2. every letter belongs to a *look class*, the letters that are drawn alike.  The
+   script sets of a token's letters are intersected; if one script can spell the
+   whole token, the token is spelt in it (Cyrillic before Latin before Greek before
+   the others, so a token that several scripts can spell has one spelling); if none
+   can, the token is genuinely mixed and every letter is replaced by the first
+   spelling its class has.
 
 Nothing else is folded: case, punctuation, digits against letters, and
 ``ё`` against ``е`` keep their difference here (``folded`` goes further).
+
+Look classes are made by a rule from the public Unicode confusables data (UTS 39)
+in the binary form in which the ICU library ships it, and ICU comes with Spark:
+letters with one prototype and of one case are a class.  Prototypes of several
+characters, digits and marks are left out, and of the letters of one everyday alphabet
+only one is in a class, so that no two of them are taken for each other.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import sys
 import unicodedata
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
+#: Scripts in the order of preference; others follow by name.
 SCRIPTS = ("CYRILLIC", "LATIN", "GREEK")
-
-# Letters drawn alike, as Cyrillic, Latin, Greek; "-" where a
-# script has none.  After the visual-identity part of the public Unicode
-# confusables data (UTS 39).
-ALIKE = """
-а a -   е e -   о o ο   р p ρ   с c ϲ   у y -   х x -   і i -   ј j ϳ   ѕ s -
-һ h -   ԁ d -   ԛ q -   ԝ w -   ӏ l -
-А A Α   В B Β   Е E Ε   К K Κ   М M Μ   Н H Η   О O Ο   Р P Ρ   С C Ϲ   Т T Τ
-У Y -   Х X Χ   І I Ι   Ј J Ϳ   Ѕ S -   Ԛ Q -   Ԝ W -   - Z Ζ   - N Ν
-Ү Y Υ   ѵ v ν   Ѵ V -   Г - Γ   П - Π   Ф - Φ
-"""
+#: Everyday alphabets, as ranges of code points.
+_EVERYDAY = {"CYRILLIC": "А-Яа-я", "LATIN": "A-Za-z", "GREEK": "Α-Ωα-ω"}
+_BASIC = re.compile("[" + "".join(_EVERYDAY.values()) + "]")
+#: Where the confusables are in the jar of the library.
+_DATA = "com/ibm/icu/impl/data/icudata/confusables.cfu"
 
 #: Runs of characters that the first step may change; most texts have none.
 _UNUSUAL = re.compile("[^\t\n -~А-яЁё«»–—…•№]+")
@@ -44,9 +49,9 @@ _BASIC_LATIN = re.compile("[A-Za-z]+")
 #: Marks that combine with the letter before them.
 _MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: Letters that are neither basic Cyrillic nor basic Latin, and marks that made no letter.
-_FOREIGN = re.compile(f"[ªµºÀ-ʯͰ-ϿЀЂ-Џѐђ-ԯᲀ-῿{_MARKS}]")
+_FOREIGN = re.compile(rf"(?![A-Za-zА-яЁё])[^\W\d_]|[{_MARKS}]")
 #: Tokens without rare letters, decomposed.
-_COMMON = re.compile(f"[А-Яа-я{_MARKS}]+|[A-Za-z{_MARKS}]+|[Α-Ωα-ω{_MARKS}]+")
+_COMMON = re.compile("|".join(f"[{letters}{_MARKS}]+" for letters in _EVERYDAY.values()))
 #: A token with its letters decomposed.
 _DECOMPOSED = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
 
@@ -63,115 +68,173 @@ def _draws_nothing(ch: str) -> bool:
     )
 
 
-@lru_cache(maxsize=1 << 16)
-def _clean(run: str) -> str:
-    """What step 1 makes of a run of unusual characters, before composition."""
-    out = []
-    for ch in run:
-        if _draws_nothing(ch):
-            continue
-        if unicodedata.category(ch) == "Zs":
-            ch = " "
-        elif "\uff00" <= ch <= "\uffef":
-            ch = unicodedata.normalize("NFKC", ch)
-        out.append(ch)
-    return "".join(out)
-
-
-def _classes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
-    """``of``: letter -> class name; ``spell``: class name -> {script: letter}."""
-    of: dict[str, str] = {}
-    spell: dict[str, dict[str, str]] = {}
-    cells = ALIKE.split()
-    for row in zip(cells[::3], cells[1::3], cells[2::3]):
-        present = {s: c for s, c in zip(SCRIPTS, row) if c != "-"}
-        # A letter that already has a class (Y) joins the new letters to it.
-        name = next((of[c] for c in present.values() if c in of), next(iter(present.values())))
-        for script, ch in present.items():
-            of.setdefault(ch, name)
-            spell.setdefault(name, {}).setdefault(script, ch)
-    return of, spell
-
-
-CLASS_OF, SPELLINGS = _classes()
-
-
 @lru_cache(maxsize=1 << 17)
 def script_of(ch: str) -> str:
     name = unicodedata.name(ch, "")
     return name.split(" ", 1)[0].split("-", 1)[0]
 
 
-def script_set(ch: str) -> set[str]:
-    """The scripts that have a letter drawn like ``ch``."""
-    cls = CLASS_OF.get(ch)
-    return set(SPELLINGS[cls]) if cls else {script_of(ch)}
-
-
-def _spelt(token: str, script: str) -> str:
-    return "".join(SPELLINGS[CLASS_OF[c]][script] if c in CLASS_OF else c for c in token)
+def _is_letter(ch: str) -> bool:
+    return unicodedata.category(ch) in ("Lu", "Ll", "Lt", "Lo")
 
 
-@lru_cache(maxsize=1 << 16)
-def resolve(token: str) -> str:
-    """The one spelling of all tokens that look like ``token``."""
-    scripts: set[str] | None = None
-    for ch in filter(str.isalpha, token):
-        scripts = script_set(ch) if scripts is None else scripts & script_set(ch)
-    if scripts:
-        spelt = [_spelt(token, s) for s in SCRIPTS if s in scripts]
-        return next((t for t in spelt if _COMMON.fullmatch(t)), spelt[0] if spelt else token)
-    return "".join(CLASS_OF.get(c, c) for c in token)
+def _case(ch: str) -> str:
+    return "upper" if ch.isupper() else "lower" if ch.islower() else ""
 
 
-def token_kind(token: str) -> str:
-    """``single``, ``whole`` (other scripts can spell all of it) or ``mixed``.
+def confusables(data: bytes) -> dict[str, str]:
+    """Prototype of every character, from the binary form of the data.
 
-    ``mixed`` tokens use letters of several scripts: ``mixed_resolved`` if one
-    script can spell the look, ``mixed`` if none can.
+    After a header that gives its own size there are 32-bit keys (the code point, and
+    above it the prototype's length less one), for each key a 16-bit value (the
+    prototype itself or its place in the text that follows), and that text.
     """
-    used = {script_of(c) for c in token}
-    possible = set.intersection(*(script_set(c) for c in token)) if token else set()
-    if len(used) > 1:
-        return "mixed_resolved" if possible else "mixed"
-    return "whole" if len(possible) > 1 else "single"
-
-
-def _resolved(m: re.Match) -> str:
-    return resolve(m[0])
-
-
-def _respelt(text: str) -> str:
-    """Every token resolved; accents are kept apart from their letters meanwhile."""
-    return unicodedata.normalize("NFC", _DECOMPOSED.sub(_resolved, unicodedata.normalize("NFD", text)))
-
-
-def look(text: str | None) -> str | None:
-    """The consistent form of ``text``; null stays null, empty stays empty."""
-    if text is None:
-        return None
-    if _UNUSUAL.search(text):
-        text = unicodedata.normalize("NFC", _UNUSUAL.sub(lambda m: _clean(m[0]), text))
-    if _FOREIGN.search(text):
-        return _respelt(text)
-    out, at, end = [], 0, len(text)
-    for m in _BASIC_LATIN.finditer(text):
-        i, j = m.span()
-        if i and text[i - 1].isalpha() or j < end and text[j].isalpha():
-            return _respelt(text)
-        out += text[at:i], resolve(m[0])
-        at = j
-    return "".join(out) + text[at:] if out else text
-
-
-def folded(text: str | None) -> str | None:
-    """``look`` in lower case with ``ё`` as ``е``."""
-    return None if text is None else look(text).lower().replace("ё", "е")
-
-
-def words(text: str | None) -> list[str]:
-    """Maximal runs of letters and digits (categories L, N) of the folded text."""
-    return [] if text is None else WORD.findall(folded(text))
+    data = data[int.from_bytes(data[:2], "big") :]
+    _, _, _, keys_at, n, values_at, _, text_at, units = struct.unpack(">9I", data[:36])
+    keys = struct.unpack(f">{n}I", data[keys_at : keys_at + 4 * n])
+    values = struct.unpack(f">{n}H", data[values_at : values_at + 2 * n])
+    out = {}
+    for key, value in zip(keys, values):
+        size = (key >> 24) + 1
+        at = text_at + 2 * value
+        out[chr(key & 0xFFFFFF)] = chr(value) if size == 1 else data[at : at + 2 * size].decode("utf-16-be", "surrogatepass")
+    return out
+
+
+def _jar() -> Path:
+    import pyspark
+
+    for folder in (Path(pyspark.__file__).parent / "jars", Path(os.environ.get("SPARK_HOME", "/nowhere")) / "jars"):
+        found = sorted(folder.glob("icu4j-*.jar"))
+        if found:
+            return found[-1]
+    raise FileNotFoundError("no jar of the ICU library; give the path of one")
+
+
+@lru_cache(maxsize=4)
+def load(jar: str | None = None) -> Alike:
+    """The look classes; read on the driver and shipped with the functions that use them."""
+    with zipfile.ZipFile(jar or _jar()) as z:
+        prototype = confusables(z.read(_DATA))
+    # Of more than one character there is nothing to be spelt in another script; what decomposes is compared by its parts,
+    # and styled letters and width forms by what they become.
+    own = [c for c, p in prototype.items() if len(p) == 1 and _is_letter(c) and unicodedata.normalize("NFD", c) == c]
+    pairs = sorted((c, prototype[c]) for c in own if not unicodedata.decomposition(c).startswith(("<font>", "<wide>", "<narrow>")))
+    return _shared("".join(c for c, _ in pairs), "".join(p for _, p in pairs))
+
+
+@lru_cache(maxsize=4)
+def _shared(letters: str, prototypes: str) -> Alike:
+    return Alike(letters, prototypes)
+
+
+class Alike:
+    """Look classes, and the forms of texts they give.  A worker process makes them once."""
+
+    def __init__(self, letters: str, prototypes: str):
+        self._key = (letters, prototypes)
+        members: dict[tuple[str, str], set[str]] = {}
+        for c, p in zip(letters, prototypes):
+            members.setdefault((p, _case(c) or _case(p)), set()).add(c)
+        for (p, case), group in members.items():
+            if _is_letter(p) and _case(p) in (case, ""):
+                group.add(p)
+        #: Letter -> class, a class by its first letter; class -> {script: letter}.
+        self.class_of: dict[str, str] = {}
+        self.spellings: dict[str, dict[str, str]] = {}
+        for group in members.values():
+            spelt: dict[str, str] = {}
+            kept = []
+            for c in sorted(group, key=lambda c: (not _BASIC.match(c), c)):
+                if script_of(c) not in spelt or not _BASIC.match(c):
+                    kept.append(c)
+                    spelt.setdefault(script_of(c), c)
+            spelt = {s: spelt[s] for s in sorted(spelt, key=lambda s: (SCRIPTS.index(s) if s in SCRIPTS else len(SCRIPTS), s))}
+            name = next(iter(spelt.values()))
+            self.spellings[name] = spelt
+            self.class_of.update(dict.fromkeys(kept, name))
+        self._clean = lru_cache(maxsize=1 << 16)(self._cleaned)
+        self.resolve = lru_cache(maxsize=1 << 16)(self._resolved)
+
+    def __reduce__(self):
+        return _shared, self._key
+
+    def _cleaned(self, run: str) -> str:
+        """What step 1 makes of a run of unusual characters, before composition."""
+        out = []
+        for ch in run:
+            if _draws_nothing(ch):
+                continue
+            kind = unicodedata.category(ch)
+            if kind == "Zs":
+                ch = " "
+            elif "\uff00" <= ch <= "\uffef":
+                ch = unicodedata.normalize("NFKC", ch)
+            elif kind == "Nl" or unicodedata.decomposition(ch).startswith("<font>"):
+                # Styled letters and the letters of Roman numerals are letters of no script of their own.
+                plain = unicodedata.normalize("NFKC", ch)
+                if len(plain) == 1 and _is_letter(plain):
+                    ch = plain
+            out.append(ch)
+        return "".join(out)
+
+    def script_set(self, ch: str) -> set[str]:
+        """The scripts that have a letter drawn like ``ch``."""
+        cls = self.class_of.get(ch)
+        return set(self.spellings[cls]) if cls else {script_of(ch)}
+
+    def _resolved(self, token: str) -> str:
+        """The one spelling of all tokens that look like ``token``."""
+        scripts: set[str] | None = None
+        for ch in filter(str.isalpha, token):
+            scripts = self.script_set(ch) if scripts is None else scripts & self.script_set(ch)
+        of = self.class_of
+        if scripts:
+            order = [s for s in SCRIPTS if s in scripts] or sorted(scripts)
+            spelt = ["".join(self.spellings[of[c]][s] if c in of else c for c in token) for s in order]
+            return next((t for t in spelt if _COMMON.fullmatch(t)), spelt[0])
+        return "".join(of.get(c, c) for c in token)
+
+    def token_kind(self, token: str) -> str:
+        """``single``, ``whole`` (other everyday scripts can spell all of it) or ``mixed``.
+
+        ``mixed`` tokens use letters of several scripts: ``mixed_resolved`` if one
+        script can spell the look, ``mixed`` if none can.
+        """
+        used = {script_of(c) for c in token}
+        possible = set.intersection(*(self.script_set(c) for c in token)) if token else set()
+        if len(used) > 1:
+            return "mixed_resolved" if possible else "mixed"
+        return "whole" if len(possible.intersection(SCRIPTS)) > 1 else "single"
+
+    def _respelt(self, text: str) -> str:
+        """Every token resolved; accents are kept apart from their letters meanwhile."""
+        return unicodedata.normalize("NFC", _DECOMPOSED.sub(lambda m: self.resolve(m[0]), unicodedata.normalize("NFD", text)))
+
+    def look(self, text: str | None) -> str | None:
+        """The consistent form of ``text``; null stays null, empty stays empty."""
+        if text is None:
+            return None
+        if _UNUSUAL.search(text):
+            text = unicodedata.normalize("NFC", _UNUSUAL.sub(lambda m: self._clean(m[0]), text))
+            if _FOREIGN.search(text):
+                return self._respelt(text)
+        out, at, end = [], 0, len(text)
+        for m in _BASIC_LATIN.finditer(text):
+            i, j = m.span()
+            if i and text[i - 1].isalpha() or j < end and text[j].isalpha():
+                return self._respelt(text)
+            out += text[at:i], self.resolve(m[0])
+            at = j
+        return "".join(out) + text[at:] if out else text
+
+    def folded(self, text: str | None) -> str | None:
+        """``look`` in lower case with ``ё`` as ``е``."""
+        return None if text is None else self.look(text).lower().replace("ё", "е")
+
+    def words(self, text: str | None) -> list[str]:
+        """Maximal runs of letters and digits (categories L, N) of the folded text."""
+        return [] if text is None else WORD.findall(self.folded(text))
 
 
 def _number_like() -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrowmap import bounded, emit, sorted_groups
-from tidemark.llm.lookalike import folded
+from tidemark.llm.lookalike import Alike, load
 from tidemark.llm.textarrays import TextBatch, mix, successive
 from tidemark.tables import materialize, small
 
@@ -57,9 +57,9 @@ _SALT = _RNG.integers(0, 1 << 63, (TREES, DEPTH + DEEPER), dtype=np.uint64)
 _OTHER = np.uint64(0x6A09E667F3BCC909)
 
 
-def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: list[str | None], words: int, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed word sequences of the folded texts: hash and owner, sorted and unique by (owner, hash); two digests of each text's words."""
-    batch = TextBatch([folded(t) for t in texts])
+    batch = TextBatch([alike.folded(t) for t in texts])
     start, end, owner = batch.words()
     word = batch.span_hash(start, end)
     # Digest of the word sequence, for texts too short for any shingle.
@@ -106,8 +106,8 @@ def set_keys(gram: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> tuple[np
     return cls, check
 
 
-def _index(batch: pa.RecordBatch, words: int) -> tuple:
-    gram, owner, whole = shingles(batch.column(1).to_pylist(), words)
+def _index(batch: pa.RecordBatch, words: int, alike: Alike) -> tuple:
+    gram, owner, whole = shingles(batch.column(1).to_pylist(), words, alike)
     sig, have = signatures(gram, owner, batch.num_rows)
     n = batch.num_rows
     cls, check = set_keys(gram, owner, whole)
@@ -134,12 +134,12 @@ def index(df: DataFrame, id_col: str, text_col: str, words: int, class_bits: int
     other here.  ``keys`` are the labels in all trees; they come with the first row of a
     class in a task; the others, and rows without a shingle, have null.
     """
-    mask = np.uint64((1 << class_bits) - 1)
+    mask, alike = np.uint64((1 << class_bits) - 1), load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in bounded(batches, "text", 2 << 20):
-            cls, check, has, sketch, labels = _index(batch, words)
+            cls, check, has, sketch, labels = _index(batch, words, alike)
             send = has.copy()
             for i in np.flatnonzero(has):
                 c = int(check[i])
@@ -239,10 +239,11 @@ def _grams(df: DataFrame, id_col: str, text_col: str, words: int, classes: DataF
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # An id that stands for several rows may stand for several texts; the keys pick the right one again.
     rows = texts.join(small(classes, 200_000), "id").select("class", "check", "text")
+    alike = load()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 2 << 20):
-            gram, owner, whole = shingles(batch.column("text").to_pylist(), words)
+            gram, owner, whole = shingles(batch.column("text").to_pylist(), words, alike)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             same = set_keys(gram, owner, whole)[1].view(np.int64) == batch.column("check").to_numpy()
             out = pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram.view(np.int64)))], ["class", "grams"])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.lookalike import look
+from tidemark.llm.lookalike import Alike, load
 from tidemark.operators.treeagg import channel_name
 from tidemark.tables import materialize
 
@@ -25,9 +25,9 @@ _SPACES = re.compile(r"\s+")
 STEPS, LAST_STEP = 8, 8192
 
 
-def line_form(line: str) -> str:
+def line_form(line: str, alike: Alike) -> str:
     """The form lines are compared in: look-alike form, lower case, white space runs as one space, none at the ends."""
-    return _SPACES.sub(" ", look(line).lower()).strip()
+    return _SPACES.sub(" ", alike.look(line).lower()).strip()
 
 
 def lines(df: DataFrame, id_col: str = "src_id", source_col: str = "channel_username", text_col: str = "text") -> DataFrame:
@@ -47,7 +47,7 @@ def lines(df: DataFrame, id_col: str = "src_id", source_col: str = "channel_user
             for i, text in enumerate(texts.to_pylist()):
                 seen: set[bytes] = set()
                 for n, raw in enumerate(text.split("\n"), 1):
-                    form = line_form(raw)
+                    form = line_form(raw, alike)
                     if form:
                         k = digest(form)
                         row.append(i)
@@ -58,7 +58,7 @@ def lines(df: DataFrame, id_col: str = "src_id", source_col: str = "channel_user
             take = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([ids.take(take), sources.take(take), pa.array(number, pa.int32()), pa.array(key, pa.binary()), pa.array(first, pa.bool_())], ["id", "source", "line_no", "line_key", "first"])
 
-    kind = dict(df.dtypes)[id_col]
+    alike, kind = load(), dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), channel_name(F.col(source_col).cast("string")).alias("source"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     return rows.mapInArrow(run, f"id {kind}, source string, line_no int, line_key binary, first boolean")
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.lookalike import _LETTERS, look, token_kind
+from tidemark.llm.lookalike import _LETTERS, load
 from tidemark.tables import materialize
 
 
@@ -35,8 +35,8 @@ def unify(df: DataFrame, id_col: str = "src_id", text_col: str = "text") -> Data
             ids, texts = batch.columns
             forms, mixed, unresolved = [], [], []
             for text in texts.to_pylist():
-                form = look(text)
-                kinds = Counter(token_kind(t) for t in _LETTERS.findall(text) if not t.isascii()) if text and form != text else Counter()
+                form = alike.look(text)
+                kinds = Counter(alike.token_kind(t) for t in _LETTERS.findall(text) if not t.isascii()) if text and form != text else Counter()
                 forms.append(form)
                 mixed.append(kinds["mixed"] + kinds["mixed_resolved"])
                 unresolved.append(kinds["mixed"])
@@ -44,7 +44,7 @@ def unify(df: DataFrame, id_col: str = "src_id", text_col: str = "text") -> Data
             changed = [a != b for a, b in zip(forms, texts.to_pylist())]
             yield pa.RecordBatch.from_arrays([ids, form, pa.array(changed, pa.bool_()), pa.array(mixed, pa.int32()), pa.array(unresolved, pa.int32())], ["id", "form", "changed", "n_mixed", "n_unresolved"])
 
-    kind = dict(df.dtypes)[id_col]
+    alike, kind = load(), dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, form string, changed boolean, n_mixed int, n_unresolved int")
 
 
@@ -58,11 +58,11 @@ def form_keys(df: DataFrame, id_col: str = "src_id", text_col: str = "text") ->
         for batch in batches:
             ids, texts = batch.columns
             raw = texts.to_pylist()
-            form = pa.array([xxhash.xxh3_128_digest(look(t)) for t in raw], pa.binary())
+            form = pa.array([xxhash.xxh3_128_digest(alike.look(t)) for t in raw], pa.binary())
             text = pa.array([xxhash.xxh3_128_digest(t) for t in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, form, text], ["id", "form_key", "text_key"])
 
-    kind = dict(df.dtypes)[id_col]
+    alike, kind = load(), dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     return rows.mapInArrow(run, f"id {kind}, form_key binary, text_key binary")
 
@@ -70,17 +70,16 @@ def form_keys(df: DataFrame, id_col: str = "src_id", text_col: str = "text") ->
 def same_look_pairs(df: DataFrame, id_col: str = "src_id", text_col: str = "text") -> DataFrame:
     """Pairs ``id_a < id_b`` whose texts look the same but are different strings.
 
-    Only digests are shuffled.  Forms with one spelling are dropped by an
-    aggregation with map-side combine before any pair is formed, so a group of
-    exact copies, however large, costs nothing unless it has a second spelling;
-    then its pairs are the result itself.  Null texts are in no pair; equal
-    strings (also repeated rows) make no pair.
+    Only digests are shuffled.  The different spellings of a form are paired first,
+    and ids come in afterwards: a group of exact copies, however large, is one
+    spelling, and costs no more than the pairs it is in.  Null texts are in no pair;
+    equal strings (also repeated rows) make no pair.
     """
     keys = materialize(form_keys(df, id_col, text_col), "forms")
-    several = keys.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo <> hi").select("form_key")
-    rows = keys.join(several, "form_key", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.text_key") != F.col("b.text_key")))
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-
-
+    spellings = keys.select("form_key", "text_key").distinct()
+    several = spellings.groupBy("form_key").agg(F.count("*").alias("n")).filter("n > 1").select("form_key")
+    spellings = materialize(spellings.join(several, "form_key"), "spellings")
+    pairs = spellings.toDF("form_key", "a").join(spellings.toDF("form_key", "b"), "form_key").filter("a < b").select("a", "b")
+    members = keys.join(spellings.select("text_key"), "text_key", "left_semi").select("text_key", "id")
+    rows = pairs.join(members.toDF("a", "id_1"), "a").join(members.toDF("b", "id_2"), "b").filter("id_1 <> id_2")
+    return rows.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
