@@ -306,12 +306,16 @@ def test_leaks(spark):
     assert leaks.leaks(d, i.limit(0)).count() == 0 and leaks.leaks(d.limit(0), i).count() == 0
 
 
-def test_leaks_in_blocks_of_items(spark, monkeypatch):
+def test_leaks_by_joins(spark, monkeypatch):
+    """Items that are too many to be held give the same rows."""
     docs, items = documents(random.Random(9))
-    monkeypatch.setattr(leaks, "ITEM_BLOCK", 4)
-    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [items[3]], "item_id long, text string")
+    want = tuples(leaks.leaks(d, i))
+    monkeypatch.setattr(leaks, "ITEM_BYTES", 10)
+    assert tuples(leaks.leaks(d, i)) == want and want
     got = tuples(leaks.leaks(d, i).filter("exact_words >= 15").select("doc_id", "item_id"))
     assert set(got) == brute.leaked(docs, [x for x in items if x[1]], 15)
+    assert leaks.leaks(d, i.filter("text is not null and length(text) < 20")).count() == 0 and leaks.leaks(d.limit(0), i).count() == 0
 
 
 def edited(rng):
@@ -332,8 +336,9 @@ def edited(rng):
     return docs, items
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2])
-def test_leaks_with_words_edited(spark, edits):
+@pytest.mark.parametrize("edits,item_bytes", [(0, 1 << 20), (1, 1 << 20), (2, 1 << 20), (1, 10)])
+def test_leaks_with_words_edited(spark, monkeypatch, edits, item_bytes):
+    monkeypatch.setattr(leaks, "ITEM_BYTES", item_bytes)
     docs, items = edited(random.Random(3))
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.aligned_words for r in leaks.leaks(d, i, edits=edits).filter("aligned_words >= 15").collect()}

@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrowmap import bounded
 from tidemark.llm.lookalike import WORD, Alike, load
-from tidemark.llm.textarrays import TextBatch, successive
+from tidemark.llm.textarrays import TextBatch, mix, successive
+from tidemark.tables import materialize
 
-#: Items held in memory by every task; larger sets are worked off in blocks of so many.
-ITEM_BLOCK = 20_000
+#: Bytes of items that every task holds in memory; larger sets are met by joins.
+ITEM_BYTES = 4 << 20
+#: Bits of the filter for larger sets, as a power of two (64 MB), and places of it for each entry.
+FILTER_BITS, PROBES = 29, 3
 _BITS = 22
 
 
@@ -202,6 +205,126 @@ def _search(items: Items):
     return run
 
 
+_HITS = "doc_id {kind}, text string, hits array<struct<kind:int,gram:long,at:int>>, n_grams int"
+
+
+def _item_grams(q: int, edits: int, words: int):
+    """Spaced text, least shared q-grams, and q-grams (kind 0) and runs of words (kind 1) of every item that can be found."""
+    alike = load()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text"):
+            texts = _spaced(batch.column("text").to_pylist(), alike)
+            items = Items(list(range(len(texts))), texts, q, edits, words)
+            flat = TextBatch(texts)
+            gram, owner, at = _grams(flat, q)
+            seed, of = _word_grams(flat, items.seed_words)
+            long = items.least < np.iinfo(np.int64).max
+            keep, keep_seed = long[owner], long[of]
+            both = np.concatenate([owner[keep], of[keep_seed]])
+            order = np.argsort(both, kind="stable")
+            kind = np.concatenate([np.zeros(keep.sum(), np.int32), np.ones(keep_seed.sum(), np.int32)])[order]
+            held = pa.StructArray.from_arrays([pa.array(kind), pa.array(np.concatenate([gram[keep], seed[keep_seed]])[order].view(np.int64)), pa.array(np.concatenate([at[keep], np.zeros(keep_seed.sum(), np.int64)])[order].astype(np.int32))], ["kind", "gram", "at"])
+            cuts = np.searchsorted(both[order], np.arange(len(texts) + 1)).astype(np.int32)
+            least = pa.array(np.where(long, items.least, 0).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts), least, pa.ListArray.from_arrays(pa.array(cuts), held)], ["id", "text", "least", "grams"])
+
+    return run
+
+
+def _probes(gram: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(gram ^ np.uint64(i)) >> np.uint64(64 - bits)).astype(np.int64) for i in range(1, PROBES + 1)]
+
+
+def _filter_bits(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of all q-grams and runs of words of the items, of a size that their number asks for up to ``FILTER_BITS``."""
+    n = grams.count()
+    bits = min(FILTER_BITS, max(20, (32 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_probes(batch.column("gram").to_numpy().view(np.uint64) ^ batch.column("kind").to_numpy().astype(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+
+    place = F.col("at") + 1
+    chunks = grams.select("gram", "kind").mapInArrow(run, "at long").groupBy((F.bitmap_bucket_number(place) - 1).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).toArrow()
+    held = np.zeros((1 << bits) // 8, np.uint8)
+    for chunk, bitmap in zip(chunks.column("chunk").to_pylist(), chunks.column("bitmap").to_pylist()):
+        part = np.frombuffer(bitmap, np.uint8)
+        held[chunk * 4096 : chunk * 4096 + len(part)] = part[: len(held) - chunk * 4096]
+    return held, bits
+
+
+def _doc_hits(broadcast, bits: int, q: int, seed_words: int, least: int):
+    """Spaced text and hits of every document that may have a region or a run of words."""
+    alike = load()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = broadcast.value
+
+        def known(gram: np.ndarray, kind: int) -> np.ndarray:
+            ok = np.ones(len(gram), bool)
+            for at in _probes(gram ^ np.uint64(kind), bits):
+                ok &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            return np.flatnonzero(ok)
+
+        for batch in bounded(batches, "text", 2 << 20):
+            texts = _spaced(batch.column("text").to_pylist(), alike)
+            flat = TextBatch(texts)
+            gram, owner, at = _grams(flat, q)
+            hit = known(gram, 0)
+            seed, of = _word_grams(flat, seed_words)
+            seen = known(seed, 1)
+            count = np.bincount(owner[hit], minlength=flat.n)
+            keep = count >= least
+            keep[of[seen]] = True
+            hit = hit[keep[owner[hit]]]
+            both = np.concatenate([owner[hit], of[seen]])
+            order = np.argsort(both, kind="stable")
+            kind = np.concatenate([np.zeros(len(hit), np.int32), np.ones(len(seen), np.int32)])[order]
+            hits = pa.StructArray.from_arrays([pa.array(kind), pa.array(np.concatenate([gram[hit], seed[seen]])[order].view(np.int64)), pa.array(np.concatenate([at[hit], np.zeros(len(seen), np.int64)])[order].astype(np.int32))], ["kind", "gram", "at"])
+            cuts = np.searchsorted(both[order], np.arange(flat.n + 1)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts), pa.ListArray.from_arrays(pa.array(cuts), hits), pa.array(count.astype(np.int32))], ["doc_id", "text", "hits", "n_grams"])
+            yield out.filter(pa.array(keep))
+
+    return run
+
+
+def _compared(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [longest_runs(d.split(" "), _places(i.split(" ")), edits) for d, i in zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), *(pa.array([r[c] for r in runs], pa.int32()) for c in (0, 1)), batch.column("shared_qgrams")], ["doc_id", "item_id", "exact_words", "aligned_words", "shared_qgrams"])
+
+    return run
+
+
+def _joined(rows: DataFrame, wanted: DataFrame, kind: str, words: int, q: int, edits: int) -> DataFrame:
+    """The search by joins, for items of any number: nothing but a filter of bounded size is held as a whole.
+
+    A document's q-grams and runs of words that pass the filter meet the items' in a
+    join; hits are counted in overlapping diagonal bands by aggregation.  Documents
+    that hit nothing are not moved.
+    """
+    items = wanted.mapInArrow(_item_grams(q, edits, words), "id long, text string, least int, grams array<struct<kind:int,gram:long,at:int>>")
+    items = materialize(items.filter("least > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    grams = items.select(F.explode("grams").alias("g"), "item").select("g.*", "item")
+    held, bits = _filter_bits(grams)
+    least = items.agg(F.coalesce(F.min("least"), F.lit(1))).first()[0]
+    broadcast = rows.sparkSession.sparkContext.broadcast(held)
+    hits = rows.mapInArrow(_doc_hits(broadcast, bits, q, -(-words // (edits + 1)), least), _HITS.format(kind=kind))
+    hits = materialize(hits.withColumn("doc", F.monotonically_increasing_id()), "hits")
+    met = hits.select("doc", F.explode("hits").alias("h")).select("doc", "h.kind", "h.gram", F.col("h.at").alias("there")).join(grams, ["kind", "gram"])
+    cell = F.floor((F.col("there") - F.col("at")) / (edits + 1))
+    bands = met.filter("kind = 0").select("doc", "item", F.explode(F.array(cell, cell - 1)).alias("band")).groupBy("doc", "item", "band").agg(F.count("*").cast("int").alias("n"))
+    bands = bands.groupBy("doc", "item").agg(F.max("n").alias("n"), F.lit(False).alias("seeded"))
+    seeded = met.filter("kind = 1").select("doc", "item").distinct().select("doc", "item", F.lit(0).alias("n"), F.lit(True).alias("seeded"))
+    pairs = bands.unionByName(seeded).groupBy("doc", "item").agg(F.max("n").alias("shared_qgrams"), F.bool_or("seeded").alias("seeded"))
+    found = pairs.join(items.select("item", F.col("id").alias("item_id"), F.col("text").alias("item_text"), "least"), "item").filter("seeded or shared_qgrams >= least")
+    both = found.join(hits.select("doc", "doc_id", "text"), "doc").select("doc_id", "text", "item_id", "item_text", "shared_qgrams")
+    return both.mapInArrow(_compared(edits), f"doc_id {kind}, item_id long, exact_words int, aligned_words int, shared_qgrams int")
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", words: int = 15, q: int = 20, edits: int = 1) -> DataFrame:
     """``doc_id, item_id, exact_words, aligned_words, shared_qgrams`` of each document and item that may be a leak.
 
@@ -214,24 +337,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
     nothing; items of fewer than ``words`` words can't be leaked.  Repeated ids
     give a row for each of them.
 
-    Documents are only mapped over, never moved.  Items are fetched and shipped in
-    blocks of at most ``ITEM_BLOCK``, one pass over the documents for each block.
+    Items of up to ``ITEM_BYTES`` in all are held by every task, and documents are only
+    mapped over.  More of them are met by joins, see :func:`_joined`; the rows are the
+    same.
     """
     kind = dict(docs.dtypes)[doc_col]
     rows = docs.select(F.col(doc_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    schema = f"doc_id {kind}, item_id long, exact_words int, aligned_words int, shared_qgrams int"
     wanted = items.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    result, block = None, []
-
-    def search(block: list) -> DataFrame:
-        index = Items([r["id"] for r in block], _spaced([r["text"] for r in block], load()), q, edits, words)
-        return rows.mapInArrow(_search(index), schema)
-
-    for row in wanted.toLocalIterator():
-        block.append(row)
-        if len(block) == ITEM_BLOCK:
-            result = search(block) if result is None else result.unionByName(search(block))
-            block = []
-    if block or result is None:
-        result = search(block) if result is None else result.unionByName(search(block))
-    return result
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    if size > ITEM_BYTES:
+        return _joined(rows, wanted, kind, words, q, edits)
+    held = wanted.collect()
+    index = Items([r["id"] for r in held], _spaced([r["text"] for r in held], load()), q, edits, words)
+    return rows.mapInArrow(_search(index), f"doc_id {kind}, item_id long, exact_words int, aligned_words int, shared_qgrams int")
