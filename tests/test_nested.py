@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import nested
@@ -52,16 +54,51 @@ def table(spark):
 
 
 def test_objects_match_a_plain_walk(spark, table):
-    stripes = nested.shred(table, "id", "payload", ARRAYS, values=False)
+    stripes = nested.shred(table, "id", "payload", ARRAYS)
     got = sorted((r.record_id, r.parent_path, r.path) for r in nested.objects(stripes, ARRAYS).collect())
     want = sorted((i, p, q) for i, r in [*enumerate(RECORDS), (0, RECORDS[0])] if isinstance(r, dict) for p, q in walk(r, "$", "$", []))
     assert got == want and got
 
 
-def test_the_same_objects_with_all_columns(spark, table):
-    few = nested.objects(nested.shred(table, "id", "payload", ARRAYS, values=False), ARRAYS)
-    all_ = nested.objects(nested.shred(table, "id", "payload", ARRAYS), ARRAYS)
-    assert sorted(few.collect()) == sorted(all_.collect())
+def test_the_same_objects_in_one_pass(spark, table):
+    stripes = nested.objects(nested.shred(table, "id", "payload", ARRAYS), ARRAYS)
+    assert sorted(stripes.collect()) == sorted(nested.nested_objects(table, "id", "payload", ARRAYS).collect())
+
+
+ODD = [
+    {"tags": ["a", "b", 3], "mixed": [1, None, {"x": []}, [], [[]], [[1, {"y": None}], "z"], {}], "a.b": {"c[0]": [{"#": 1}], "": {"": [2]}, "~": "t~1", "]": [3]}},
+    {"meta": {"media": "[1, {\"w\": \"2\"}]"}, "media": {"sizes": None}, "same": {"k": [{"k": {"k": [0]}}]}},
+    {"n": 1.5, "big": 10**25, "t": True, "s": "7", "u": "\u00e9\n"},
+]
+
+
+def test_records_come_back_from_their_levels(spark, table):
+    shredder = nested.Shredder(ARRAYS)
+    for record in [*(r for r in RECORDS if isinstance(r, dict)), *ODD]:
+        assert nested.assemble(shredder.stripes(record)) == shredder.as_counted(record)
+    rows = [(i, json.dumps(r)) for i, r in enumerate([*RECORDS, *ODD])]
+    df = spark.createDataFrame(rows, "id long, payload string")
+    got = {r.record_id: json.loads(r.payload_json) for r in nested.rebuild(nested.shred(df, "id", "payload", ARRAYS)).collect()}
+    assert got == {i: shredder.as_counted(json.loads(t)) for i, t in rows if t[0] == "{"}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["media", "sizes", "a", "b.c", "", "x[]", "~0", "#"]), x, max_size=3), max_leaves=20))
+def test_any_record_comes_back(value):
+    shredder = nested.Shredder(ARRAYS)
+    record = {"v": value, "media": value}
+    assert nested.assemble(shredder.stripes(record)) == shredder.as_counted(record)
+
+
+def test_typed_tables_and_their_files(spark, tmp_path):
+    record = {"media": [{"w": 1, "meta": {"h": "x"}}, {"w": "2", "sizes": [{"h": 5}]}, 3], "text": "t"}
+    flat = nested.flat_tables(spark.createDataFrame([(1, json.dumps(record))], "id long, payload string"), "id", "payload", ARRAYS)
+    media = nested.typed(flat, "media[]", {"w": "bigint", "meta.h": "int"})
+    assert sorted(tuple(r) for r in media.collect()) == [(1, "$", "$.media[0]", 1, None), (1, "$", "$.media[1]", 2, None)]
+    sizes = nested.typed(flat, "media[].sizes[]", {"h": "int"})
+    assert [tuple(r) for r in sizes.join(media.select("record_id", F.col("path").alias("parent_path"), "w"), ["record_id", "parent_path"]).select("h", "w").collect()] == [(5, 2)]
+    nested.write_tables(flat, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {r[0]: r[1] for r in back.groupBy("table").count().collect()} == {"$": 1, "media[]": 2, "media[].value": 1, "media[].sizes[]": 1}
 
 
 def test_levels_of_the_textbook_example():
@@ -115,4 +152,4 @@ def test_empty_table_and_deep_records(spark):
         at["replies"] = [{}, {}]
         at = at["replies"][1]
     df = spark.createDataFrame([(1, json.dumps(deep))], "id long, payload string")
-    assert nested.objects(nested.shred(df, "id", "payload", ARRAYS, values=False), ARRAYS).count() == 120
+    assert nested.objects(nested.shred(df, "id", "payload", ARRAYS), ARRAYS).count() == 120
