@@ -6,6 +6,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import corpora
 from tidemark.plans import queries as core
 
 REPO = Path(__file__).resolve().parent.parent
@@ -22,7 +23,12 @@ def test_same_as_sql(spark, duck, name):
     oracle.compare(spark, core.QUERIES[name], core.SQL[name], duck)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
+@pytest.mark.parametrize("name", sorted(corpora.QUERIES))
+def test_corpora_same_as_sql(spark, duck, name):
+    oracle.compare(spark, core.QUERIES[name], core.session_sql()[name], duck)
+
+
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL) - set(corpora.QUERIES)))
 def test_runs(spark, name):
     df = core.QUERIES[name](spark, str(oracle.DATA))
     assert len(df.columns) == len(set(df.columns)) and df.count() >= 0

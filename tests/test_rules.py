@@ -1,11 +1,15 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
-from tidemark.operators import corpus, rules
+from tidemark.operators import corpus, places, rules
+from tidemark.operators.rules import Accept, Guard, LabelGuard, Near, Not, Part, PlaceGuard, Rule
+from tidemark.plans import corpora, rulesql
 from tidemark.tables import materialize
-from tidemark.operators.rules import Guard, LabelGuard, Near, Rule
 
 
 def one(spark, expression, **columns):
@@ -32,7 +36,7 @@ def test_compounds(spark):
     assert one(spark, X.tokens(F.col("t"), compounds=True), t="кто-то 3.5 12:30.") == ["кто-то", "3.5", "12:30"]
 
 
-def places(spark, tokens, i, r):
+def near_cel(spark, tokens, i, r):
     return one(spark, W.near_prefix(F.col("t"), F.lit(i), r, ["цель"]), t=tokens)
 
 
@@ -41,8 +45,8 @@ def test_window_edges(spark):
     for at in range(10):
         tokens = [*t[:at], "цельный", *t[at + 1 :]]
         for i in range(10):
-            assert places(spark, tokens, i, 3) == (abs(at - i) <= 3), (at, i)
-    assert places(spark, ["цель"], 0, 5) is True
+            assert near_cel(spark, tokens, i, 3) == (abs(at - i) <= 3), (at, i)
+    assert near_cel(spark, ["цель"], 0, 5) is True
     assert one(spark, W.prefix_places(F.col("t"), ["a"]), t=[]) == []
     assert one(spark, W.near_exact(F.col("t"), F.lit(0), 2, ["b"]), t=["a", "x", "b"]) is True
 
@@ -125,8 +129,148 @@ PLATFORM, BLOCK = "телеграм", "замедляют"
     ],
 )
 def test_residual(spark, text, match, guard):
-    got = one(spark, corpus.residual(X.tokens(F.col("t"))), t=text)
-    assert (got.match, got.guard) == (match, guard)
+    rule = corpus.residual(places.countries(spark))
+    got = rules.judge((rule,))(X_tokens(text))
+    assert ((got[0]["status"] == "match", got[0]["guard"]) if got else (False, None)) == (match, guard)
+
+
+def X_tokens(text):
+    return re.findall(r"[^\W_]+", text.lower().replace("ё", "е"))
+
+
+def verdict(rule, text, **more):
+    got = rules.judge((rule,))(X_tokens(text), **more)
+    return (got[0]["status"], got[0]["guard"]) if got else (None, None)
+
+
+CHAIN = Rule(
+    "person", "G",
+    parts=(
+        Part(words=("лебедь",)),
+        Part(words=("лебедя", "лебедю"), otherwise="ambiguous", steps=(Guard("bird", (Near(2, ("птиц",)),)), Guard("lake", (Near(prefixes=("озер",), before=-1, after=1),)), Accept((Near(3, ("депутат",)),)), Guard("zoo", (Near(5, ("зоопарк",)), Not(Near(1, ("закон",))))), Accept((Near(5, ("закон",)),)))),
+    ),
+    sources=("lebed_news",),
+)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("лебедь", ("match", None)),
+        ("видели лебедя", ("excluded", "ambiguous")),
+        ("птица лебедю депутат", ("excluded", "bird")),
+        ("лебедю озеро депутат", ("excluded", "lake")),
+        ("озеро лебедю депутат", ("match", None)),
+        ("лебедю из зоопарка", ("excluded", "zoo")),
+        ("закон лебедю из зоопарка", ("match", None)),
+        ("лебедя в зоопарке ждёт закон", ("excluded", "zoo")),
+        ("лебедю мешает новый закон", ("match", None)),
+        ("птица лебедю и много слов дальше лебедя депутат", ("match", None)),
+    ],
+)
+def test_steps_are_taken_in_order(text, want):
+    assert verdict(CHAIN, text) == want
+
+
+def test_own_source_and_hashtags(spark):
+    assert verdict(CHAIN, "лебедь", source="lebed_news") == ("excluded", "self_channel") == verdict(CHAIN, "", source="lebed_news")
+    assert verdict(CHAIN, "лебедь", source="other") == ("match", None)
+    tagged = Rule("name", "P", prefixes=("имя",), hashtag="имя")
+    df = spark.createDataFrame([(1, "#имя"), (2, "#имя имя"), (3, "имярек"), (4, "нет")], "id long, text string").withColumn("tokens", X.tokens(F.col("text")))
+    got = {r.id: [(v.status, v.guard) for v in r.verdicts] for r in rules.apply_rules(df, (tagged,), norm=X.norm_text(F.col("text"))).collect()}
+    assert got == {1: [("excluded", "hashtag_only")], 2: [("match", None)], 3: [("match", None)], 4: []}
+
+
+def office(spark, text, **options):
+    return {v["term"]: (v["status"], v["guard"], v["guarded"]) for v in rules.judge(corpus.office(places.countries(spark), **options))(X_tokens(text))}
+
+
+def test_office_and_what_disqualifies_it(spark):
+    assert office(spark, "Президент сказал") == {"prezident": ("match", None, False)}
+    assert office(spark, "Офис президента") == {"prezident": ("excluded", "office_of_president", True)}
+    assert office(spark, "президентский дворец") == {"prezident": ("excluded", "presidential_object", True)}
+    assert office(spark, "президент УЕФА") == {"prezident": ("excluded", "president_of_org", True)}
+    assert office(spark, "президент Франции") == {"prezident": ("excluded", "country:Франция", True)}
+    assert office(spark, "немецкий президент") == {"prezident": ("excluded", "foreign_adj", True)}
+    assert office(spark, "президент Петров", leaders=("петров",)) == {"prezident": ("excluded", "foreign_leader", True)}
+    # The office of the own country, or a name, lets guarded mentions count.
+    assert office(spark, "Президент России и президент Франции")["prezident"] == ("match", None, True)
+    assert office(spark, "Иванов и президент Франции", persons=("иванов",)) == {"prezident": ("match", None, True), "name": ("match", None, False)}
+    assert office(spark, "Верховный суд") == {"verkhovn": ("excluded", "rada_lider_komissar_sud", True)}
+    assert office(spark, "Верховный суд и верховный сказал")["verkhovn"] == ("match", None, True)
+    assert office(spark, "рост ВВП") == {"vvp": ("excluded", "econ_context", True)} and office(spark, "ВВП прибыл") == {"vvp": ("match", None, False)}
+    assert office(spark, "от первого лица")["pervoe_litso"][1] == "ot_pervogo_litsa"
+    assert office(spark, "первое лицо государства")["pervoe_litso"][0] == "match" and office(spark, "первое лицо")["pervoe_litso"][1] == "no_power_context"
+    assert office(spark, "национальный наш лидер")["natslider"][0] == "match"
+    df = spark.createDataFrame([(1, "Президент сказал и президент Франции"), (2, "Президент сказал"), (3, "Президент сказал, что завтра прибудет немецкий гость"), (4, None)], "id long, text string")
+    got = {r.id: r.mixed for r in corpus.carve_office(df, "id", "text", markers=places.ADJECTIVES).collect()}
+    assert got == {1: True, 2: False, 3: True}
+    assert [r.id for r in rules.without_mixed(spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, mixed boolean")).collect()] == [2, 3]
+
+
+def test_anchor_of_a_pair(spark):
+    rule = next(r for r in corpus.registry(places.countries(spark)) if r.name == "adm_prezidenta")
+    assert verdict(rule, "администрация нового президента сша") == ("excluded", "ap_foreign:США")
+    assert verdict(rule, "в сша наша администрация нового президента") == ("match", None)
+
+
+def test_places():
+    names = ["Конго - Браззавиль", "Республика Корея", "Конго", "Того", "Франция", "Польша", "Чили", "Ирак", "Соединенные Штаты", "Остров Мэн"]
+    found = places.gazetteer([*names, "Южная Корея"], {"сша": "США"}, lemmas={"галлию": "франция"})
+    assert found["францией"] == found["галлию"] == "Франция" and found["польше"] == "Польша" and found["чили"] == "Чили" and found["ираком"] == "Ирак" and found["сша"] == "США"
+    assert "корея" not in found and "того" not in found and "мэн" not in found and found["браззавиль"] == "Конго - Браззавиль"
+    guard = Rule("r", "G", prefixes=("цел",), guards=(PlaceGuard("near", 2, {"рим": "Италия"}, ("немецк",), ("петров",)),))
+    assert verdict(guard, "петров цель рим") == ("excluded", "near:Италия")
+    assert verdict(guard, "петров цель немецкий") == ("excluded", "near:leader:петров") and verdict(guard, "немецкий петров цель") == ("excluded", "near:adj:немецк")
+
+
+def test_lemmas_from_a_table(spark):
+    lemmas = spark.createDataFrame([("городу", "город"), ("людей", "человек"), ("людей", "люди")], "token string, lemma string")
+    df = spark.createDataFrame([(1, ["городу", "и", "людей", "городу"]), (2, []), (3, None), (1, ["городу"])], "_token long, words array<string>")
+    got = sorted(((r[0], r.words) for r in places.lemmatized(df, "words", lemmas).collect()), key=str)
+    assert got == sorted([(1, ["город", "и", "люди", "город"]), (2, []), (3, None), (1, ["город"])], key=str)
+
+
+def test_countries_beside_an_office(spark):
+    df = spark.createDataFrame([(["президент", "франции", "и", "президент", "польши"],), (["президент", "сша", "чили"],), (["франции"],), (None,)], "t array<string>")
+    got = [r[0] for r in df.select(corpus.countries_near(F.col("t"), places.countries(spark))).collect()]
+    assert got == [["Польша", "Франция"], ["США"], [], []]
+
+
+def test_rules_agree_with_their_sql(spark):
+    """All rule sets, with leaders and names, over texts of the rules' own words in any order."""
+    duckdb = pytest.importorskip("duckdb")
+    names, rng = places.countries(spark), random.Random(17)
+    sets = [corpus.registry(names, ("петров",)), (corpus.residual(names, ("петров",)),), corpus.office(names, ("петров",), full_names=(("иван", "ильич"),)), corpus.office_query(), corpus.triggers(("петров",)), corpus.aliases(), (CHAIN,)]
+    for wanted in sets:
+        words = set()
+        classes = rules.TokenClasses()
+        for r in wanted:
+            r.compiled(classes)
+        for prefixes, exact in classes.classes:
+            words |= {p + rng.choice(["", "а", "ому"]) for p in prefixes} | set(list(exact)[:20])
+        words = sorted(words) + ["слово", "ещё", "и"] * 4
+        heads = [p for r in wanted for part in r.all_parts() for p in (*part.prefixes, *part.words, *(x.lstrip("=") for pair in part.pairs for x in pair))]
+        docs = [[rng.choice(heads if rng.random() < 0.35 else words) for _ in range(rng.randrange(0, 60))] for _ in range(250)]
+        run = rules.judge(wanted)
+        got = sorted((i, v["term"], v["grp"], v["status"], v["guard"] or "", v["guarded"]) for i, d in enumerate(docs) for v in run(d))
+        c = duckdb.connect()
+        c.execute("create table t (id bigint, w varchar[])")
+        c.executemany("insert into t values (?, ?)", list(enumerate(docs)))
+        q = f"with docs as (select * from t, {rulesql.gazetteer(names)}) select id, term, grp, status, coalesce(guard, ''), guarded from {rulesql.verdicts(wanted, 'docs', 'id')}"
+        assert sorted(c.execute(q).fetchall()) == got and got
+
+
+def test_unseen_posts_are_dropped_last(spark):
+    rows = [(1, "Роскомнадзор", "1 200"), (2, "Роскомнадзор", "0"), (3, "Роскомнадзор", None), (4, "Роскомнадзор", "x"), (5, "кремль Казани", None)]
+    df = spark.createDataFrame(rows, "id long, text string, views string")
+    got = {r.id: r.dropped for r in corpus.carve(df, "id", "text", views_col="views").collect()}
+    assert got == {1: None, 2: "views", 3: "views", 4: "views", 5: None}
+
+
+def test_another_corpus_leaves_nothing_over(spark):
+    df = spark.createDataFrame([(1, "Замедляют телеграм"), (2, "Президент знает, что замедляют телеграм"), (3, "Верховный суд: замедляют телеграм")], "id long, text string")
+    assert {r.id: r.residual for r in corpus.carve(df, "id", "text").collect()} == {1: True, 2: False, 3: True}
 
 
 def test_carving(spark):

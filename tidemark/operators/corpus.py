@@ -2,37 +2,34 @@
 
 The cheap substring tests come first, so that tokens and windows are only made
 for posts that can match; nothing here moves a row.
+
+Rules are about institutions and offices.  Terms that are persons, and leaders whose
+names mark a mention as foreign, are given by the caller (``names``, ``leaders``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
-from tidemark.operators.rules import Guard, LabelGuard, Near, Rule, apply_rules, groups, terms
-
-# Stems of foreign countries and their adjectives; a demonstration list, to be replaced as needed.
-FOREIGN = {
-    "украин": "Украина", "киев": "Украина", "белорус": "Беларусь", "казахстан": "Казахстан", "польш": "Польша", "польск": "Польша",
-    "германи": "Германия", "немецк": "Германия", "франц": "Франция", "британ": "Британия", "америк": "США", "сша": "США",
-    "кита": "Китай", "инди": "Индия", "иран": "Иран", "турц": "Турция", "турецк": "Турция", "израил": "Израиль", "япон": "Япония",
-}
-
-# Institutions and what disqualifies a mention of them.
-RULES = (
-    Rule("roskomnadzor", "A", prefixes=("роскомнадзор", "роскомпозор")),
-    Rule("rkn_abbr", "A", words=("ркн",), guards=(Guard("rkn_space_homonym", (Near(12, ("ракет", "космодром", "носител")),)),)),
-    Rule("rkn_infra", "A", words=("грчц", "тспу", "ссоп"), pairs=(("радиочастотн", "центр"),)),
-    Rule("mincifry", "A", prefixes=("минцифр", "минсвяз"), pairs=(("министерств", "цифров"),), guards=(LabelGuard("mincifry_foreign", 3, FOREIGN), Guard("mincifry_regional", (Near(3, ("област", "республик", "округ", "регион"), ("край", "края", "краю")),)))),
-    Rule("kreml", "B", prefixes=("кремл",), guards=(Guard("kreml_city", (Near(4, ("казан", "нижегород", "новгород", "тульск", "псковск", "астрахан", "ростовск", "коломен", "рязан", "смолен")),)),)),
-    Rule("ap_abbr", "B", words=("ап",), requires=Near(10, ("кремл", "администрац", "куратор", "президент"))),
-    Rule("sovbez", "B", prefixes=("совбез",), pairs=(("совет", "безопасност"),), guards=(LabelGuard("sovbez_foreign", 4, FOREIGN), Guard("sovbez_white_house", (Near(4, ("белог",)), Near(4, ("дом",)))))),
-    Rule("kabmin", "GOV", prefixes=("кабмин",), guards=(LabelGuard("kabmin_foreign", 3, FOREIGN),)),
-    Rule("fas", "AGENCIES", words=("фас",), requires=Near(10, ("антимонопольн", "служб", "штраф", "возбуд", "тариф", "реклам", "оператор", "монопол", "картел", "сговор"))),
-    Rule("genprok", "AGENCIES", prefixes=("генпрокуратур",), pairs=(("генеральн", "прокуратур"),), guards=(LabelGuard("genprok_foreign", 3, FOREIGN),)),
-)
+from tidemark.operators import places
+from tidemark.operators.rules import Accept, Guard, Near, Not, Part, PlaceGuard, Rule, apply_rules, groups, terms
+
+# What disqualifies a mention of an institution, and what confirms one.
+SPACE = ("ракет", "космодром", "носител")
+REGIONS = ("област", "республик", "округ", "регион")
+REGION_FORMS = ("край", "края", "краю", "краем", "крае")
+KREMLIN_CITIES = (
+    "казан", "нижегород", "новгород", "тульск", "псковск", "астрахан", "ростовск", "коломен", "измайлов", "рязан", "смолен", "тоболь",
+    "зарайск", "углич", "вологод", "суздал", "волоколам", "александровск",
+)
+AP_CONTEXT = ("кремл", "администрац", "кириенко", "внутрипол", "куратор", "президент")
+FAS_CONTEXT = ("антимонопольн", "служб", "штраф", "возбуд", "тариф", "реклам", "оператор", "монопол", "картел", "сговор")
 
 # Cheap tests that every post with a term or a platform and a restriction passes.
 PRESCREEN = ("роскомнадзор", "роскомпозор", "грчц", "тспу", "ссоп", "радиочастотн", "минцифр", "минсвяз", "кабмин", "кремл", "администрац", "совбез", "генпрокуратур")
@@ -42,6 +39,138 @@ PLATFORM = ("телеграм", "telegram", "мессенджер", "ютуб",
 PLATFORM_PREFIXES = PLATFORM[:9]
 PLATFORM_WORDS = ("vpn", "впн", "тг")
 
+# What a blocking must not be near to be about networks, and how near the platform must be.
+FINANCE = ("счет", "актив", "карт", "транзакц", "санкци")
+MILITARY = ("позиц", "войск", "групп", "окружен", "гарнизон", "плацдарм", "котл")
+FAR, NEAR = 40, 12
+
+# Words about the office of a president, and what disqualifies them.
+OFFICE_PRESCREEN = r"(?U)президент|верховн|владимирович|\bввп\b|перво[ег]\w*\s+лиц|нацлидер|национальн\w*\s+лидер|главковерх"
+PRESIDENT_OBJECTS = ("дворец", "дворц", "бригад", "резиденц", "комплекс")
+PRESIDENT_ORGANISATIONS = ("уефа", "фифа", "клуба", "компании", "федерации", "ассоциации", "академии")
+SUPREME_OTHERS = ("суд", "рад", "лидер", "комиссар", "представит")
+GDP_CONTEXT = ("рост", "росл", "процент", "трлн", "млрд", "доллар", "юан", "эконом", "инфляц", "дефицит", "номинал", "паритет", "душ")
+FIRST_PERSON = ("=первое", "=первого", "=первому")
+FIRST_PERSON_OTHERS = ("fpv", "фпв", "дрон")
+FIRST_PERSON_CONTEXT = ("власт", "государств", "стран", "кремл", "решени", "доклад", "верховн", "главнокоманд")
+NATIONAL_LEADER_OTHERS = ("чечн", "украин")
+MORE_ADJECTIVES = ("финск", "чешск", "словацк", "румынск", "венгерск", "сербск", "южнокорейск", "севернокорейск", "китайск", "индийск", "бразильск", "аргентинск")
+
+
+def registry(names: dict[str, str], leaders: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The terms of the corpus: institutions and what disqualifies a mention of them."""
+
+    def foreign(term: str, radius: int) -> PlaceGuard:
+        return PlaceGuard(f"{term}_foreign", radius, names, places.ADJECTIVES, leaders)
+
+    return (
+        Rule("roskomnadzor", "A", prefixes=("роскомнадзор", "роскомпозор")),
+        Rule("rkn_abbr", "A", words=("ркн",), guards=(Guard("rkn_space_homonym", (Near(12, SPACE),)),)),
+        Rule("rkn_infra", "A", words=("грчц", "тспу", "ссоп"), pairs=(("радиочастотн", "центр"),)),
+        Rule("mincifry", "A", prefixes=("минцифр", "минсвяз"), pairs=(("министерств", "цифров"),), guards=(foreign("mincifry", 3), Guard("mincifry_regional", (Near(3, REGIONS, REGION_FORMS),)))),
+        Rule("kreml", "B", prefixes=("кремл",), guards=(Guard("kreml_city", (Near(4, KREMLIN_CITIES),)), Guard("kreml_channel_name", (Near(1, ("прачк",)),)))),
+        Rule("adm_prezidenta", "B", pairs=(("администрац", "президент"),), at_second=True, guards=(foreign("ap", 2),)),
+        Rule("ap_abbr", "B", words=("ап",), requires=Near(10, AP_CONTEXT)),
+        Rule("sovbez", "B", prefixes=("совбез",), pairs=(("совет", "безопасност"),), guards=(foreign("sovbez", 4), Guard("sovbez_white_house", (Near(4, ("белог",)), Near(4, ("дом",)))))),
+        Rule("kabmin", "GOV", prefixes=("кабмин",), guards=(foreign("kabmin", 3),)),
+        Rule("fas", "AGENCIES", words=("фас",), requires=Near(10, FAS_CONTEXT)),
+        Rule("genprok", "AGENCIES", prefixes=("генпрокуратур",), pairs=(("генеральн", "прокуратур"),), guards=(foreign("genprok", 3),)),
+    )
+
+
+def residual(names: dict[str, str], leaders: tuple[str, ...] = ()) -> Rule:
+    """Talk of restricted platforms without any actor.
+
+    A restriction counts if no guard fires at it; it and a platform must be within
+    40 tokens.  The last guard in the text is reported if none is left.
+    """
+    foreign = PlaceGuard("c_foreign", 4, names, places.ADJECTIVES, leaders)
+
+    def far(kind: str) -> Guard:
+        return Guard(f"c_{kind}_far_from_platform", (Not(Near(NEAR, PLATFORM_PREFIXES, PLATFORM_WORDS)),))
+
+    return Rule(
+        "residual",
+        "C",
+        parts=(
+            Part(("блокир", "заблокир", "разблокир"), steps=(Guard("c_block_financial", (Near(3, FINANCE),)), Guard("c_block_military", (Near(4, MILITARY),)), foreign)),
+            Part(("замедл", "цензур"), ("шатдаун",), steps=(foreign,)),
+            Part(("ограничен", "ограничив"), steps=(far("restrict"), foreign)),
+            Part(("отключ",), steps=(far("off"), foreign)),
+        ),
+        in_order=True,
+        partner=Near(FAR, PLATFORM_PREFIXES, PLATFORM_WORDS),
+        partner_guard="c_far_cooccurrence",
+    )
+
+
+def office(names: dict[str, str], leaders: tuple[str, ...] = (), persons: tuple[str, ...] = (), full_names: tuple[tuple[str, str], ...] = ()) -> tuple[Rule, ...]:
+    """Mentions of the head of state by office.
+
+    ``persons`` are stems of names: they match unless they only stand in hashtags, and
+    with one of them, or the office of the own country, guarded mentions of the office
+    count too.  ``full_names`` are pairs of stems.
+    """
+    adjectives = (*places.ADJECTIVES, *MORE_ADJECTIVES)
+    guards = [
+        Guard("office_of_president", (Near(prefixes=("офис",), before=1, after=-1),)),
+        Guard("presidential_object", (Near(0, ("президентск",)), Near(prefixes=PRESIDENT_OBJECTS, before=-1, after=1))),
+        Guard("president_of_org", (Near(words=PRESIDENT_ORGANISATIONS, before=-1, after=1),)),
+        PlaceGuard("country", 2, names),
+        Guard("foreign_adj", (Near(3, adjectives),)),
+        *([Guard("foreign_leader", (Near(3, leaders),))] if leaders else []),
+    ]
+    own = Part(pairs=(("президент", "росси"), ("президент", "рф")))
+    said = (Part(prefixes=persons),) if persons else ()
+    rules = [
+        Rule("prezident", "P", prefixes=("президент",), guards=tuple(guards), clean_if=(own, *said)),
+        Rule("verkhovn", "P", prefixes=("верховн",), guards=(Guard("rada_lider_komissar_sud", (Near(1, SUPREME_OTHERS),)), Guard("nato", (Near(2, ("нато",)),)))),
+        Rule("vvp", "P", words=("ввп",), guards=(Guard("econ_context", (Near(6, GDP_CONTEXT),)),)),
+        Rule(
+            "pervoe_litso", "P",
+            parts=(Part(pairs=tuple((w, "лиц") for w in FIRST_PERSON), gap=1, otherwise="no_power_context", steps=(
+                Guard("ot_pervogo_litsa", (Near(words=("от",), before=1, after=-1),)), Guard("fpv_context", (Near(5, FIRST_PERSON_OTHERS),)), Accept((Near(10, FIRST_PERSON_CONTEXT),)))),),
+        ),
+        Rule("natslider", "P", prefixes=("нацлидер",), pairs=(("национальн", "лидер"),), guards=(Guard("other_person", (Near(5, NATIONAL_LEADER_OTHERS),)),)),
+        Rule("glavkoverh", "P", prefixes=("главковерх",)),
+    ]
+    rules += [Rule("name", "P", prefixes=(p,), hashtag=p) for p in persons]
+    rules += [Rule("full_name", "P", pairs=full_names)] if full_names else []
+    return tuple(rules)
+
+
+def office_query(persons: tuple[str, ...] = (), full_names: tuple[tuple[str, str], ...] = ()) -> tuple[Rule, ...]:
+    """The plain query for the office, without guards but one: whatever it matches is another corpus."""
+    rules = [Rule("prezident", "P", prefixes=("президент", *persons)), Rule("verkhovn", "P", prefixes=("верховн",), guards=(Guard("court", (Near(1, ("суд",)),)),))]
+    return tuple(rules + ([Rule("full_name", "P", pairs=full_names)] if full_names else []))
+
+
+def triggers(leaders: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """What an audit of the office query looks for, each on its own."""
+    foreign = (*places.ADJECTIVES, *MORE_ADJECTIVES[:6], "бывш", *leaders)
+    return (
+        Rule("prezident", "T", prefixes=("президент",)),
+        Rule("prezident_foreign", "T", prefixes=("президент",), requires=Near(3, foreign)),
+        Rule("verkhovn", "T", prefixes=("верховн",), guards=(Guard("court", (Near(1, ("суд",)),)),)),
+        Rule("verkhovn_rada", "T", prefixes=("верховн",), requires=Near(1, ("рад",))),
+    )
+
+
+# Cheap test and checks of other words for the office.
+ALIAS_PRESCREEN = r"(?U)ввп|цар[ьяюее]|главковерх|нацлидер|национальн\w*\s+лидер|перво[ег]\w*\s+лиц|хозяин\w*\s+кремл"
+TSAR = ("царь", "царя", "царю", "царем", "царе")
+
+
+def aliases() -> tuple[Rule, ...]:
+    return (
+        Rule("vvp", "X", words=("ввп",)),
+        Rule("tsar", "X", words=TSAR),
+        Rule("glavkoverh", "X", prefixes=("главковерх",)),
+        Rule("natslider", "X", prefixes=("нацлидер",), parts=(Part(prefixes=("национальн",), otherwise="no_leader", steps=(Accept((Near(prefixes=("лидер",), before=1, after=2),)),)),)),
+        Rule("pervoe_litso", "X", pairs=tuple((w, "лиц") for w in FIRST_PERSON), gap=1),
+        Rule("hozyain_kremlya", "X", pairs=(("хозяин", "кремл"),), gap=3),
+    )
+
 
 def _any(c: Column, parts: tuple[str, ...]) -> Column:
     return c.rlike("|".join(parts))
@@ -73,71 +202,71 @@ def rating_list(norm: Column) -> Column:
     return W.let(norm, test)
 
 
-# What a blocking must not be near to be about networks, and how near the platform must be.
-FINANCE = ("счет", "актив", "карт", "транзакц", "санкци")
-MILITARY = ("позиц", "войск", "групп", "окружен", "гарнизон", "плацдарм", "котл")
-FAR, NEAR = 40, 12
+def _screened(df: DataFrame, id_col: str, text_col: str, keep: list[str], screen) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).filter(screen(X.norm_text(F.col("text"))))
+    rows = rows.withColumn("lines", X.footer_lines(F.col("text"))).withColumn("clean", X.without_lines(F.col("text"), F.col("lines")))
+    norm = X.norm_text(F.col("clean"))
+    # Most texts have no footer, and what passed once needn't be tested again.
+    dropped = F.when((F.size("lines") > 0) & ~screen(norm), "footer_only").when(rating_list(norm), "rating_list")
+    rows = rows.withColumn("dropped", dropped)
+    return rows.withColumn("tokens", F.when(F.col("dropped").isNull(), X.tokens(F.col("clean"))).otherwise(F.array().cast("array<string>")))
 
 
-def residual(tokens: Column) -> Column:
-    """Talk of restricted platforms without any actor: struct ``match``, ``guard``.
+def carve(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] | None = None, left: Rule | None = None, other: tuple[Rule, ...] | None = None, source_col: str | None = None, views_col: str | None = None) -> DataFrame:
+    """``id, dropped, footer_lines, clean, tokens, verdicts, terms, grps, residual, residual_guard`` of every post that passes the prescreen.
 
-    A restriction counts if no guard fires at it; it and a platform must be within
-    40 tokens.  The last guard is reported if no restriction is left.
+    ``dropped`` is ``footer_only`` where only footer lines pass it, ``rating_list``
+    for lists of channels, else null; dropped posts have no terms.  Null texts pass
+    nothing.  Guards are kept in ``verdicts`` also for posts that match other terms.
+    Posts without a term that ``other`` (another corpus) doesn't match either are left
+    for the rule ``left``.  With ``source_col`` rules are silent in their own sources.
+    With ``views_col`` posts of less than one view, or of none that can be read, that
+    would be in the corpus are dropped as ``views``, after all tests.
     """
-    platforms = F.concat(W.exact_places(tokens, PLATFORM_WORDS), W.prefix_places(tokens, PLATFORM_PREFIXES))
+    names = places.countries(df.sparkSession)
+    rules = registry(names) if rules is None else rules
+    left = residual(names) if left is None else left
+    other = office_query() if other is None else other
+    keep = [F.lower(F.ltrim(F.lit("@"), F.col(source_col))).alias("source")] if source_col else []
+    keep += [X.to_count(F.col(views_col).cast("string")).alias("views")] if views_col else []
+    rows = _screened(df, id_col, text_col, keep, prescreen)
+    rows = apply_rules(rows, (*rules, left, *(o for o in other)), norm=X.norm_text(F.col("clean")) if any(r.hashtag for r in rules) else None, source=F.col("source") if source_col else None)
+    own = F.filter("verdicts", lambda v: ~v["grp"].isin(left.group, *{o.group for o in other}))
+    elsewhere = F.exists("verdicts", lambda v: v["grp"].isin(*{o.group for o in other}) & (v["status"] == "match")) if other else F.lit(False)
+    rows = rows.withColumn("own", own).withColumn("rest", F.get(F.filter("verdicts", lambda v: v["grp"] == left.group), F.lit(0))).withColumn("elsewhere", elsewhere)
+    rows = rows.withColumn("terms", terms(F.col("own"))).withColumn("grps", groups(F.col("own")))
+    looked = (F.col("terms") == "") & F.col("dropped").isNull() & ~F.col("elsewhere")
+    rows = rows.withColumn("residual", F.coalesce(looked & (F.col("rest.status") == "match"), F.lit(False))).withColumn("residual_guard", F.when(looked, F.col("rest.guard")))
+    if views_col:
+        unseen = ((F.col("terms") != "") | F.col("residual")) & ~F.coalesce(F.col("views") >= 1, F.lit(False))
+        rows = rows.withColumn("dropped", F.coalesce("dropped", F.when(unseen, "views")))
+    return rows.select("id", "dropped", F.size("lines").alias("footer_lines"), "clean", "tokens", F.col("own").alias("verdicts"), "terms", "grps", "residual", "residual_guard")
 
-    def kind(t: Column) -> Column:
-        return (
-            F.when(W.starts_with_any(t, ("блокир", "заблокир", "разблокир")), "block")
-            .when(t.startswith("замедл"), "slow")
-            .when(W.starts_with_any(t, ("ограничен", "ограничив")), "restrict")
-            .when(t.startswith("отключ"), "off")
-            .when(t.startswith("цензур"), "cenz")
-            .when(t == "шатдаун", "shutdown")
-        )
 
-    def guard(x: Column, at: Column) -> Column:
-        i, k = x["i"], x["kind"]
-        far = k.isin("restrict", "off") & ~F.exists(at, lambda j: F.abs(i - j) <= NEAR)
-        return (
-            F.when((k == "block") & W.near_prefix(tokens, i, 3, FINANCE), "c_block_financial")
-            .when((k == "block") & W.near_prefix(tokens, i, 4, MILITARY), "c_block_military")
-            .when(far, F.concat(F.lit("c_"), k, F.lit("_far_from_platform")))
-            .otherwise(F.concat(F.lit("c_foreign:"), W.first_label(tokens, i, 4, FOREIGN)))
-        )
+def carve_office(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] | None = None, markers: Iterable[str] = ()) -> DataFrame:
+    """``id, dropped, tokens, verdicts, terms, mixed`` of every post that can mention the head of state.
 
-    def settle(judged: Column, at: Column) -> Column:
-        kept = F.transform(F.filter(judged, lambda x: x["guard"].isNull()), lambda x: x["i"])
-        reasons = F.filter(F.transform(judged, lambda x: x["guard"]), lambda g: g.isNotNull())
-
-        def decide(k: Column) -> Column:
-            near = W.close(k, at, FAR)
-            reason = F.when(F.size(k) == 0, W.let(reasons, lambda r: F.get(r, F.size(r) - 1))).when(~near, "c_far_cooccurrence")
-            return F.struct(near.alias("match"), F.when(F.size(at) > 0, reason).alias("guard"))
-
-        return W.let(kept, decide)
+    ``mixed`` marks posts that match and also have a guarded mention or a token that
+    begins with one of ``markers`` (names of foreign leaders).
+    """
+    from tidemark.operators.rules import mixed
 
-    def judge(at: Column) -> Column:
-        found = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), kind(t).alias("kind"))), lambda x: x["kind"].isNotNull())
-        return W.let(F.transform(found, lambda x: F.struct(x["i"].alias("i"), guard(x, at).alias("guard"))), lambda judged: settle(judged, at))
+    rules = office(places.countries(df.sparkSession)) if rules is None else rules
+    rows = _screened(df, id_col, text_col, [], lambda norm: norm.rlike(OFFICE_PRESCREEN))
+    rows = apply_rules(rows, rules, norm=X.norm_text(F.col("clean")) if any(r.hashtag for r in rules) else None)
+    return rows.select("id", "dropped", "tokens", "verdicts", terms(F.col("verdicts")).alias("terms"), mixed(F.col("verdicts"), F.col("tokens"), markers).alias("mixed"))
 
-    return W.let(platforms, judge)
 
+def countries_near(tokens: Column, names: dict[str, str], stem: str = "президент", radius: int = 1) -> Column:
+    """Sorted distinct countries within ``radius`` tokens of any token that begins with ``stem``; such tokens themselves stand for none."""
 
-def carve(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``id, dropped, footer_lines, clean, verdicts, terms, grps, residual, residual_guard`` of every post that passes the prescreen.
+    @F.arrow_udf("array<string>")
+    def near(batch: pa.Array) -> pa.Array:
+        out = []
+        for words in batch.to_pylist():
+            at = [i for i, w in enumerate(words or ()) if w.startswith(stem)]
+            found = {names[w] for i in at for w in words[max(0, i - radius) : i + radius + 1] if w in names and not w.startswith(stem)}
+            out.append(sorted(found))
+        return pa.array(out, pa.list_(pa.string()))
 
-    ``dropped`` is ``footer_only`` where only footer lines pass it, ``rating_list``
-    for lists of channels, else null; dropped posts have no terms.  Null texts pass
-    nothing.  Guards are kept in ``verdicts`` also for posts that match other terms.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(prescreen(X.norm_text(F.col("text"))))
-    rows = rows.withColumn("lines", X.footer_lines(F.col("text"))).withColumn("clean", X.without_lines(F.col("text"), F.col("lines")))
-    norm = X.norm_text(F.col("clean"))
-    dropped = F.when(~prescreen(norm), "footer_only").when(rating_list(norm), "rating_list")
-    rows = rows.withColumn("dropped", dropped).withColumn("tokens", F.when(F.col("dropped").isNull(), X.tokens(F.col("clean"))).otherwise(F.array().cast("array<string>")))
-    rows = apply_rules(rows, rules).withColumn("terms", terms(F.col("verdicts"))).withColumn("grps", groups(F.col("verdicts")))
-    left = F.when((F.col("terms") == "") & F.col("dropped").isNull(), residual(F.col("tokens")))
-    rows = rows.withColumn("left", left)
-    return rows.select("id", "dropped", F.size("lines").alias("footer_lines"), "clean", "tokens", "verdicts", "terms", "grps", F.coalesce(F.col("left.match"), F.lit(False)).alias("residual"), F.col("left.guard").alias("residual_guard"))
+    return near.asNondeterministic()(tokens)

@@ -187,12 +187,6 @@ def flt_hashtag_only(spark, sf_dir):
     return _candidates(spark, sf_dir).filter(W.let(X.norm_text(F.col("text")), lambda t: X.hashtag_only(t, "связь"))).select("src_id")
 
 
-@query()
-def flt_mixed(spark, sf_dir):
-    carved = corpus.carve(_candidates(spark, sf_dir), "src_id", "text")
-    return carved.select(F.col("id").alias("src_id"), rules.mixed(F.col("verdicts"), F.col("tokens"), corpus.FOREIGN).alias("mixed"))
-
-
 @query("""with c as (select ensemble_label as a, case when ensemble_negative_prob > 0.4 then 'negative' when ensemble_positive_prob > 0.4 then 'positive' else 'neutral' end as b from docs_topics),
 c2 as (select * from c where a is not null), n as (select count(*) as n, count(*) filter (where a = b) as k from c2),
 e as (select sum(pa * pb) as e from (select a as code, count(*) / (select n from n) as pa from c2 group by a) x join (select b as code, count(*) / (select n from n) as pb from c2 group by b) y using (code))
@@ -203,34 +197,6 @@ def agg_agreement(spark, sf_dir):
     return out.select("n", _r("raw_agreement"), _r("kappa"))
 
 
-@query()
-def flt_corpus(spark, sf_dir):
-    return corpus.carve(_candidates(spark, sf_dir), "src_id", "text").select(F.col("id").alias("src_id"), "dropped", "footer_lines", "terms", "grps", "residual", "residual_guard")
-
-
-@query()
-def flt_exclusions(spark, sf_dir):
-    # The carved corpus is one stage's result: written once, reported on as often as needed.
-    carved = corpus.carve(_candidates(spark, sf_dir), "src_id", "text").select("id", "verdicts")
-    return rules.exclusion_report(materialize(carved, "carved"), "id")
-
-
-@query()
-def agg_corpus_counters(spark, sf_dir):
-    carved = corpus.carve(_candidates(spark, sf_dir), "src_id", "text")
-    names = {g for g in (r.group for r in corpus.RULES)}
-    held = X.separated(F.col("grps"))
-    return carved.agg(
-        F.count("*").alias("screened"),
-        F.count_if(F.col("dropped") == "footer_only").alias("footer_only"),
-        F.count_if(F.col("dropped") == "rating_list").alias("rating_lists"),
-        F.count_if((F.col("terms") != "") | F.col("residual")).alias("written"),
-        F.count_if("residual").alias("residual"),
-        F.sum("footer_lines").alias("footer_lines"),
-        *(F.count_if(F.array_contains(held, g)).alias(f"obj_{g}") for g in sorted(names)),
-    )
-
-
 @query("select src_id, " + ", ".join(scan.FLAGS) + ", matched_actors, matched_leaders from candidates")
 def scan_flags(spark, sf_dir):
     return scan.flag_texts(_candidates(spark, sf_dir)).select("src_id", *scan.FLAGS, "matched_actors", "matched_leaders")

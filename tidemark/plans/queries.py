@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import delivery, nested, treeagg
-from tidemark.plans import analysis
+from tidemark.plans import analysis, corpora
 from tidemark.tables import spread, table
 
 FLAGSHIP = "agg_object_scenario"
@@ -78,7 +78,7 @@ def p7_kept(spark, sf_dir):
     return delivery.exactly_once(_posts(spark, sf_dir), KEY, "id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p2_entities, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)} | analysis.QUERIES
+QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p2_entities, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)} | analysis.QUERIES | corpora.QUERIES
 
 
 
@@ -113,3 +113,8 @@ SQL = analysis.SQL | {
     "p7_found": "select id from (select id, min(id) over (partition by channel_id, post_id) as winner from posts_raw where channel_id is not null and post_id is not null) where id > winner",
     "p7_kept": "select * from posts_raw where channel_id is null or post_id is null union all select * from posts_raw where channel_id is not null and post_id is not null qualify row_number() over (partition by channel_id, post_id order by id) = 1",
 }
+
+
+def session_sql() -> dict[str, str]:
+    """SQL that is written with the help of the running session; without one there is none."""
+    return corpora.sql(SparkSession.getActiveSession() or SparkSession._instantiatedSession)
