@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import authors, impact, series, topics
+from tidemark.operators import authors, impact, reports, series, topics
 from tidemark.operators.verify import Check, snapshot, verify
 
 
@@ -173,3 +173,83 @@ def test_vectors_by_key(spark):
         with pytest.raises(ValueError):
             topics.attach_vectors(docs, wrong, "row", "id", "v", 2)
     assert topics.attach_vectors(docs, full.limit(1), "row", "id", "v", 2, strict=False).filter("vector is null").count() == 1
+
+
+def test_exact_medians(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("a", 2.0), ("a", 2.0), ("b", 5.0), ("b", None), (None, 1.0), (None, 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.size, r.v_mean, r.v_median) for r in topics.topic_label_stats(df, ["k"], ["v"]).collect()}
+    assert got == {"a": (4, 2.0, 2.0), "b": (2, 5.0, 5.0), None: (2, 2.5, 2.5), "c": (1, None, None)}
+
+
+def test_density_clusters(spark):
+    """A ring around a blob, which no k-means can part, and a few rows far off."""
+    import math
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        a = 2 * math.pi * i / 1200
+        rows.append((i, [math.cos(a) * 0.5, math.sin(a) * 0.5, 1.0]))
+    for i in range(1200, 1500):
+        rows.append((i, [*rng.normal(0, 0.02, 2).tolist(), 1.0]))
+    rows += [(1500, [5.0, 5.0, 1.0]), (1501, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    topic = {r.id: r.topic for r in topics.density_clusters(df, "v", "id", dims=3, width=0.05, least=4).collect()}
+    assert len(topic) == 1501 and topic[1500] == -1
+    assert {topic[i] for i in range(1200)} == {0} and [topic[i] for i in range(1200, 1500)].count(1) > 280
+    assert topics.density_clusters(df.limit(0), "v", "id").count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(400, 401)]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "label long, other long")
+    got = {r.label: r.root for r in topics.connected(both.select("label").distinct(), both).collect()}
+    assert got == {i: 0 for i in range(301)} | {400: 400, 401: 400}
+
+
+def test_fitted_models_are_stored(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = [(i, [float(i % 2), float(i % 3), 1.0]) for i in range(30)]
+    topics.cluster_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "v", "id", k=2, dims=2, save_to=str(tmp_path / "m"))
+    assert len(PipelineModel.load(str(tmp_path / "m")).stages) == 2
+
+
+def test_report_labels(spark):
+    row = spark.range(1).select(
+        reports.points(F.lit(0.0123)).alias("a"), reports.points(F.lit(-0.2)).alias("b"), reports.percent(F.lit(0.5), F.lit(7)).alias("c"), reports.grouped(F.lit(1234567)).alias("d"),
+        reports.day_label(F.lit("2025-02-01").cast("date")).alias("e"), reports.before_first(F.lit("a=b=c"), "=").alias("f"), reports.file_name(F.lit("org/model v1:x")).alias("g"),
+        reports.labelled(F.lit("x"), {"x": "икс"}).alias("h"), reports.labelled(F.lit("y"), {"x": "икс"}).alias("i"), reports.topic_mask(F.lit("1_VPN_сбой"), ["впн", "vpn"]).alias("j"), reports.topic_mask(F.lit(None).cast("string"), ["a"]).alias("k"),
+    ).first()
+    assert tuple(row) == ("+1.2 п.п.", "-20.0 п.п.", "50.0% (n=7)", "1 234 567", "01.02.2025", "a", "org__model_v1_x", "икс", "y", True, False)
+    with pytest.raises(ValueError):
+        reports.topic_mask(F.lit("x"), [" "])
+
+
+def test_fixed_categories_and_codes(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "b"), (3, None), (4, "x")], "id long, c string")
+    assert [(r.position, r.c, r.n, round(r.share, 3)) for r in reports.shares_in_order(df, "c", ["a", "b"]).orderBy("position").collect()] == [(0, "a", 0, 0.0), (1, "b", 2, 0.667)]
+    assert [r.share for r in reports.shares_in_order(df.limit(0), "c", ["a"]).collect()] == [0.0]
+    codes = spark.createDataFrame([(1, "y", "k"), (1, "z", "a"), (9, "q", "q")], "id long, code string, c string")
+    assert sorted(tuple(r) for r in reports.attach_codes(df, codes, "id").collect()) == [(1, "b", "y"), (2, "b", None), (3, None, None), (4, "x", None)]
+
+
+def test_package_and_frames(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{}", encoding="utf-8")
+    reports.write_frames({"frame": spark.range(2)}, str(tmp_path / "f"))
+    missing = reports.package(spark, [(str(tmp_path / "a.json"), "b.json"), (str(tmp_path / "none"), "c"), (str(tmp_path / "f/frame"), "frame")], str(tmp_path / "out"))
+    assert missing == [str(tmp_path / "none")] and (tmp_path / "out/b.json").read_text(encoding="utf-8") == "{}"
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out/frame")).count() == 2
+
+
+def test_written_tables_are_removed_with_their_scope(spark):
+    from pathlib import Path
+
+    from tidemark.tables import materialize, scratch
+
+    with scratch(spark):
+        kept = materialize(spark.range(3), "kept")
+        folder = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+        assert kept.count() == 3 and folder.exists()
+    assert not folder.exists()

@@ -18,12 +18,39 @@ def test_json_lines(spark, tmp_path):
     rows = ingest.read_json_lines(spark, str(tmp_path)).orderBy("line_number").collect()
     assert [(r.line_number, r.channel_id, r.post_id, r.post_date) for r in rows] == [(1, 1, 2, "d"), (5, None, None, None)]
     assert rows[0].source_file.endswith("a.jsonl")
-    split = ingest.read_json_rows(spark, str(tmp_path)).collect()
-    assert len(split) == 2 and len({r.line_number for r in split}) == 2
     lines = spark.createDataFrame([("a", ""), ("a", "{"), ("a", "{}"), ("b", "7")], "source_file string, line string")
     assert {tuple(r) for r in ingest.broken_lines(lines).collect()} == {("a", 1, 1), ("b", 0, 1)}
 
 
+def test_numbers_of_lines_depend_on_their_file_alone(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    texts = {"b.txt": [f"строка {i} " + "x" * (i % 50) if i % 7 else "" for i in range(3000)], "c.txt": ["one"]}
+    for name, held in texts.items():
+        (folder / name).write_text("\n".join(held) + "\n", encoding="utf-8")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: {(r.source_file.rsplit("/", 1)[1], r.line_number): r.line for r in ingest.numbered_lines(spark, str(folder)).collect()}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 3
+        want = {(name, n): x for name, held in texts.items() for n, x in enumerate(held, 1)}
+        assert read() == want
+        (folder / "a.txt").write_text("new\nlines\n", encoding="utf-8")
+        assert read() == want | {("a.txt", 1): "new", ("a.txt", 2): "lines"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_csv_lists_and_days(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("day,n\n2025-01-01,3\nno day,4\n2025-01-02,x\n2025-01-03,\n", encoding="utf-8")
+    rows = ingest.read_csv(spark, str(tmp_path / "r.csv"), "day date, n int", ["n"]).collect()
+    assert [(str(r.day), r.n) for r in rows] == [("2025-01-01", 3)]
+    (tmp_path / "l.txt").write_text(" a \n\nb\na\n\u00a0\n", encoding="utf-8")
+    assert sorted(r.item for r in ingest.read_list(spark, str(tmp_path / "l.txt")).collect()) == ["a", "b"]
+    days = spark.createDataFrame([("2025-01-01T10:00:00+03:00",), ("2025-01-05",), ("bad",), (None,)], "d string")
+    assert ingest.within_days(days, "d", "2025-01-02").count() == 1 and ingest.within_days(days, "d", None, "2025-01-02").count() == 1 and ingest.within_days(days, "d").count() == 2
+
+
 def test_json_array(spark, tmp_path):
     items = [{"Channel Name": "Один", "Handle": "@a", "resolved_id_x": 5}, 7, {"resolved_id_x": 5, "resolved_id_y": None}, {"resolved_id_x": 5, "resolved_id_y": 6}]
     (tmp_path / "c.json").write_text(json.dumps(items, indent=1, ensure_ascii=False), encoding="utf-8")
@@ -50,7 +77,7 @@ def test_sinks_and_stages(spark, tmp_path):
     assert flat.columns == ["id", "t"] and flat.first().t == "ё,б"
     ingest.write_report(flat, str(tmp_path / "r"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "r")).count() == 1
-    ingest.write_summary({"n": 1, "день": "д"}, str(tmp_path / "s.json"))
+    ingest.write_summary(spark, {"n": 1, "день": "д"}, str(tmp_path / "s.json"))
     assert json.loads((tmp_path / "s.json").read_text(encoding="utf-8"))["день"] == "д"
     made = []
     for _ in range(2):
@@ -102,6 +129,33 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(target).count() == 60
 
 
+def test_deliveries_and_counts_over_batches(spark, tmp_path):
+    """Repeats within and across batches, late rows and null keys; a second run takes up where the first ended."""
+    import os
+
+    source = tmp_path / "in"
+    schema = "id long, k string, at timestamp, v long"
+
+    def deliver(n, rows):
+        df = spark.createDataFrame(rows, "id long, k string, at string, v long").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        source.mkdir(exist_ok=True)
+        os.rename(next((tmp_path / f"p{n}").glob("*.parquet")), source / f"{n}.parquet")
+        os.utime(source / f"{n}.parquet", (1_000_000 + n, 1_000_000 + n))
+
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    once = lambda: sorted((r.id, r.k, r.v) for r in incremental.delivered_once(stream(), ["id", "k"], ["v"], str(tmp_path / "once")).collect())
+    daily = lambda: incremental.latest_values(incremental.windowed_counts(stream(), "at", ["k"], lateness=None), ["start", "k"], str(tmp_path / "daily"))
+    days = lambda: sorted((str(r.start)[:10], r.k, r.n) for r in daily().collect())
+    deliver(1, [(1, "a", "2025-01-20", 5), (1, "a", "2025-01-20", 4), (2, "b", "2025-01-20", 6)])
+    deliver(2, [(1, "a", "2025-01-20", 1), (3, "a", "2025-01-01", 7)])
+    assert once() == [(1, "a", 4), (2, "b", 6), (3, "a", 7)]
+    assert days() == [("2025-01-01", "a", 1), ("2025-01-20", "a", 3), ("2025-01-20", "b", 1)]
+    deliver(3, [(2, "b", "2024-01-01", 9), (4, "c", "2024-01-01", 8), (4, "c", "2025-01-20", 2), (1, "b", None, 3)])
+    assert once() == [(1, "a", 4), (1, "b", 3), (2, "b", 6), (3, "a", 7), (4, "c", 2)]
+    assert days() == [("2024-01-01", "b", 1), ("2024-01-01", "c", 1), ("2025-01-01", "a", 1), ("2025-01-20", "a", 3), ("2025-01-20", "b", 1), ("2025-01-20", "c", 1)]
+
+
 def test_first_deliveries_in_reverse_order_of_time(spark, tmp_path):
     import os
     import shutil
@@ -129,6 +183,7 @@ def test_inference(spark):
     got = {r.id: r for r in inference.ensemble_scores(scores).collect()}
     assert got[1].label == "negative" and got[2].label == "positive" and got[3].label == "negative"
     assert got[1].negative + got[1].neutral + got[1].positive == pytest.approx(1)
+    assert {(r.model, r.error.split(":")[0], r.n) for r in inference.failures(scores).collect()} == {("b", "loading", 3), ("c", "scoring", 3)}
     none = inference.ensemble_scores(inference.score(df, "id", "text", {"b": broken}))
     assert [r.label for r in none.collect()] == [None] * 3
 

@@ -23,10 +23,10 @@ def stratified(df: DataFrame, strata: Mapping[str, Column]) -> DataFrame:
 def sample_per_stratum(df: DataFrame, k: int, id_col: str, seed: int = 42, strata: tuple[str, ...] = ("stratum",)) -> DataFrame:
     """A uniform sample of ``k`` rows of every stratum, the same for the same ids and seed.
 
-    Rows are ordered by a hash of id and seed; Spark keeps the first ``k`` of each
+    Rows are ordered by a hash (MD5) of seed and id; Spark keeps the first ``k`` of each
     task before it shuffles, so a stratum of any size sends few rows.
     """
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string"))), F.col(id_col))
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
 

@@ -15,11 +15,12 @@ Scorer = Callable[[Sequence[str]], np.ndarray]
 
 
 def score(df: DataFrame, id_col: str, text_col: str, make: Mapping[str, Callable[[], Scorer]], labels: Sequence[str] = LABELS, batch: int = 128) -> DataFrame:
-    """``id, model, probs`` for every row and model.
+    """``id, model, probs, error`` for every row and model.
 
     ``make[name]()`` loads a model; it is called once in every task.  A model that
     fails to load or to score gives null for the texts concerned, and so does a
-    scorer whose array has another shape.  Null texts are scored as empty.
+    scorer whose array has another shape; ``error`` then says why, and :func:`failures`
+    counts it.  Null texts are scored as empty.
     """
     kind = dict(df.dtypes)[id_col]
     makers, n_labels = dict(make), len(labels)
@@ -28,27 +29,37 @@ def score(df: DataFrame, id_col: str, text_col: str, make: Mapping[str, Callable
         import pandas as pd
 
         scorers: dict[str, Scorer | None] = {}
+        broken: dict[str, str] = {}
         for name, maker in makers.items():
             try:
                 scorers[name] = maker()
-            except Exception:
-                scorers[name] = None
+            except Exception as e:
+                scorers[name], broken[name] = None, f"loading: {type(e).__name__}: {e}"
         for pdf in frames:
             texts = pdf["text"].fillna("").tolist()
             for name, scorer in scorers.items():
                 out: list = [None] * len(texts)
+                errors: list = [broken.get(name)] * len(texts)
                 for at in range(0, len(texts) if scorer else 0, batch):
                     part = texts[at : at + batch]
                     try:
                         probs = np.asarray(scorer(part), dtype=float)
                         if probs.shape == (len(part), n_labels):
                             out[at : at + batch] = probs.tolist()
-                    except Exception:
-                        pass
-                yield pd.DataFrame({"id": pdf["id"], "model": name, "probs": out})
+                            continue
+                        error = f"scoring: an array of shape {probs.shape}"
+                    except Exception as e:
+                        error = f"scoring: {type(e).__name__}: {e}"
+                    errors[at : at + batch] = [error] * len(part)
+                yield pd.DataFrame({"id": pdf["id"], "model": name, "probs": out, "error": errors})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, model string, probs array<double>")
+    return rows.mapInPandas(run, f"id {kind}, model string, probs array<double>, error string")
+
+
+def failures(scores: DataFrame) -> DataFrame:
+    """``model, error, n``: texts without a result, by model and reason."""
+    return scores.filter("error is not null").groupBy("model", "error").agg(F.count("*").alias("n"))
 
 
 def ensemble_scores(scores: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import let
 from tidemark.operators.impact import LABELS
+from tidemark.operators.reports import most_common
+from tidemark.tables import materialize
 
 
 def ensemble(models: Sequence[Sequence[Column]], labels: Sequence[str] = LABELS) -> Column:
@@ -37,14 +40,21 @@ def topic_table(df: DataFrame, topic: str, name: str, order: str) -> DataFrame:
 
 
 def topic_label_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """``keys, size`` and mean and exact median of every measure.
+    """``keys, size`` and mean and exact median of every measure; nulls of a measure don't count.
 
-    The median is taken over a histogram of values that Spark merges map-side.
+    The median is found in the counts of different values by their running sum, a
+    window that spills, so that no state grows with the values of a group.
     """
-    aggs = [F.count("*").alias("size")]
+    out = df.groupBy(*keys).agg(F.count("*").alias("size"), *(F.avg(F.col(m).cast("double")).alias(f"{m}_mean") for m in measures))
     for m in measures:
-        aggs += [F.avg(F.col(m).cast("double")).alias(f"{m}_mean"), F.percentile(F.col(m).cast("double"), F.lit(0.5)).alias(f"{m}_median")]
-    return df.groupBy(*keys).agg(*aggs)
+        counts = df.select(*keys, F.col(m).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v"))
+        placed = counts.select(*keys, "_v", upto.alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+        middle = [F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + k) / 2), F.col("_v"))) for k in (1, 2)]
+        medians = placed.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias(f"{m}_median"))
+        same = [F.equal_null(out[k], medians[k]) for k in keys]
+        out = out.join(medians, same, "left").select(*(out[c] for c in out.columns), f"{m}_median")
+    return out.select(*keys, "size", *(f"{m}_{x}" for m in measures for x in ("mean", "median")))
 
 
 def normalised_crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -76,18 +86,29 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int = 10, min_docs: int = 1, max_share: float = 1.0) -> DataFrame:
+def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int | None = 10, min_docs: int = 1, max_share: float = 1.0) -> DataFrame:
     """``topic, word, tf, weight, rank``: the words that mark a topic, by class-based tf-idf.
 
     weight = tf * ln(1 + A / f), tf the word's share of the topic's words, f its
     count in all topics, A the mean number of words per topic.  Words in fewer
-    than ``min_docs`` texts or in more than ``max_share`` of them are left out.
+    than ``min_docs`` texts or in more than ``max_share`` of them are left out.  With
+    ``top`` as None all words come, without a rank.
+
+    Each text's words are sorted once, which tells a word's first occurrence; so texts
+    are counted together with words, in one aggregation that combines map-side.  Its
+    result is written once and read by everything that follows.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(topic).alias("topic"), tokens.alias("_t"))
     filtered = min_docs > 1 or max_share < 1
-    # Texts are only counted where a bound asks for it.
-    docs = F.count_distinct("_row") if filtered else F.lit(0)
-    words = rows.select("_row", "topic", F.explode("_t").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"), docs.alias("docs"))
+    rows = df.select(F.col(topic).alias("topic"), tokens.alias("_t"))
+    if filtered:
+        # Texts are only counted where a bound asks for it.
+        def marked(t: Column) -> Column:
+            return F.transform(t, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(t, i - 1) != w)).alias("first")))
+
+        words = df.select(F.col(topic).alias("topic"), F.explode(let(F.array_sort(tokens), marked)).alias("_w")).select("topic", "_w.*").groupBy("topic", "word").agg(F.count("*").alias("n"), F.count_if("first").alias("docs"))
+    else:
+        words = rows.select("topic", F.explode("_t").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"), F.lit(0).alias("docs"))
+    words = materialize(words, "words")
     spread = words.groupBy("word").agg(F.sum("n").alias("f"), F.sum("docs").alias("docs"))
     if filtered:
         total = rows.agg(F.count("*").alias("_all"))
@@ -97,6 +118,8 @@ def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int = 10, min_d
     mean = sizes.agg(F.avg("size").alias("mean"))
     weight = (F.col("n") / F.col("size")) * F.log(1 + F.col("mean") / F.col("f"))
     scored = kept.join(sizes, F.equal_null(kept["topic"], sizes["topic"])).drop(sizes["topic"]).crossJoin(F.broadcast(mean)).select("topic", "word", (F.col("n") / F.col("size")).alias("tf"), weight.alias("weight"))
+    if top is None:
+        return scored
     w = Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "word")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
@@ -104,8 +127,8 @@ def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int = 10, min_d
 def topic_words_over_time(df: DataFrame, topic: str, bin_col: str, tokens: Column, top: int = 5) -> DataFrame:
     """``topic, bin, word, weight, rank``: class tf-idf per topic and bin, averaged with the bin before and with the topic's own."""
     both = F.struct(F.col(topic).alias("t"), F.col(bin_col).alias("b"))
-    local = class_tf_idf(df.withColumn("_cell", both), "_cell", tokens, top=1 << 30).select(F.col("topic.t").alias("topic"), F.col("topic.b").alias("bin"), "word", "weight")
-    overall = class_tf_idf(df, topic, tokens, top=1 << 30).select("topic", "word", F.col("weight").alias("overall"))
+    local = class_tf_idf(df.withColumn("_cell", both), "_cell", tokens, top=None).select(F.col("topic.t").alias("topic"), F.col("topic.b").alias("bin"), "word", "weight")
+    overall = class_tf_idf(df, topic, tokens, top=None).select("topic", "word", F.col("weight").alias("overall"))
     bins = local.select("topic", "bin").distinct().withColumn("next", F.lead("bin").over(Window.partitionBy("topic").orderBy("bin")))
     before = local.join(bins, ["topic", "bin"]).filter("next is not null").select("topic", F.col("next").alias("bin"), "word", F.col("weight").alias("before"))
     merged = local.join(before, ["topic", "bin", "word"], "full").join(overall, ["topic", "word"], "left")
@@ -114,24 +137,85 @@ def topic_words_over_time(df: DataFrame, topic: str, bin_col: str, tokens: Colum
     return merged.select("topic", "bin", "word", smooth.alias("weight"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
 
 
-def cluster_vectors(df: DataFrame, vector: str, id_col: str, k: int = 10, dims: int = 5, min_size: int = 3, seed: int = 42) -> DataFrame:
+def reduced(df: DataFrame, vector: str, id_col: str, dims: int):
+    """``(rows, model)``: unit vectors with their first principal components as ``low``, and the fitted model."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = unit_vectors(df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v is not null"), "v").withColumn("features", array_to_vector("v"))
+    if rows.isEmpty():
+        return rows, None
+    model = PCA(k=dims, inputCol="features", outputCol="low").fit(rows)
+    return model.transform(rows), model
+
+
+def density_clusters(df: DataFrame, vector: str, id_col: str, dims: int = 3, width: float = 0.1, least: int = 5) -> DataFrame:
+    """``id, topic``: clusters of any form and number by density; -1 for what lies where it is thin.
+
+    Unit vectors are reduced to ``dims`` principal components and put on a grid of cells
+    of ``width``.  Cells of at least ``least`` rows are dense; dense cells that touch are
+    one cluster, and clusters are numbered by falling size.  Rows are only counted into
+    their cells; what is joined and walked are dense cells, at most one for every
+    ``least`` rows.
+    """
+    from itertools import product
+
+    from pyspark.ml.functions import vector_to_array
+
+    rows, model = reduced(df, vector, id_col, dims)
+    if model is None:
+        return rows.select("id", F.lit(-1).alias("topic"))
+    cell = F.transform(vector_to_array("low"), lambda x: F.floor(x / width))
+    placed = rows.select("id", cell.alias("cell"))
+    dense = materialize(placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= least).withColumn("label", F.monotonically_increasing_id()), "cells")
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=dims) if any(s)))
+    beside = dense.select("label", "cell", F.explode(steps).alias("step")).select("label", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
+    edges = materialize(beside.join(dense.select("cell", F.col("label").alias("other")), "cell").select("label", "other"), "touching")
+    roots = connected(dense.select("label"), edges)
+    sizes = dense.join(roots, "label").groupBy("root").agg(F.sum("n").alias("size"))
+    ranked = most_common(sizes, "size", ["root"])
+    number = ranked.withColumn("topic", F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1)
+    of_cell = dense.join(roots, "label").join(number.select("root", "topic"), "root").select("cell", "topic")
+    return placed.join(of_cell, "cell", "left").select("id", F.coalesce("topic", F.lit(-1)).cast("int").alias("topic"))
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``label, root``: the smallest label of every node's component; ``edges`` has each in both directions.
+
+    Every node takes the smallest root among its neighbours and then its root's root,
+    so the paths halve; each round is written, until none changes anything.
+    """
+    state = materialize(nodes.select("label", F.col("label").alias("root")), "roots")
+    while True:
+        around = edges.join(state.select(F.col("label").alias("other"), "root"), "other").groupBy("label").agg(F.min("root").alias("_near"))
+        taken = state.join(around, "label", "left").select("label", F.col("root").alias("_was"), F.least("root", F.coalesce("_near", "root")).alias("root"))
+        above = taken.select(F.col("label").alias("_up"), F.col("root").alias("_top"))
+        state = materialize(taken.join(above, F.col("root") == F.col("_up")).select("label", "_was", F.least("root", "_top").alias("root")), "roots")
+        if state.filter("root <> _was").isEmpty():
+            return state.select("label", "root")
+
+
+def cluster_vectors(df: DataFrame, vector: str, id_col: str, k: int = 10, dims: int = 5, min_size: int = 3, seed: int = 42, save_to: str | None = None) -> DataFrame:
     """``id, topic``: clusters of vectors, numbered by size; -1 for those far from every centre or in a small cluster.
 
-    Stands in for manifold reduction and density clustering, which have no Spark
-    counterpart: unit vectors, principal components, k-means, all fitted on all
-    rows.  A row is an outlier if it is farther from its centre than 3 times the mean.
+    Unit vectors, principal components, k-means, all fitted on all rows; with
+    ``save_to`` the fitted models are stored there.  A row is an outlier if it is
+    farther from its centre than 3 times the mean.  :func:`density_clusters` needs no
+    number of clusters.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    rows = unit_vectors(df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v is not null"), "v").withColumn("features", array_to_vector("v"))
-    if rows.isEmpty():
+    rows, pca = reduced(df, vector, id_col, dims)
+    if pca is None:
         return rows.select("id", F.lit(-1).alias("topic"))
-    pca = PCA(k=dims, inputCol="features", outputCol="low").fit(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(pca.transform(rows))
+    model = KMeans(k=k, seed=seed, featuresCol="low", predictionCol="cluster").fit(rows)
+    if save_to:
+        from pyspark.ml import PipelineModel
+
+        PipelineModel([pca, model]).write().overwrite().save(save_to)
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-    placed = model.transform(pca.transform(rows)).select("id", "cluster", vector_to_array("low").alias("low"))
+    placed = model.transform(rows).select("id", "cluster", vector_to_array("low").alias("low"))
     gap = F.aggregate(F.zip_with("low", F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     placed = placed.select("id", "cluster", F.sqrt(gap).alias("distance"))
     mean = placed.agg(F.avg("distance").alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import windows as W
-from tidemark.operators import audit, authors, corpus, impact, inference, rules, scan, series, topics
+from tidemark.operators import audit, authors, corpus, impact, inference, scan, series, topics
 from tidemark.sources import ingest
 from tidemark.streaming import incremental
-from tidemark.tables import materialize, spread, table
+from tidemark.tables import spread, table
 
 CUTOFF, START = date(2025, 8, 15), date(2025, 1, 1)
 # Groups of flags that stand for the objects of the impact analysis.
@@ -44,6 +45,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "docs_topics").withColumn("day", F.to_date("date_day"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled texts, over all cores: what follows is heavy for each row."""
+    docs = spread(table(spark, sf_dir, "docs_topics")).withColumn("day", F.to_date("date_day"))
+    return docs.join(table(spark, sf_dir, "candidates").select("src_id", "text"), "src_id")
+
+
 def _r(c: str, digits: int = 6):
     return F.round(c, digits).alias(c)
 
@@ -103,7 +110,8 @@ def txt_local_days(spark, sf_dir):
     return table(spark, sf_dir, "posts_raw").select("id", X.local_day(F.col("post_date")).alias("local_day"))
 
 
-@query()
+@query("""with p as (select id, trim(coalesce(json_extract_string(payload_json, '$.channel_username'), ''), ' ') as u, trim(coalesce(json_extract_string(payload_json, '$.channel_title'), ''), ' ') as t, coalesce(json_extract_string(payload_json, '$.channel_id'), '') as c from posts_raw)
+select id, case when u <> '' then case when starts_with(u, '@') then u else '@' || u end when t <> '' then t else 'id_' || c end as author from p""")
 def txt_authors(spark, sf_dir):
     p = F.col("payload_json")
     name = X.author_name(F.get_json_object(p, "$.channel_username"), F.get_json_object(p, "$.channel_title"), F.get_json_object(p, "$.channel_id"))
@@ -212,7 +220,26 @@ def agg_term_totals(spark, sf_dir):
     return scan.term_totals(scan.flag_texts(_candidates(spark, sf_dir)))
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A flag's pattern, alternative by alternative, without the shorthands that are ASCII there."""
+    out = []
+    for part in scan._alternatives(pattern):
+        part = part.replace(r"\w", r"[\p{L}\p{N}_]").replace(r"\s", r"[\t-\r\x{85}\p{Z}]")
+        part = re.sub(r"^\\b", lambda m: _EDGE, part)
+        out.append(re.sub(r"\\b$", lambda m: r"(?:$|[^\p{L}\p{N}_])", part))
+    return "|".join(out)
+
+
+def _flagged(names) -> str:
+    return ", ".join(f"regexp_matches(t, '{_re2(p)}') as {n}" for n, p in names.items())
+
+
+def _named(names) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"case when {n} then '{n}' end" for n in names) + "], lambda x: x is not null), ',')"
+
+
+@query(f"""with t as (select id, replace(lower(json_extract_string(payload_json, '$.text')), 'ё', 'е') as t from posts_raw), f as (select id, {_flagged({**scan.ACTORS, **scan.LEADERS, **scan.CONTEXT})} from t where t is not null)
+select id, {_named(scan.ACTORS)} as matched_actors, {_named(scan.LEADERS)} as matched_leaders from f where {' or '.join([*scan.ACTORS, *scan.LEADERS])} or (({' or '.join(scan.PLATFORMS)}) and ({' or '.join(scan.RESTRICTIONS)}))""")
 def scan_relevant(spark, sf_dir):
     posts = spread(table(spark, sf_dir, "posts_raw")).select("id", "post_date", F.get_json_object("payload_json", "$.text").alias("text"))
     return scan.flag_texts(scan.relevant_texts(posts)).select("id", "matched_actors", "matched_leaders")
@@ -395,7 +422,12 @@ def agg_alias_recall(spark, sf_dir):
     return audit.alias_recall(_candidates(spark, sf_dir), aliases, F.col("roskomnadzor") == 1, audit.period_of(F.col("post_date"), "2025-01-01", "2025-08-15"))
 
 
-@query()
+_STRATA = {"actor": scan.ACTORS, "leader": scan.LEADERS, "platform": [scan.CROSS]}
+
+
+@query("with s as (" + " union all ".join(f"select '{k}' as stratum, src_id, post_date from candidates where greatest({', '.join(v)}) = 1" for k, v in _STRATA.items()) + """),
+p as (select stratum, src_id, case when left(post_date, 10) < '2025-01-01' then null when left(post_date, 10) < '2025-08-15' then 'before' when left(post_date, 10) >= '2025-08-15' then 'after' end as period from s)
+select * from p qualify row_number() over (partition by stratum, period order by md5('42-' || src_id), src_id) <= 60""")
 def agg_strata_sample(spark, sf_dir):
     rows = _candidates(spark, sf_dir).select("src_id", "post_date", *scan.FLAGS)
     rows = audit.stratified(rows.withColumn("period", audit.period_of(F.col("post_date"), "2025-01-01", "2025-08-15")), {"actor": F.greatest(*(F.col(x) for x in scan.ACTORS)) == 1, "leader": F.greatest(*(F.col(x) for x in scan.LEADERS)) == 1, "platform": F.col(scan.CROSS) == 1})
@@ -484,6 +516,12 @@ def emb_unit(spark, sf_dir):
     return rows.select("vec_id", F.round(F.get("embedding", F.lit(0)), 5).alias("first"), F.round(F.element_at("embedding", -1), 5).alias("last"))
 
 
+@query()
+def emb_density(spark, sf_dir):
+    """Clusters of the embeddings by density, without a given number."""
+    return topics.density_clusters(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
 @query()
 def emb_topics(spark, sf_dir):
     return topics.cluster_vectors(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
@@ -494,7 +532,7 @@ f as (select word, sum(n) as f from n group by word), z as (select topic_id, sum
 r as (select n.topic_id as topic, n.word, n.n / z.s as tf, n.n / z.s * ln(1 + m.m / f.f) as weight from n join f using (word) join z on z.topic_id = n.topic_id, m)
 select topic, word, round(tf, 6) as tf, round(weight, 6) as weight, row_number() over (partition by topic order by round(weight, 9) desc, word) as rank from r qualify rank <= 10""")
 def topic_words(spark, sf_dir):
-    rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
+    rows = _texts(spark, sf_dir)
     out = topics.class_tf_idf(rows, "topic_id", X.tokens(F.col("text")))
     return out.select("topic", "word", _r("tf"), _r("weight"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -503,13 +541,19 @@ def topic_words(spark, sf_dir):
 MAX_STOPS = 10_000
 
 
-@query()
+@query(f"""with t as (select row_number() over () as r, topic_id, list_filter({_TOKENS}, lambda x: not list_contains(stops, x)) as w from docs_topics join candidates using (src_id), (select list(distinct word) as stops from stop_words where word is not null)),
+g as (select r, topic_id, list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) as w from t),
+x as (select r, topic_id, unnest(w) as word from g), n as (select topic_id, word, count(*) as n, count(distinct r) as d from x group by all),
+f as (select word, sum(n) as f from n group by word having sum(d) >= 10 and sum(d) <= 0.9 * (select count(*) from t)), k as (select n.topic_id, n.word, n.n, f.f from n join f using (word)),
+z as (select topic_id, sum(n) as s from k group by topic_id), m as (select avg(s) as m from z),
+s as (select k.topic_id as topic, k.word, k.n / z.s as tf, k.n / z.s * ln(1 + m.m / k.f) as weight from k join z on z.topic_id is not distinct from k.topic_id, m)
+select topic, word, round(tf, 6) as tf, round(weight, 6) as weight, row_number() over (partition by topic order by round(weight, 9) desc, word) as rank from s qualify rank <= 10""")
 def topic_bigrams(spark, sf_dir):
     """Words and pairs of words that mark a topic, without stop words, rare and ubiquitous ones."""
     stops = table(spark, sf_dir, "stop_words").filter("word is not null").select("word").distinct()
     few = [r["word"] for r in stops.limit(MAX_STOPS + 1).collect()]
     if len(few) <= MAX_STOPS:
-        rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
+        rows = _texts(spark, sf_dir)
         kept = F.filter(X.tokens(F.col("text")), lambda t: ~t.isin(few))
     else:
         texts = _candidates(spark, sf_dir).select("src_id", X.tokens(F.col("text")).alias("tokens"))
@@ -517,7 +561,8 @@ def topic_bigrams(spark, sf_dir):
         texts = words.groupBy("src_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("tokens"))
         kept = F.coalesce(F.col("tokens.word"), F.array().cast("array<string>"))
         rows = _docs(spark, sf_dir).join(_candidates(spark, sf_dir).select("src_id"), "src_id").join(texts, "src_id", "left")
-    return topics.class_tf_idf(rows, "topic_id", X.ngrams(kept), min_docs=10, max_share=0.9)
+    out = topics.class_tf_idf(rows, "topic_id", X.ngrams(kept), min_docs=10, max_share=0.9)
+    return out.select("topic", "word", _r("tf"), _r("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # Stems of a demonstration scorer.
@@ -532,7 +577,7 @@ def ml_stem_scores(spark, sf_dir):
 
 @query()
 def topic_words_over_time(spark, sf_dir):
-    rows = _docs(spark, sf_dir).filter("day is not null").join(_candidates(spark, sf_dir).select("src_id", "text"), "src_id")
+    rows = _texts(spark, sf_dir).filter("day is not null")
     return topics.topic_words_over_time(rows.withColumn("bin", F.trunc("day", "month")), "topic_id", "bin", X.tokens(F.col("text")))
 
 
@@ -604,22 +649,17 @@ def src_channel_fields(spark, sf_dir):
     return table(spark, sf_dir, "channels_enriched").select("id", *ingest.channel_columns(F.col("payload_json")))
 
 
-@query("select cast(ts as date) as day, event_type, count(*) as n from events group by all")
+@query("select cast(ts as date) as day, event_type, count(*) as n from events where ts is not null group by all")
 def stream_daily_events(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    batch = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    daily = batch.select(F.to_date("ts").alias("day"), "event_type").groupBy("day", "event_type").agg(F.count("*").alias("n"))
-    import uuid
-
-    name = f"daily_{uuid.uuid4().hex}"
-    query = daily.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet")
+    counts = incremental.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], lateness=None)
+    daily = incremental.latest_values(counts, ["start", "event_type"], incremental.new_table(spark, "daily"))
+    return daily.select(F.to_date("start").alias("day"), "event_type", "n")
 
 
 @query("select distinct event_id from events")
 def stream_first_deliveries(spark, sf_dir):
-    path = f"{sf_dir}/events*.parquet"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return incremental.streamed(spark, path, schema, lambda s: incremental.first_deliveries(s.select("event_id"), ["event_id"], "ts", None))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet")
+    return incremental.delivered_once(events, ["event_id"], ["ts"], incremental.new_table(spark, "once")).select("event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import delivery, nested, treeagg
-from tidemark.plans import analysis, corpora
+from tidemark.plans import analysis, corpora, reports
 from tidemark.tables import spread, table
 
 FLAGSHIP = "agg_object_scenario"
@@ -78,7 +78,7 @@ def p7_kept(spark, sf_dir):
     return delivery.exactly_once(_posts(spark, sf_dir), KEY, "id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p2_entities, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)} | analysis.QUERIES | corpora.QUERIES
+QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_reactions, p2_entities, p4_found, p4_channels, p4_profiles, p7_found, p7_kept)} | analysis.QUERIES | corpora.QUERIES | reports.QUERIES
 
 
 
@@ -103,7 +103,7 @@ _POSTS = _walk("posts_raw", POST_ARRAYS)
 _RECENT = r"(select id, parent, count(*) as n from walk_posts_raw where {c} and regexp_matches(path, '^\$\.reactions\[\d+\]\.recent\[\d+\]$') group by all)".format(c=_CASES)
 
 _CHANNEL = "regexp_replace(lower(channel_username), '^@+', '')"
-SQL = analysis.SQL | {
+SQL = analysis.SQL | reports.SQL | {
     "p2_found": f"with recursive {_POSTS}, {_walk('channels_enriched', CHANNEL_ARRAYS)} select 'posts_raw' as source_table, id as record_id, parent as parent_path, path from walk_posts_raw where {_CASES} union all select 'channels_enriched', id, parent, path from walk_channels_enriched where {_CASES}",
     "p2_reactions": f"with recursive {_POSTS} select w.id as record_id, w.path, v->>'$.emoji' as emoji, try_cast(v->>'$.count' as bigint) as count, coalesce(n, 0) as n_recent from walk_posts_raw w left join {_RECENT} r on r.id = w.id and r.parent = w.path where {_CASES} and regexp_matches(w.path, '^\\$\\.reactions\\[\\d+\\]$')",
     "p2_entities": f"with recursive {_POSTS} select id as record_id, parent as parent_path, path, v->>'$.type' as type, try_cast(v->>'$.offset' as bigint) as offset, try_cast(v->>'$.length' as bigint) as length, v->>'$.url' as url from walk_posts_raw where {_CASES} and regexp_matches(path, '^\\$\\.entities\\[\\d+\\]$')",

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.tables import require_columns
 
 
-
 def json_objects(text: Column) -> Column:
     """The text itself if it is a JSON object, else null."""
     parsed = F.try_parse_json(text)
@@ -24,22 +22,29 @@ def field(payload: Column, name: str, kind: str) -> Column:
     return F.get_json_object(payload, f"$.{name}").try_cast(kind)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file, line_number, line``: every line of text files of any size, numbered from 1 in its file.
+
+    A number depends on its file alone, so that files that come later change none.  A
+    file is read in splits, by as many tasks; a first pass counts the lines of each,
+    and their running sum, a table of one row per split, gives the numbers.
+    """
+    here = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select(*here, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = lines.groupBy("source_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = lines.join(splits, ["source_file", "_block"])
+    return numbered.select("source_file", (F.col("_at") + F.col("_shift") + 1).cast("bigint").alias("line_number"), "line")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Posts of line-delimited JSON files, with the 1-based number of each line in its file.
 
     Every line counts, blank and broken ones too; those are left out of the
-    result.  Numbers come from the file's text, so a file is read by one task; for
-    files too large for that use :func:`read_json_rows`.
+    result.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    lines = files.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    return posts_of(lines.select("source_file", (F.col("n") + 1).cast("bigint").alias("line_number"), "line"))
-
-
-def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The same for files of any size: splittable, ``line_number`` only increases and is unique in its file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("line_number"), F.col("value").alias("line"))
-    return posts_of(lines)
+    return posts_of(numbered_lines(spark, path))
 
 
 def posts_of(lines: DataFrame) -> DataFrame:
@@ -105,6 +110,28 @@ def model_input(df: DataFrame, lists: Sequence[str] = (), drop: Sequence[str] =
     return df.drop(*drop)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """Rows of CSV files with a header; rows that don't fit the schema, or lack one of ``required``, are dropped."""
+    rows = spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").option("multiLine", "false").csv(path)
+    return rows.dropna(subset=list(required)) if required else rows
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """``item``: the different lines of text files, stripped, blank ones left out."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("item")).filter("item <> ''").distinct()
+
+
+def within_days(df: DataFrame, day: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows whose day, the first ten characters of ``day``, lies in the window; rows without a readable day don't."""
+    d = F.substring(F.col(day).cast("string"), 1, 10).try_cast("date")
+    test = d.isNotNull()
+    if first is not None:
+        test = test & (d >= F.lit(first).cast("date"))
+    if last is not None:
+        test = test & (d <= F.lit(last).cast("date"))
+    return df.filter(test)
+
+
 def read_documents(df: DataFrame, text: str = "text", day: str = "date") -> DataFrame:
     """Texts collapsed, times as UTC; rows without text (empty, ``nan``) or readable time dropped."""
     from tidemark.functions.text import collapse
@@ -123,9 +150,14 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_summary(values: dict, path: str) -> None:
-    """Counters of a run as a JSON file."""
-    Path(path).write_text(json.dumps(values, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+def write_summary(spark: SparkSession, values: dict, path: str) -> None:
+    """Counters of a run as one JSON file, in any file system Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(values, ensure_ascii=False, indent=2, default=str), "utf-8"))
+    finally:
+        out.close()
 
 
 def stage(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +51,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write for themselves inside the block are removed at its end, when their results have been used."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table into the shared folder and read again.
 
     Cuts the lineage so that a lost executor costs a re-read, and lets several
-    consumers use the result of one expensive pass.  The table is removed when
-    the driver ends.
+    consumers use the result of one expensive pass.  The table is removed at the end
+    of the surrounding :func:`scratch`, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
