@@ -101,14 +101,6 @@ class Encoder(dict):
             self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if text:
-            extend = out.extend
-            for word in self.find(text):
-                extend(self[word])
-        return out
-
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lookalike import Alike, load
 from tidemark.operators.treeagg import channel_name
-from tidemark.tables import materialize
+from tidemark.tables import materialize, small
 
 _SPACES = re.compile(r"\s+")
 #: -ln p is cut into steps of 1/8, the last one open: the false-discovery cut is exact on p rounded up to a step.
 STEPS, LAST_STEP = 8, 8192
+#: Keys of a source in the join with its size.
+SALTS = 16
 
 
 def line_form(line: str, alike: Alike) -> str:
@@ -96,13 +98,17 @@ def line_statistics(occurrences: DataFrame, records: DataFrame, fdr: float = 0.0
     ``records`` has one row ``source`` per record.  Counts are of records, over
     all of them; records without a source count as outside.  All aggregations
     combine map-side, so a source or a line that holds a third of all rows
-    sends one partial row per task.
+    sends one partial row per task.  The sizes of sources, where they are too many to
+    be broadcast, are joined under ``SALTS`` keys each, so that the lines of a large
+    source are spread.
     """
     counts = occurrences.filter("first").groupBy("source", "line_key").agg(F.count("*").alias("k_in"))
     everywhere = counts.groupBy("line_key").agg(F.sum("k_in").alias("k_all"))
     sizes = records.groupBy("source").agg(F.count("*").alias("n_in"))
     total = records.agg(F.count("*").alias("n_all"))
-    tested = counts.filter("source is not null").join(everywhere, "line_key").join(sizes, "source").crossJoin(F.broadcast(total))
+    salt = F.pmod(F.xxhash64("line_key"), F.lit(SALTS))
+    salted = sizes.filter("source is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tested = counts.filter("source is not null").withColumn("salt", salt).join(everywhere, "line_key").join(small(salted, SALTS * 10_000), ["source", "salt"]).crossJoin(F.broadcast(total))
     d = {c: F.col(c).cast("double") for c in ("k_in", "n_in", "k_all", "n_all")}
     tested = tested.select("source", "line_key", "k_in", "n_in", (F.col("k_all") - F.col("k_in")).alias("k_out"), (F.col("n_all") - F.col("n_in")).alias("n_out"), log_likelihood_ratio(d["k_in"], d["n_in"], d["k_all"] - d["k_in"], d["n_all"] - d["n_in"]).alias("g2"))
     tested = tested.withColumn("step", F.least(F.floor(minus_log_p(F.col("g2")) * STEPS), F.lit(LAST_STEP)).cast("int"))
