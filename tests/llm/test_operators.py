@@ -132,6 +132,17 @@ def test_similar_pairs(df, rows, size, least):
 def test_similar_groups(df, rows):
     got = neardup.groups(df).collect()
     assert len(got) == sum(t is not None for _, _, t in rows)
+    near = {}
+    for a, b in brute.similar([(i, t) for i, _, t in rows], 5, 0.8):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    group = {r.id: r.group for r in got}
+    for i, _, t in rows:
+        if t is not None:
+            reached, ahead = {i}, [i]
+            while ahead:
+                ahead = [x for y in ahead for x in near.get(y, ()) if x not in reached and not reached.add(x)]
+            assert {k for k, g in group.items() if g == group[i]} == reached
     two = [r for r in got if r.id in (123, 124, 125)]
     assert len({r["class"] for r in two}) == 1 and all(r.n_copies == 3 for r in two)
 

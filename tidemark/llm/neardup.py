@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrowmap import bounded, emit, sorted_groups
 from tidemark.llm.lookalike import Alike, load
 from tidemark.llm.textarrays import TextBatch, mix, successive
+from tidemark.operators.components import connected
 from tidemark.tables import materialize, small
 
 #: MinHash values of a class; a tree's label is made of DEPTH values and DEEPER further ones, so many bits of each.
@@ -371,8 +372,16 @@ def similar_pairs(df: DataFrame, id_col: str = "src_id", text_col: str = "text",
 
 
 def groups(df: DataFrame, id_col: str = "src_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row ``id, class, n_copies, n_links`` per row with a text: its class of copies and that class's links."""
+    """One row ``id, class, group, n_copies, n_links`` per row with a text.
+
+    ``class`` is its class of copies, ``n_links`` the classes that one is similar to, and
+    ``group`` the smallest class of all that are reached from it by such links.
+    """
     membership, links = similar_classes(df, id_col, text_col, words, similarity)
-    ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
+    both = links.select(F.col("a").alias("label"), F.col("b").alias("other"))
+    both = materialize(both.union(both.select("other", "label")), "links")
+    ends = both.groupBy("label").agg(F.count("*").alias("n_links"))
+    linked = ends.join(connected(ends.select("label"), both), "label").select(F.col("label").alias("class"), "root", "n_links")
     copies = membership.groupBy("class").agg(F.count("*").alias("n_copies"))
-    return membership.join(copies, "class").join(ends, "class", "left").select("id", "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = membership.join(copies, "class").join(linked, "class", "left")
+    return rows.select("id", "class", F.coalesce("root", "class").alias("group"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
