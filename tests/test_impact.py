@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import authors, impact, reports, series, topics
+from tidemark.operators import authors, components, impact, reports, series, topics
 from tidemark.operators.verify import Check, snapshot, verify
 
 
@@ -162,6 +162,8 @@ def test_checks():
     checks = [Check("a", "exact", lambda: 3), Check("b", "approx", lambda: 1.005, 0.01), Check("c", "approx_rel", lambda: 40, 0.3, "warn"), Check("d", "exists", lambda: []), Check("e", "exact", broken), Check("f", "exact", lambda: 1)]
     assert verify(checks, {"a": 3, "b": 1.0, "c": 31, "e": 1}) == {"a": "PASS", "b": "PASS", "c": "PASS", "d": "FAIL", "e": "FAIL", "f": "MISSING"}
     assert verify(checks[2:3], {"c": 20}) == {"c": "WARN"}
+    files = [Check("f", "filelist", lambda: ["a", "b"]), Check("g", "filelist", lambda: ["a"], level="warn")]
+    assert verify(files, {"f": ["b"], "g": ["a", "c"]}) == {"f": "PASS", "g": "WARN"}
     assert snapshot(checks[:2]) == {"a": 3, "b": 1.005}
 
 
@@ -205,7 +207,7 @@ def test_density_clusters(spark):
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(400, 401)]
     both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "label long, other long")
-    got = {r.label: r.root for r in topics.connected(both.select("label").distinct(), both).collect()}
+    got = {r.label: r.root for r in components.connected(both.select("label").distinct(), both).collect()}
     assert got == {i: 0 for i in range(301)} | {400: 400, 401: 400}
 
 

@@ -206,3 +206,41 @@ def test_small_and_spread(spark):
     wide = spark.range(10).repartition(50)
     assert spread(wide) is wide
     assert small(df, 10).count() == 10 and small(df, 3) is df
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([(1, "аб"), (2, None), (3, "б")], "id long, text string")
+    make = lambda: lambda texts: np.array([[t.count("а"), t.count("б")] for t in texts], float)
+    got = {r.id: [round(x, 4) for x in r.embedding] for r in inference.embed(df, "id", "text", make, 2, batch=2).collect()}
+    assert got == {1: [0.7071, 0.7071], 2: [0.0, 0.0], 3: [0.0, 1.0]}
+    with pytest.raises(Exception, match="vectors of shape"):
+        inference.embed(df, "id", "text", make, 3).collect()
+    scores = inference.score(df, "id", "text", {"s": inference.stem_scorer({"negative": ["аб"]})}, shards=2)
+    assert scores.count() == 3 and inference.failures(scores).count() == 0
+
+
+def test_tables_are_declared(spark, tmp_path):
+    from tidemark.sources import schemas
+
+    spark.sql(f"create database if not exists declared location '{tmp_path}/declared'")
+    try:
+        schemas.create_tables(spark, "declared")
+        schemas.create_tables(spark, "declared")
+        assert spark.table("declared.posts_raw").schema.fieldNames() == schemas.POSTS_RAW.fieldNames()
+        rows = spark.createDataFrame([(1, "f", 1, 2, "u", 3, "2025-01-01", "{}")], schemas.POSTS_RAW)
+        rows.write.insertInto("declared.posts_raw")
+        assert spark.table("declared.posts_raw").count() == 1
+    finally:
+        spark.sql("drop database declared cascade")
+
+
+def test_command_line(spark, tmp_path):
+    from tidemark import __main__ as command
+
+    source = tmp_path / "in"
+    (source / "docs_topics.parquet").parent.mkdir()
+    spark.createDataFrame([(1, "1_a"), (2, None)], "row_id long, topic_name string").withColumn("date_day", F.lit("2025-01-01")).write.parquet(str(source / "docs_topics.parquet"))
+    command.main(["txt_topic_labels", "--tables", str(source), "--out", str(tmp_path / "out"), "--format", "json"])
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    with pytest.raises(SystemExit):
+        command.main(["no_such_query"])

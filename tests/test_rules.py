@@ -208,6 +208,19 @@ def test_office_and_what_disqualifies_it(spark):
     assert [r.id for r in rules.without_mixed(spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, mixed boolean")).collect()] == [2, 3]
 
 
+def test_persons_from_what_the_caller_knows():
+    simple = corpus.person("ivolgin", "A", stem="иволгин")
+    assert verdict(simple, "иволгину") == ("match", None) and verdict(simple, "иволга") == (None, None)
+    form = corpus.person("sokol", "A", forms=("сокол",), ambiguous=("сокола", "соколу"), context=("депутат", "закон"))
+    assert verdict(form, "сокол") == ("match", None) and verdict(form, "видели сокола") == ("excluded", "sokol_ambiguous") and verdict(form, "депутату соколу") == ("match", None)
+    other = corpus.person("gusev", "B", stem="гусев", relatives=("анн",), others={"gusev_tennis": (2, ("теннис",))}, followed_by=("улиц",), not_words=(6, ("мяч",)), own_sources=("gusev_note",))
+    assert verdict(other, "анна гусева") == ("excluded", "gusev_other_person") and verdict(other, "теннисист гусев") == ("excluded", "gusev_tennis")
+    assert verdict(other, "гусева улица") == ("excluded", "gusev_other_thing") and verdict(other, "гусев взял в руки мяч") == ("excluded", "gusev_other_words") and verdict(other, "гусев взял мячи") == ("match", None)
+    assert verdict(other, "гусев", source="gusev_note") == ("excluded", "self_channel")
+    needs = corpus.person("zimin", "B", stem="зимин", given_names=("олег",), context=("комитет",))
+    assert verdict(needs, "зимин") == ("excluded", "zimin_no_context") and verdict(needs, "олег зимин") == ("match", None) and verdict(needs, "зимин пришёл в комитет") == ("match", None)
+
+
 def test_anchor_of_a_pair(spark):
     rule = next(r for r in corpus.registry(places.countries(spark)) if r.name == "adm_prezidenta")
     assert verdict(rule, "администрация нового президента сша") == ("excluded", "ap_foreign:США")

@@ -156,6 +156,38 @@ def triggers(leaders: tuple[str, ...] = ()) -> tuple[Rule, ...]:
     )
 
 
+def person(
+    name: str, group: str, stem: str | None = None, forms: tuple[str, ...] = (), ambiguous: tuple[str, ...] = (), context: tuple[str, ...] = (), relatives: tuple[str, ...] = (), others: dict[str, tuple[int, tuple[str, ...]]] | None = None,
+    followed_by: tuple[str, ...] = (), given_names: tuple[str, ...] = (), not_words: tuple[int, tuple[str, ...]] | None = None, own_sources: tuple[str, ...] = (),
+) -> Rule:
+    """The rule for a person, from what the caller knows of the surname.
+
+    The name is a ``stem``, or its ``forms`` where the stem is too common.  ``ambiguous``
+    forms, which are words of their own, need ``context`` within ten tokens; with a stem
+    or forms alone, ``context`` is needed if it is given, unless one of ``given_names`` is
+    within three.  A mention is of somebody else with one of ``relatives`` within two
+    tokens, with what ``others`` lists under a guard's name, with a next token that begins
+    with one of ``followed_by``, or with whole ``not_words`` in their radius.  The term is
+    not looked for in ``own_sources``.
+    """
+    steps: list = []
+    if relatives:
+        steps.append(Guard(f"{name}_other_person", (Near(2, relatives),)))
+    if followed_by:
+        steps.append(Guard(f"{name}_other_thing", (Near(prefixes=followed_by, before=-1, after=1),)))
+    steps += [Guard(guard, (Near(radius, stems),)) for guard, (radius, stems) in (others or {}).items()]
+    if not_words:
+        steps.append(Guard(f"{name}_other_words", (Near(not_words[0], (), not_words[1]),)))
+    if given_names:
+        steps.append(Accept((Near(3, given_names),)))
+    near = (Accept((Near(10, context),)),) if context else ()
+    own = (*steps, *near) if context and not ambiguous else tuple(steps)
+    parts = [Part((stem,) if stem else (), forms, steps=own, otherwise=f"{name}_no_context" if context and not ambiguous else None)] if stem or forms else []
+    if ambiguous:
+        parts.append(Part((), ambiguous, steps=(*steps, *near), otherwise=f"{name}_ambiguous"))
+    return Rule(name, group, parts=tuple(parts), sources=own_sources)
+
+
 # Cheap test and checks of other words for the office.
 ALIAS_PRESCREEN = r"(?U)ввп|цар[ьяюее]|главковерх|нацлидер|национальн\w*\s+лидер|перво[ег]\w*\s+лиц|хозяин\w*\s+кремл"
 TSAR = ("царь", "царя", "царю", "царем", "царе")

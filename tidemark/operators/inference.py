@@ -14,13 +14,15 @@ from tidemark.operators.impact import LABELS
 Scorer = Callable[[Sequence[str]], np.ndarray]
 
 
-def score(df: DataFrame, id_col: str, text_col: str, make: Mapping[str, Callable[[], Scorer]], labels: Sequence[str] = LABELS, batch: int = 128) -> DataFrame:
+def score(df: DataFrame, id_col: str, text_col: str, make: Mapping[str, Callable[[], Scorer]], labels: Sequence[str] = LABELS, batch: int = 128, shards: int | None = None, profile=None) -> DataFrame:
     """``id, model, probs, error`` for every row and model.
 
     ``make[name]()`` loads a model; it is called once in every task.  A model that
     fails to load or to score gives null for the texts concerned, and so does a
     scorer whose array has another shape; ``error`` then says why, and :func:`failures`
-    counts it.  Null texts are scored as empty.
+    counts it.  Null texts are scored as empty.  With ``shards`` rows go to so many
+    tasks, each with a range of ids; ``profile`` is a resource profile for the tasks
+    (:func:`gpu_profile`).
     """
     kind = dict(df.dtypes)[id_col]
     makers, n_labels = dict(make), len(labels)
@@ -54,7 +56,40 @@ def score(df: DataFrame, id_col: str, text_col: str, make: Mapping[str, Callable
                 yield pd.DataFrame({"id": pdf["id"], "model": name, "probs": out, "error": errors})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, model string, probs array<double>, error string")
+    rows = rows if shards is None else rows.repartitionByRange(shards, "id")
+    return rows.mapInPandas(run, f"id {kind}, model string, probs array<double>, error string", profile=profile)
+
+
+def gpu_profile(gpus: float = 1, cores: int = 1):
+    """What a task of a model needs of a cluster that has GPUs."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores).resource("gpu", gpus)).build
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[Sequence[str]], np.ndarray]], width: int, batch: int = 128, profile=None) -> DataFrame:
+    """``id, embedding``: one vector of length 1 for every row, of ``width`` numbers; zero vectors stay as they are.
+
+    ``make()`` loads the model, once in every task.  A vector of another width fails the
+    task: a corpus with holes in its vectors is worse than none.  Null texts count as empty.
+    """
+    kind = dict(df.dtypes)[id_col]
+
+    def run(frames):
+        import pandas as pd
+
+        model = make()
+        for pdf in frames:
+            texts = pdf["text"].fillna("").tolist()
+            parts = [np.asarray(model(texts[at : at + batch]), dtype=np.float32) for at in range(0, len(texts), batch)]
+            vectors = np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
+            if vectors.shape != (len(texts), width):
+                raise ValueError(f"vectors of shape {vectors.shape} for {len(texts)} texts of width {width}")
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            yield pd.DataFrame({"id": pdf["id"], "embedding": list(vectors / np.where(length > 0, length, 1))})
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, f"id {kind}, embedding array<float>", profile=profile)
 
 
 def failures(scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Check:
-    """``kind``: exact, approx (absolute), approx_rel (relative to the expected) or exists; ``level``: fail or warn."""
+    """``kind``: exact, approx (absolute), approx_rel (relative to the expected), exists, or filelist (all expected names are found); ``level``: fail or warn."""
 
     name: str
     kind: str
@@ -19,6 +19,8 @@ class Check:
     def agrees(self, expected: object, found: object) -> bool:
         if self.kind == "exists":
             return bool(found)
+        if self.kind == "filelist":
+            return set(expected or ()) <= set(found or ())
         if self.kind == "exact":
             return found == expected
         if not isinstance(expected, (int, float)) or not isinstance(found, (int, float)):

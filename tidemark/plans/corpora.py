@@ -75,25 +75,26 @@ def flt_countries_near(spark, sf_dir):
     return posts.select("id", F.explode(near).alias("country")).groupBy("country").agg(F.count("*").alias("posts_n"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokens(spark: SparkSession, sf_dir: str, screen: str | None = None) -> DataFrame:
     posts = spread(table(spark, sf_dir, "posts_raw")).select("id", "post_date", F.get_json_object("payload_json", "$.text").alias("text"))
+    posts = posts.filter(X.norm_text(F.col("text")).rlike(screen)) if screen else posts
     return posts.select("id", "post_date", X.tokens(F.col("text")).alias("tokens"))
 
 
-def _verdicts(spark: SparkSession, sf_dir: str, wanted) -> DataFrame:
-    rows = rules.apply_rules(_tokens(spark, sf_dir), wanted)
+def _verdicts(spark: SparkSession, sf_dir: str, wanted, screen: str) -> DataFrame:
+    rows = rules.apply_rules(_tokens(spark, sf_dir, screen), wanted)
     period = audit.period_of(F.col("post_date"), START, CUTOFF)
     return rows.select("id", period.alias("period"), F.explode("verdicts").alias("v")).filter("v.status = 'match' and period is not null").select("id", "period", F.col("v.term").alias("term"))
 
 
 def agg_trigger_strata(spark, sf_dir):
     """Posts of every stratum of the audit, strata that overlap."""
-    return _verdicts(spark, sf_dir, corpus.triggers()).groupBy("term", "period").agg(F.count("*").alias("posts_n"))
+    return _verdicts(spark, sf_dir, corpus.triggers(), corpus.OFFICE_PRESCREEN).groupBy("term", "period").agg(F.count("*").alias("posts_n"))
 
 
 def agg_alias_checks(spark, sf_dir):
     """Mentions of other words for the office, and those in posts that the plain query doesn't cover."""
-    found = _verdicts(spark, sf_dir, (*corpus.aliases(), *corpus.office_query()))
+    found = _verdicts(spark, sf_dir, (*corpus.aliases(), *corpus.office_query()), corpus.ALIAS_PRESCREEN)
     covered = found.groupBy("id", "period").agg(F.collect_set(F.when(~F.col("term").isin("prezident", "verkhovn"), F.col("term"))).alias("terms"), F.bool_or(F.col("term").isin("prezident", "verkhovn")).alias("covered"))
     return covered.select("period", "covered", F.explode("terms").alias("alias")).groupBy("alias", "period").agg(F.count("*").alias("total_mentions"), F.count_if(~F.col("covered")).alias("uncovered"))
 
