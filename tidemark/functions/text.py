@@ -26,7 +26,7 @@ FOOTER_LINE_CHARS, TITLE_CHARS, TITLE_WORDS = 200, 60, 2
 
 def norm_text(c: Column) -> Column:
     """Lower case with ``ё`` as ``е``."""
-    return F.translate(F.lower(c), "ё", "е")
+    return F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
 
 
 def tokens(c: Column, compounds: bool = False) -> Column:

@@ -33,7 +33,8 @@ FAS_CONTEXT = ("антимонопольн", "служб", "штраф", "воз
 
 # Cheap tests that every post with a term or a platform and a restriction passes.
 PRESCREEN = ("роскомнадзор", "роскомпозор", "грчц", "тспу", "ссоп", "радиочастотн", "минцифр", "минсвяз", "кабмин", "кремл", "администрац", "совбез", "генпрокуратур")
-PRESCREEN_WORD = r"(?U)\b(?:ркн|ап|фас|vpn|впн|тг)\b"
+SHORT_WORDS = ("ркн", "ап", "фас", "vpn", "впн", "тг")
+PRESCREEN_WORD = rf"(?U)\b(?:{'|'.join(SHORT_WORDS)})\b"
 RESTRICT = ("блокир", "замедл", "ограничен", "ограничив", "отключ", "цензур", "шатдаун")
 PLATFORM = ("телеграм", "telegram", "мессенджер", "ютуб", "youtube", "whatsapp", "вотсап", "ватсап", "рунет", "vpn", "впн")
 PLATFORM_PREFIXES = PLATFORM[:9]
@@ -205,7 +206,11 @@ def aliases() -> tuple[Rule, ...]:
 
 
 def _any(c: Column, parts: tuple[str, ...]) -> Column:
-    return c.rlike("|".join(parts))
+    """Whether one of the parts is in it; plain searches, the first that hits ends them."""
+    out = c.contains(parts[0])
+    for p in parts[1:]:
+        out = out | c.contains(p)
+    return out
 
 
 def prescreen(norm: Column) -> Column:
@@ -216,7 +221,7 @@ def prescreen(norm: Column) -> Column:
     return W.let(
         norm,
         lambda t: _any(t, PRESCREEN)
-        | t.rlike(PRESCREEN_WORD)
+        | (_any(t, SHORT_WORDS) & t.rlike(PRESCREEN_WORD))
         | (t.contains("совет") & t.contains("безопасност"))
         | (t.contains("министерств") & t.contains("цифров"))
         | (t.contains("генеральн") & t.contains("прокуратур"))
