@@ -123,7 +123,16 @@ _REASONS = {
 }
 _LISTED = "coalesce(array_to_string([" + ", ".join(f"case when {test} then '{name}' end" for name, test in _REASONS.items()) + "], ','), '')"
 
+_SPANS = """
+with s as (select src_id, i, substring(text, i, 200) as s from (select src_id, text, unnest(generate_series(1, length(text) - 199)) as i from candidates where length(text) >= 200)),
+m as (select src_id, i from s where s in (select s from s group by s having count(distinct src_id) > 1)),
+g as (select src_id, i, sum(new) over (partition by src_id order by i) as g from (select src_id, i, (i - lag(i, 1, -1000) over (partition by src_id order by i) > 200)::int as new from m)),
+spans as (select src_id, min(i)::int as start_pos, (max(i) - min(i) + 200)::int as n_chars from g group by src_id, g.g)
+"""
+
 SQL = {
+    "p6_found": f"{_SPANS} select src_id, start_pos, n_chars from spans",
+    "p6_share": f"{_SPANS} select c.src_id, length(text)::int as n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(n_spans, 0) as n_spans, round(coalesce(shared_chars, 0)::double / nullif(length(text), 0), 6) as share from candidates c left join (select src_id, sum(n_chars)::bigint as shared_chars, count(*) as n_spans from spans group by src_id) using (src_id)",
     "p10_found": f"{_COUNTS} select doc_id from numbers where {_FAILS}",
     "p10_stats": f"""{_COUNTS}
 select doc_id, n_chars::int as n_chars, n_words::int as n_words, n_alnum::int as n_alnum, n_visible::int as n_visible, n_lines::int as n_lines, n_ended::int as n_ended, n_bullets::int as n_bullets, n_common::int as n_common,
