@@ -569,16 +569,30 @@ def topic_bigrams(spark, sf_dir):
 STEMS = {"negative": ["жалоб", "сбо", "терпени", "упал", "отключ", "заблок"], "positive": ["открыли", "вырос", "доволь", "спасиб"], "neutral": ["сообщ", "ответил"]}
 
 
-@query()
+def _stems(label: str) -> str:
+    return " + ".join(f"(length(t) - length(replace(t, '{x}', ''))) // {len(x)}" for x in STEMS[label])
+
+
+@query(f"""with c as (select src_id, {", ".join(f"{_stems(x)} as {x[:3]}" for x in impact.LABELS)} from (select src_id, lower(text) as t from candidates)),
+e as (select src_id, {", ".join(f"exp({x[:3]} - greatest(neg, neu, pos)) as {x[:3]}" for x in impact.LABELS)} from c),
+m as (select src_id, {", ".join(f"({x[:3]} / (neg + neu + pos) + 1.0::double / 3) / 2 as {x}" for x in impact.LABELS)} from e)
+select src_id, round(negative, 6) as negative, round(neutral, 6) as neutral, round(positive, 6) as positive, case when negative >= neutral and negative >= positive then 'negative' when neutral >= positive then 'neutral' else 'positive' end as label, round(greatest(negative, neutral, positive), 6) as score from m""")
 def ml_stem_scores(spark, sf_dir):
     scores = inference.score(_candidates(spark, sf_dir), "src_id", "text", {"stems": inference.stem_scorer(STEMS), "flat": inference.stem_scorer({})})
-    return inference.ensemble_scores(scores).withColumnRenamed("id", "src_id")
+    return inference.ensemble_scores(scores).select(F.col("id").alias("src_id"), *(_r(x) for x in impact.LABELS), "label", _r("score"))
 
 
-@query()
+@query(f"""with x as (select topic_id as topic, date_trunc('month', date_day)::date as bin, unnest({_TOKENS}) as word from docs_topics join candidates using (src_id) where date_day is not null),
+n as (select topic, bin, word, count(*) as n from x group by all), f as (select word, sum(n) as f from n group by word),
+c as (select topic, bin, sum(n) as s from n group by all), l as (select n.topic, n.bin, n.word, n.n / c.s * ln(1 + (select avg(s) from c) / f.f) as w from n join f using (word) join c using (topic, bin)),
+t as (select topic, word, sum(n) as n from n group by all), z as (select topic, sum(n) as s from t group by topic), o as (select t.topic, t.word, t.n / z.s * ln(1 + (select avg(s) from z) / f.f) as o from t join f using (word) join z using (topic)),
+b as (select topic, bin, lead(bin) over (partition by topic order by bin) as next from (select distinct topic, bin from l)), p as (select l.topic, b.next as bin, l.word, l.w as b from l join b using (topic, bin) where next is not null),
+m as (select topic, bin, word, (coalesce(w, 0) + coalesce(b, w, 0) + coalesce(o, 0)) / 3 as s from l full join p using (topic, bin, word) left join o using (topic, word))
+select topic, bin, word, round(s, 6) as weight, row_number() over (partition by topic, bin order by round(s, 9) desc, word) as rank from m qualify rank <= 5""")
 def topic_words_over_time(spark, sf_dir):
     rows = _texts(spark, sf_dir).filter("day is not null")
-    return topics.topic_words_over_time(rows.withColumn("bin", F.trunc("day", "month")), "topic_id", "bin", X.tokens(F.col("text")))
+    out = topics.topic_words_over_time(rows.withColumn("bin", F.trunc("day", "month")), "topic_id", "bin", X.tokens(F.col("text")))
+    return out.select("topic", "bin", "word", _r("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- joins, loading, streams ------------------------------------------------------------------------------------
