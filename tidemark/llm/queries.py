@@ -123,6 +123,32 @@ _REASONS = {
 }
 _LISTED = "coalesce(array_to_string([" + ", ".join(f"case when {test} then '{name}' end" for name, test in _REASONS.items()) + "], ','), '')"
 
+# The look-alike letters of the test texts, each above the one it is compared as.
+_ALIKE = (
+    "aeopcyxABCEHKMOPTXYi" "οΟΤΚΗΑΒΕΜΡΧΥ" "ëË",
+    "аеорсухАВСЕНКМОРТХУі" "оОТКНАВЕМРХУ" "ёЁ",
+)
+_WIDE = tuple("".join(chr(first + i) for i in range(94) if i != 6) for first in (0xFF01, 0x21))
+
+
+def _look(t: str) -> str:
+    """The consistent form, said in SQL: what draws nothing is dropped, then widths, spaces, accents, and letters one for one."""
+    bare = rf"regexp_replace(regexp_replace({t}, '[\p{{Cf}}\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+    form = f"translate({bare}, '{_WIDE[0]}', '{_WIDE[1]}')"
+    for _ in range(2):
+        form = f"translate(nfc_normalize({form}), '{_ALIKE[0]}', '{_ALIKE[1]}')"
+    return f"nfc_normalize({form})"
+
+
+def _words(t: str) -> str:
+    return rf"regexp_extract_all(replace(lower({_look(t)}), 'ё', 'е'), '[\p{{L}}\p{{N}}]+')"
+
+
+def _runs(words: str, n: int) -> str:
+    """Every ``n`` successive words of a list, as one text each."""
+    return f"list_transform(generate_series(1, len({words}) - {n - 1}), lambda i: array_to_string(list_slice({words}, i, i + {n - 1}), ' '))"
+
+
 _SPANS = """
 with s as (select src_id, i, substring(text, i, 200) as s from (select src_id, text, unnest(generate_series(1, length(text) - 199)) as i from candidates where length(text) >= 200)),
 m as (select src_id, i from s where s in (select s from s group by s having count(distinct src_id) > 1)),
@@ -131,6 +157,16 @@ spans as (select src_id, min(i)::int as start_pos, (max(i) - min(i) + 200)::int
 """
 
 SQL = {
+    "p1_found": rf"""with l as (select src_id, regexp_replace(lower(channel_username), '^@+', '') as ch, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10)))))::int as line_no from candidates),
+f as (select src_id, ch, line_no, trim(regexp_replace(lower({_look("line")}), '\s+', ' ', 'g')) as form from l), n as (select ch, form from f where ch is not null and form <> '' group by ch, form having count(distinct src_id) >= 10)
+select src_id, line_no from f join n using (ch, form)""",
+    "p3_found": f"with f as (select src_id, text, {_look('text')} as form from candidates) select a.src_id as src_id_a, b.src_id as src_id_b from f a join f b on a.form = b.form and a.src_id < b.src_id and a.text <> b.text",
+    "p5_found": f"""with w as (select src_id, {_words("text")} as w from candidates), s as (select distinct src_id, unnest({_runs("w", 3)}) as s from w), n as (select src_id, count(*) as n from s group by src_id),
+c as (select a.src_id as x, b.src_id as y, count(*) as n from s a join s b on a.s = b.s and a.src_id < b.src_id group by all)
+select x as src_id_a, y as src_id_b from c join n a on a.src_id = x join n b on b.src_id = y where c.n >= 0.6 * (a.n + b.n - c.n)
+union all select a.src_id, b.src_id from w a join w b on a.w = b.w and a.src_id < b.src_id where len(a.w) < 3""",
+    "p9_found": f"""with d as (select doc_id, {_words("text")} as w from documents where text is not null), i as (select item_id, {_words("text")} as w from eval_items where text is not null),
+p as (select distinct doc_id, unnest({_runs("w", 15)}) as p from d), q as (select distinct item_id, unnest({_runs("w", 15)}) as p from i) select distinct doc_id, item_id from p join q using (p)""",
     "p6_found": f"{_SPANS} select src_id, start_pos, n_chars from spans",
     "p6_share": f"{_SPANS} select c.src_id, length(text)::int as n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(n_spans, 0) as n_spans, round(coalesce(shared_chars, 0)::double / nullif(length(text), 0), 6) as share from candidates c left join (select src_id, sum(n_chars)::bigint as shared_chars, count(*) as n_spans from spans group by src_id) using (src_id)",
     "p10_found": f"{_COUNTS} select doc_id from numbers where {_FAILS}",
