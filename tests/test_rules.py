@@ -8,7 +8,7 @@ from tidemark.functions import text as X
 from tidemark.functions import windows as W
 from tidemark.operators import corpus, places, rules
 from tidemark.operators.rules import Accept, Guard, LabelGuard, Near, Not, Part, PlaceGuard, Rule
-from tidemark.plans import corpora, rulesql
+from tidemark.plans import rulesql
 from tidemark.tables import materialize
 
 

@@ -6,7 +6,6 @@ work on the few rows it leaves.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -211,8 +210,3 @@ def repaired_terms(df: DataFrame, urls: DataFrame, term: str, group_terms: Seque
     left = F.when(F.col("_listed"), F.array_remove(held, term)).otherwise(held)
     rows = rows.withColumn(terms_col, F.array_join(left, ","))
     return rows.withColumn(flag_col, F.arrays_overlap(left, F.array(*map(F.lit, group_terms)))).drop("_listed")
-
-
-def math_chi2_sf(x: float, dof: int) -> float:
-    """Tail of chi-square for one or two degrees of freedom, to check the Columns with."""
-    return math.exp(-x / 2) if dof == 2 else math.erfc(math.sqrt(x / 2))
