@@ -11,7 +11,7 @@ from tidemark.functions.windows import let
 from tidemark.operators.components import connected
 from tidemark.operators.impact import LABELS
 from tidemark.operators.reports import most_common
-from tidemark.tables import materialize
+from tidemark.tables import materialize, small
 
 
 def ensemble(models: Sequence[Sequence[Column]], labels: Sequence[str] = LABELS) -> Column:
@@ -95,26 +95,25 @@ def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int | None = 10
     than ``min_docs`` texts or in more than ``max_share`` of them are left out.  With
     ``top`` as None all words come, without a rank.
 
-    Each text's words are sorted once, which tells a word's first occurrence; so texts
-    are counted together with words, in one aggregation that combines map-side.  Its
-    result is written once and read by everything that follows.
+    With a bound the words that meet it are found first, without the topics: each text's
+    words are sorted, which tells a word's first occurrence, so that texts are counted
+    together with words in one aggregation that combines map-side.  Only those words,
+    mostly few, are then counted by topic.
     """
-    filtered = min_docs > 1 or max_share < 1
-    rows = df.select(F.col(topic).alias("topic"), tokens.alias("_t"))
-    if filtered:
-        # Texts are only counted where a bound asks for it.
-        def marked(t: Column) -> Column:
-            return F.transform(t, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(t, i - 1) != w)).alias("first")))
-
-        words = df.select(F.col(topic).alias("topic"), F.explode(let(F.array_sort(tokens), marked)).alias("_w")).select("topic", "_w.*").groupBy("topic", "word").agg(F.count("*").alias("n"), F.count_if("first").alias("docs"))
+    def marked(t: Column) -> Column:
+        return F.transform(t, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(t, i - 1) != w)).alias("first")))
+
+    rows = df.select(F.col(topic).alias("topic"), F.explode(tokens).alias("word"))
+    if min_docs > 1 or max_share < 1:
+        counted = df.select(F.explode(let(F.array_sort(tokens), marked)).alias("_w")).select("_w.*").groupBy("word").agg(F.count("*").alias("f"), F.count_if("first").alias("docs"))
+        total = df.agg(F.count("*").alias("_all"))
+        within = counted.crossJoin(F.broadcast(total)).filter((F.col("docs") >= min_docs) & (F.col("docs") <= F.col("_all") * max_share))
+        spread = materialize(within.select("word", "f"), "vocabulary")
+        words = rows.join(small(spread.select("word"), 200_000), "word", "left_semi").groupBy("topic", "word").agg(F.count("*").alias("n"))
     else:
-        words = rows.select("topic", F.explode("_t").alias("word")).groupBy("topic", "word").agg(F.count("*").alias("n"), F.lit(0).alias("docs"))
-    words = materialize(words, "words")
-    spread = words.groupBy("word").agg(F.sum("n").alias("f"), F.sum("docs").alias("docs"))
-    if filtered:
-        total = rows.agg(F.count("*").alias("_all"))
-        spread = spread.crossJoin(F.broadcast(total)).filter((F.col("docs") >= min_docs) & (F.col("docs") <= F.col("_all") * max_share)).drop("_all")
-    kept = words.drop("docs").join(spread.drop("docs"), "word")
+        words = materialize(rows.groupBy("topic", "word").agg(F.count("*").alias("n")), "words")
+        spread = words.groupBy("word").agg(F.sum("n").alias("f"))
+    kept = words.join(spread, "word")
     sizes = kept.groupBy("topic").agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     weight = (F.col("n") / F.col("size")) * F.log(1 + F.col("mean") / F.col("f"))
