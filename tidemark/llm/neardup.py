@@ -128,7 +128,7 @@ def _index(batch: pa.RecordBatch, words: int, alike: Alike) -> tuple:
 
 
 def index(df: DataFrame, id_col: str, text_col: str, words: int, class_bits: int = 64) -> DataFrame:
-    """``id, class, check, lo, hi, keys`` of every row.
+    """``id, class, check, lo, hi, placed, keys`` of every row.
 
     ``class`` and ``check`` are keys of the set of shingles (of the word sequence where
     there is no shingle), 128 bits in all: rows that agree in both are copies of each
@@ -151,11 +151,11 @@ def index(df: DataFrame, id_col: str, text_col: str, words: int, class_bits: int
             cuts = np.concatenate([[0], np.cumsum(send)]).astype(np.int32) * TREES
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(labels[send].reshape(-1).view(np.int64)), mask=pa.array(~send))
             numbers = [pa.array(x.view(np.int64)) for x in (cls & mask, check, *sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, lists], ["id", "class", "check", "lo", "hi", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(has), lists], ["id", "class", "check", "lo", "hi", "placed", "keys"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return rows.mapInArrow(run, f"id {kind}, class long, check long, lo long, hi long, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, class long, check long, lo long, hi long, placed boolean, keys array<long>")
 
 
 def _pairs_in(order: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +186,8 @@ def _walk(held: int):
         going_on = None
         for group in sorted_groups(batches, "key", low_bits=LOW_BITS, most=held):
             key, cls = (group.column(c).to_numpy() for c in ("key", "class"))
+            order = np.lexsort((cls, key))
+            key, cls = key[order], cls[order]
             # A class comes once from every task that has it.
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
@@ -300,7 +302,7 @@ def _neighbours(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = materialize(hot, "hot")
     some = not hot.isEmpty()
     cold = trees.join(small(hot, 100_000), "region", "left_anti") if some else trees
-    walked = cold.select("key", "class").repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key", "class").mapInArrow(_walk(HELD), "a long, b long")
+    walked = cold.select("key", "class").repartition(F.shiftright("key", LOW_BITS)).sortWithinPartitions("key").mapInArrow(_walk(HELD), "a long, b long")
     walked = materialize(walked, "neighbours")
     cut = walked.filter("b is null").select(F.col("a").alias("class"))
     if some:
@@ -318,14 +320,19 @@ def similar_classes(df: DataFrame, id_col: str = "src_id", text_col: str = "text
     same words.  ``class_bits`` below 64 only serve tests of classes with equal keys.
     """
     indexed = materialize(index(df, id_col, text_col, words, class_bits), "forest").withColumn("own", F.col("class"))
-    # A key that stands for several sets gives way to one made of all 128 bits.
-    mistaken = indexed.groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("class", F.lit(True).alias("several"))
-    mistaken = materialize(mistaken, "mistaken")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        # Copies: one partial row per class and task, so a class holding a third of all rows is no hot spot.
+        held = [F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("check", "lo", "hi")), F.bool_or("placed").alias("placed")]
+        return materialize(rows.groupBy("class").agg(*held, F.min("check").alias("x"), F.max("check").alias("y")), "classes")
+
+    classes = settled(indexed)
+    mistaken = classes.filter("x <> y").select("class", F.lit(True).alias("several"))
     if not mistaken.isEmpty():
+        # A key that stands for several sets gives way to one made of all 128 bits.
         indexed = indexed.join(small(mistaken, 200_000), "class", "left").withColumn("class", F.when(F.col("several"), F.xxhash64("own", "check")).otherwise(F.col("own")))
-    membership = indexed.select("id", "class")
-    # Copies: one partial row per class and task, so a class holding a third of all rows is no hot spot.
-    classes = indexed.filter("keys is not null").groupBy("class").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("check", "lo", "hi")))
+        classes = settled(indexed)
+    membership, classes = indexed.select("id", "class"), classes.filter("placed")
     sketches, members = classes.select("class", "lo", "hi"), classes.select("class", "id", "check")
     pairs, cut = _neighbours(indexed.filter("keys is not null").select("keys", "class"))
     x, y = sketches.toDF("a", "alo", "ahi"), sketches.toDF("b", "blo", "bhi")
