@@ -39,7 +39,7 @@ def ngrams(words: Column, n: int = 2) -> Column:
     def pairs(w: Column) -> Column:
         last = F.size(w) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.concat(w, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
+        return F.concat(w, F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))))
 
     return let(words, pairs)
 

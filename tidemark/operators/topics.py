@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import let
 from tidemark.operators.components import connected
 from tidemark.operators.impact import LABELS
 from tidemark.operators.reports import most_common
@@ -95,25 +94,19 @@ def class_tf_idf(df: DataFrame, topic: str, tokens: Column, top: int | None = 10
     than ``min_docs`` texts or in more than ``max_share`` of them are left out.  With
     ``top`` as None all words come, without a rank.
 
-    With a bound the words that meet it are found first, without the topics: each text's
-    words are sorted, which tells a word's first occurrence, so that texts are counted
-    together with words in one aggregation that combines map-side.  Only those words,
-    mostly few, are then counted by topic.
+    With a bound the words that meet it are found first, by the texts they are in, without
+    topics and numbers; only those words, mostly few, are then counted.
     """
-    def marked(t: Column) -> Column:
-        return F.transform(t, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(t, i - 1) != w)).alias("first")))
-
     rows = df.select(F.col(topic).alias("topic"), F.explode(tokens).alias("word"))
     if min_docs > 1 or max_share < 1:
-        counted = df.select(F.explode(let(F.array_sort(tokens), marked)).alias("_w")).select("_w.*").groupBy("word").agg(F.count("*").alias("f"), F.count_if("first").alias("docs"))
+        counted = df.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
         total = df.agg(F.count("*").alias("_all"))
         within = counted.crossJoin(F.broadcast(total)).filter((F.col("docs") >= min_docs) & (F.col("docs") <= F.col("_all") * max_share))
-        spread = materialize(within.select("word", "f"), "vocabulary")
-        words = rows.join(small(spread.select("word"), 200_000), "word", "left_semi").groupBy("topic", "word").agg(F.count("*").alias("n"))
+        vocabulary = materialize(within.select("word"), "vocabulary")
+        words = materialize(rows.join(small(vocabulary, 200_000), "word", "left_semi").groupBy("topic", "word").agg(F.count("*").alias("n")), "words")
     else:
         words = materialize(rows.groupBy("topic", "word").agg(F.count("*").alias("n")), "words")
-        spread = words.groupBy("word").agg(F.sum("n").alias("f"))
-    kept = words.join(spread, "word")
+    kept = words.join(words.groupBy("word").agg(F.sum("n").alias("f")), "word")
     sizes = kept.groupBy("topic").agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     weight = (F.col("n") / F.col("size")) * F.log(1 + F.col("mean") / F.col("f"))
