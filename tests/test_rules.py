@@ -281,6 +281,15 @@ def test_unseen_posts_are_dropped_last(spark):
     assert got == {1: None, 2: "views", 3: "views", 4: "views", 5: None}
 
 
+def test_rules_of_the_caller_pass_the_prescreen(spark):
+    df = spark.createDataFrame([(1, "Иволгин выступил"), (2, "Погода"), (3, "#сокол"), (4, "Сокол и президент Франции")], "id long, text string")
+    names = places.countries(spark)
+    own = (*corpus.registry(names), corpus.person("ivolgin", "A", stem="иволгин"))
+    assert {r.id: r.terms for r in corpus.carve(df, "id", "text", rules=own).collect()} == {1: "ivolgin"}
+    got = {r.id: (r.terms, r.mixed) for r in corpus.carve_office(df, "id", "text", rules=corpus.office(names, persons=("сокол",))).collect()}
+    assert got == {3: ("", False), 4: ("name,prezident", True)}
+
+
 def test_another_corpus_leaves_nothing_over(spark):
     df = spark.createDataFrame([(1, "Замедляют телеграм"), (2, "Президент знает, что замедляют телеграм"), (3, "Верховный суд: замедляют телеграм")], "id long, text string")
     assert {r.id: r.residual for r in corpus.carve(df, "id", "text").collect()} == {1: True, 2: False, 3: True}

@@ -54,8 +54,18 @@ GDP_CONTEXT = ("рост", "росл", "процент", "трлн", "млрд",
 FIRST_PERSON = ("=первое", "=первого", "=первому")
 FIRST_PERSON_OTHERS = ("fpv", "фпв", "дрон")
 FIRST_PERSON_CONTEXT = ("власт", "государств", "стран", "кремл", "решени", "доклад", "верховн", "главнокоманд")
-NATIONAL_LEADER_OTHERS = ("чечн", "украин")
-MORE_ADJECTIVES = ("финск", "чешск", "словацк", "румынск", "венгерск", "сербск", "южнокорейск", "севернокорейск", "китайск", "индийск", "бразильск", "аргентинск")
+NATIONAL_LEADER_OTHERS = ("кадыров", "зеленск", "чечн", "украин")
+# Stems of adjectives of countries beside an office, and those an audit looks for.
+OFFICE_ADJECTIVES = (
+    "украинск", "киевск", "американск", "французск", "немецк", "британск", "польск", "болгарск", "израильск", "иранск", "турецк", "казахстанск",
+    "белорусск", "армянск", "азербайджанск", "молдавск", "грузинск", "эстонск", "латвийск", "литовск", "сирийск", "венесуэльск", "финск",
+    "чешск", "словацк", "румынск", "венгерск", "сербск", "южнокорейск", "севернокорейск", "китайск", "индийск", "бразильск", "аргентинск",
+)
+AUDIT_ADJECTIVES = (
+    "украинск", "киевск", "американск", "французск", "немецк", "британск", "польск", "болгарск", "израильск", "иранск", "турецк", "казахстанск",
+    "белорусск", "армянск", "азербайджанск", "молдавск", "грузинск", "эстонск", "латвийск", "литовск", "сирийск", "венесуэльск", "финск",
+    "чешск", "словацк", "румынск", "венгерск", "сербск", "бывш",
+)
 
 
 def registry(names: dict[str, str], leaders: tuple[str, ...] = ()) -> tuple[Rule, ...]:
@@ -112,13 +122,12 @@ def office(names: dict[str, str], leaders: tuple[str, ...] = (), persons: tuple[
     with one of them, or the office of the own country, guarded mentions of the office
     count too.  ``full_names`` are pairs of stems.
     """
-    adjectives = (*places.ADJECTIVES, *MORE_ADJECTIVES)
     guards = [
         Guard("office_of_president", (Near(prefixes=("офис",), before=1, after=-1),)),
         Guard("presidential_object", (Near(0, ("президентск",)), Near(prefixes=PRESIDENT_OBJECTS, before=-1, after=1))),
         Guard("president_of_org", (Near(words=PRESIDENT_ORGANISATIONS, before=-1, after=1),)),
         PlaceGuard("country", 2, names),
-        Guard("foreign_adj", (Near(3, adjectives),)),
+        Guard("foreign_adj", (Near(3, OFFICE_ADJECTIVES),)),
         *([Guard("foreign_leader", (Near(3, leaders),))] if leaders else []),
     ]
     own = Part(pairs=(("президент", "росси"), ("президент", "рф")))
@@ -148,7 +157,7 @@ def office_query(persons: tuple[str, ...] = (), full_names: tuple[tuple[str, str
 
 def triggers(leaders: tuple[str, ...] = ()) -> tuple[Rule, ...]:
     """What an audit of the office query looks for, each on its own."""
-    foreign = (*places.ADJECTIVES, *MORE_ADJECTIVES[:6], "бывш", *leaders)
+    foreign = (*AUDIT_ADJECTIVES, *leaders)
     return (
         Rule("prezident", "T", prefixes=("президент",)),
         Rule("prezident_foreign", "T", prefixes=("президент",), requires=Near(3, foreign)),
@@ -239,6 +248,14 @@ def rating_list(norm: Column) -> Column:
     return W.let(norm, test)
 
 
+def _screen_for(screen, rules: Iterable[Rule], known: Iterable[str]):
+    """``screen``, and beside it a search for the words of the rules that it doesn't know of."""
+    known = set(known)
+    parts = [p for r in rules if r.name not in known for p in r.all_parts()]
+    words = tuple(sorted({w for p in parts for w in (*p.prefixes, *p.words, *(a.lstrip("=") for a, _ in p.pairs))}))
+    return (lambda norm: W.let(norm, lambda t: screen(t) | _any(t, words))) if words else screen
+
+
 def _screened(df: DataFrame, id_col: str, text_col: str, keep: list[str], screen) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).filter(screen(X.norm_text(F.col("text"))))
     rows = rows.withColumn("lines", X.footer_lines(F.col("text"))).withColumn("clean", X.without_lines(F.col("text"), F.col("lines")))
@@ -266,7 +283,7 @@ def carve(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] | N
     other = office_query() if other is None else other
     keep = [F.lower(F.ltrim(F.lit("@"), F.col(source_col))).alias("source")] if source_col else []
     keep += [X.to_count(F.col(views_col).cast("string")).alias("views")] if views_col else []
-    rows = _screened(df, id_col, text_col, keep, prescreen)
+    rows = _screened(df, id_col, text_col, keep, _screen_for(prescreen, rules, (r.name for r in registry(names))))
     rows = apply_rules(rows, (*rules, left, *(o for o in other)), norm=X.norm_text(F.col("clean")) if any(r.hashtag for r in rules) else None, source=F.col("source") if source_col else None)
     own = F.filter("verdicts", lambda v: ~v["grp"].isin(left.group, *{o.group for o in other}))
     elsewhere = F.exists("verdicts", lambda v: v["grp"].isin(*{o.group for o in other}) & (v["status"] == "match")) if other else F.lit(False)
@@ -288,8 +305,9 @@ def carve_office(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, .
     """
     from tidemark.operators.rules import mixed
 
-    rules = office(places.countries(df.sparkSession)) if rules is None else rules
-    rows = _screened(df, id_col, text_col, [], lambda norm: norm.rlike(OFFICE_PRESCREEN))
+    names = places.countries(df.sparkSession)
+    rules = office(names) if rules is None else rules
+    rows = _screened(df, id_col, text_col, [], _screen_for(lambda norm: norm.rlike(OFFICE_PRESCREEN), rules, (r.name for r in office(names))))
     rows = apply_rules(rows, rules, norm=X.norm_text(F.col("clean")) if any(r.hashtag for r in rules) else None)
     return rows.select("id", "dropped", "tokens", "verdicts", terms(F.col("verdicts")).alias("terms"), mixed(F.col("verdicts"), F.col("tokens"), markers).alias("mixed"))
 
