@@ -81,6 +81,7 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(path)
     none = spark.read.parquet(path)
     assert delivery.exactly_once(none, KEY, "id").count() == 0
+    assert delivery.dropped_rows(none, KEY, "id", ["id"]).count() == 0
     assert treeagg.heavy_channels(none.withColumn("channel_username", F.lit("a"))).count() == 0
 
 
